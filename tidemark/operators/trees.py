@@ -1,0 +1,213 @@
+"""Forest and boosting candidates: one pooled MLlib model over all series.
+
+A fit is distributed over the whole panel, so its cost is candidates x folds
+whatever the number of series. The grids below hold the full candidate set;
+they are opt-in because every boosting round is a Spark job.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions.dates import next_month_start
+from tidemark.functions.numbers import clip_at_zero
+from tidemark.operators.features import LAGS, ROLL_WINDOWS, calendar_features
+from tidemark.operators.forecast import (
+    FORECAST_END,
+    FUTURE_ZEROS,
+    HORIZON_MONTHS,
+    lag_values,
+    recent_history,
+    with_year_month,
+)
+from tidemark.operators.joins import stack_frames
+from tidemark.operators.linear import Candidate, grid
+from tidemark.operators.preprocess import FeatureSet
+from tidemark.operators.selection import last_row
+from tidemark.session import ensure_checkpoint_dir
+
+# Fixed candidate grids.
+FOREST_GRID = {"n_estimators": (50, 100, 200), "max_depth": (None, 5, 10, 20)}
+BOOST_GRID = {"n_estimators": (100, 200, 300), "learning_rate": (0.01, 0.05, 0.1), "max_depth": (3, 4, 6)}
+HIST_GRID = {"max_iter": (100, 200, 400), "learning_rate": (0.01, 0.05, 0.1), "max_depth": (3, 4, 6)}
+SEED = 42
+
+TREE_CANDIDATES = [
+    *grid("random_forest", FOREST_GRID),
+    *grid("gbr", BOOST_GRID),
+    *grid("hgb", HIST_GRID),
+]
+# A quick look at each family.
+SMALL_TREE_CANDIDATES = [
+    Candidate("random_forest", (("n_estimators", 20), ("max_depth", 5))),
+    Candidate("gbr", (("n_estimators", 10), ("learning_rate", 0.1), ("max_depth", 3))),
+    Candidate("hgb", (("max_iter", 10), ("learning_rate", 0.1), ("max_depth", 3))),
+]
+
+DEEPEST = 30  # MLlib's limit, used where no depth is set
+SERIES_BUCKETS = 64
+BUCKET = "_series_bucket"
+
+
+def estimator(candidate: Candidate, target: str) -> RandomForestRegressor | GBTRegressor:
+    """The MLlib regressor of a candidate."""
+    params = dict(candidate.params)
+    common = {"featuresCol": "_features", "labelCol": target, "predictionCol": "prediction", "seed": SEED}
+    depth = params.get("max_depth") or DEEPEST
+    if candidate.family == "random_forest":
+        return RandomForestRegressor(
+            numTrees=params["n_estimators"], maxDepth=depth, featureSubsetStrategy="all", maxBins=128, **common
+        )
+    if candidate.family == "gbr":
+        return GBTRegressor(
+            maxIter=params["n_estimators"], stepSize=params["learning_rate"], maxDepth=depth, maxBins=128, **common
+        )
+    if candidate.family == "hgb":
+        return GBTRegressor(
+            maxIter=params["max_iter"],
+            stepSize=params["learning_rate"],
+            maxDepth=depth,
+            maxBins=255,
+            minInstancesPerNode=20,
+            **common,
+        )
+    raise ValueError(f"unknown model family: {candidate.family}")
+
+
+def pooled_input(rows: DataFrame, features: FeatureSet, series: str, target: str) -> DataFrame:
+    """Doubles for numeric features, text for categories, and the series bucket.
+
+    The series enters as one of a fixed number of hash buckets, so the model
+    size does not depend on how many series there are.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(series)), F.lit(SERIES_BUCKETS)).cast("string")
+    casts = {c: F.col(c).cast("double") for c in features.numeric}
+    casts |= {c: F.col(c).cast("string") for c in features.categorical}
+    if target in rows.columns:
+        casts[target] = F.col(target).cast("double")
+    return rows.withColumns({**casts, BUCKET: bucket})
+
+
+def fit_pooled(
+    train: DataFrame, candidate: Candidate, features: FeatureSet, series: str, target: str
+) -> PipelineModel:
+    """Median imputation, category indexing and one tree model over all series."""
+    data = pooled_input(train, features, series, target)
+    # A column without any training value carries nothing and cannot be imputed.
+    counts = data.agg(*[F.count(c).alias(c) for c in [*features.numeric, *features.categorical]]).first()
+    numeric = [c for c in features.numeric if counts[c]]
+    categorical = [*[c for c in features.categorical if counts[c]], BUCKET]
+    filled = [f"_filled_{i}" for i in range(len(numeric))]
+    indexed = [f"_indexed_{i}" for i in range(len(categorical))]
+    stages = [
+        Imputer(strategy="median", inputCols=numeric, outputCols=filled),
+        StringIndexer(inputCols=categorical, outputCols=indexed, handleInvalid="keep"),
+        VectorAssembler(inputCols=[*filled, *indexed], outputCol="_features"),
+        estimator(candidate, target),
+    ]
+    return Pipeline(stages=stages).fit(data)
+
+
+def predict_pooled(model: PipelineModel, rows: DataFrame, features: FeatureSet, series: str, target: str) -> DataFrame:
+    """Rows with a ``prediction`` column; helper columns are dropped."""
+    scored = model.transform(pooled_input(rows, features, series, target))
+    return scored.select(*[F.col(f"`{c}`") for c in rows.columns], "prediction")
+
+
+def cross_predict_pooled(
+    folds: DataFrame,
+    features: FeatureSet,
+    series: str,
+    date: str,
+    target: str,
+    candidates: Sequence[Candidate] = SMALL_TREE_CANDIDATES,
+) -> DataFrame:
+    """Validation predictions of every candidate and fold, as the linear family
+    gives them. ``folds`` comes from ``expanding_folds``."""
+    # Fold numbers are bounded by the calendar.
+    numbers = [r.fold for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    parts = []
+    for number in numbers:
+        fold = folds.filter(F.col("fold") == number)
+        train, valid = fold.filter(F.col("role") == "train"), fold.filter(F.col("role") == "valid")
+        for candidate in candidates:
+            model = fit_pooled(train, candidate, features, series, target)
+            parts.append(
+                predict_pooled(model, valid, features, series, target).select(
+                    series,
+                    "fold",
+                    date,
+                    F.lit(candidate.label).alias("model_name"),
+                    F.col(target).cast("double").alias("actual"),
+                    "prediction",
+                )
+            )
+    return stack_frames(parts)
+
+
+def recursive_forecast_pooled(
+    panel: DataFrame,
+    model: PipelineModel,
+    features: FeatureSet,
+    series: str,
+    date: str,
+    target: str,
+    horizon: int = HORIZON_MONTHS,
+    end: str | None = FORECAST_END,
+    lags: Sequence[int] = LAGS,
+    windows: Sequence[int] = ROLL_WINDOWS,
+) -> DataFrame:
+    """Month-by-month forecast with a pooled model.
+
+    The state is one row per series: its last row, its recent targets and the
+    forecasts so far. Each month is one narrow pass of the model over all
+    series, and a checkpoint cuts the lineage, so a lost executor costs one
+    month's work.
+    """
+    spark = panel.sparkSession
+    ensure_checkpoint_dir(spark)
+    names = list(lag_values(F.array().cast("array<double>"), target, lags, windows))
+    last = last_row(panel.filter(F.col(series).isNotNull()), [series], date)
+    history = recent_history(panel, series, date, target, max(*lags, *windows))
+    zeros = {c: F.lit(0).cast(panel.schema[c].dataType) for c in FUTURE_ZEROS if c in panel.columns}
+    empty = F.array().cast("array<struct<date:date,prediction:double>>")
+    state = (
+        last.withColumn("_start", next_month_start(F.col(date)))
+        .withColumns(zeros)
+        .drop(target)
+        .join(history, series)
+        .withColumn("_out", empty)
+        .checkpoint()
+    )
+    keep = state.columns
+    for month in range(horizon):
+        values = lag_values(F.col("history"), target, lags, windows)
+        known = {n: c for n, c in values.items() if n in features.numeric}
+        seasonal = f"{target}_seasonal_diff"
+        if seasonal in features.numeric:
+            known[seasonal] = F.lit(None).cast("double")
+        moved = state.withColumn(date, F.add_months("_start", month))
+        for name, part in (("year", F.year), ("month", F.month)):
+            if name in keep:
+                moved = moved.withColumn(name, part(date).cast(panel.schema[name].dataType))
+        rows = calendar_features(moved, date).withColumns(known)
+        scored = predict_pooled(model, rows, features, series, target)
+        any_known = F.coalesce(*[values[n] for n in names]).isNotNull()
+        value = F.when(any_known, clip_at_zero(F.col("prediction"))).otherwise(F.col("last_known"))
+        inside = F.lit(True) if end is None else F.col(date) <= F.lit(end).cast("date")
+        entry = F.array(F.struct(F.col(date).alias("date"), F.col("_value").alias("prediction")))
+        stepped = scored.withColumn("_value", F.when(inside, value))
+        grown = {
+            "_out": F.concat("_out", entry),
+            "history": F.concat("history", F.array("_value")),
+            "last_known": F.coalesce("_value", "last_known"),
+        }
+        state = stepped.withColumns(grown).select(*keep).checkpoint()
+    rows = state.select(series, F.explode("_out").alias("_f")).select(series, "_f.*")
+    return with_year_month(rows.filter(F.col("prediction").isNotNull()))
