@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import earliest, month_sequence, next_month_start
 from tidemark.operators.features import LAGS, ROLL_WINDOWS, calendar_features
-from tidemark.operators.preprocess import FeatureSet, one_hot, scaled
+from tidemark.operators.linear import linear_prediction
+from tidemark.operators.preprocess import FeatureSet, feature_vector
 from tidemark.operators.selection import last_row
 
 HORIZON_MONTHS = 12
@@ -92,25 +93,24 @@ def fold_forecast(
     plans: DataFrame,
     keys: Sequence[str],
     target: str,
-    lag_terms: Mapping[str, tuple[Column, Column, Column]],
+    lag_terms: Mapping[str, tuple[Column, Column]],
     lags: Sequence[int] = LAGS,
     windows: Sequence[int] = ROLL_WINDOWS,
 ) -> DataFrame:
     """Run the recursion natively, one row per (series, model).
 
     ``plans`` holds ``steps`` (array of (date, base)), ``history`` and
-    ``last_known``. A step's prediction is its base plus, for each lag feature,
-    weight * (value or fill - centre); ``lag_terms`` gives (weight, fill,
-    centre). It is clipped at zero and appended to the history. When every lag
-    is unknown the last known value is carried, and with none the month is left
-    out.
+    ``last_known``. A step's prediction is its base plus weight * (value - fill)
+    for each known lag feature; ``lag_terms`` gives (weight, fill). It is clipped
+    at zero and appended to the history. When every lag is unknown the last known
+    value is carried, and with none the month is left out.
     """
 
     def step(state: Column, item: Column) -> Column:
         values = lag_values(state["history"], target, lags, windows)
         total = item["base"]
-        for name, (weight, fill, centre) in lag_terms.items():
-            total = total + weight * F.coalesce(F.coalesce(values[name], fill) - centre, F.lit(0.0))
+        for name, (weight, fill) in lag_terms.items():
+            total = total + F.coalesce(weight * (values[name] - fill), F.lit(0.0))
         any_known = F.coalesce(*values.values()).isNotNull()
         clipped = F.greatest(total, F.lit(0.0))
         prediction = F.when(any_known, clipped).otherwise(state["last_known"])
@@ -159,35 +159,19 @@ def recursive_forecast(
     unknown = [c for c in (*names, f"{target}_seasonal_diff") if c in position]
     stub = stub.withColumns({c: F.lit(None).cast("double") for c in unknown})
 
+    # With every lag unknown a prediction rests on the lags' medians; a step adds
+    # what a known lag changes.
     ready = stub.join(parameters, series).join(models, series)
-    base = F.col("intercept")
-    for i, name in enumerate(features.numeric):
-        if name not in names:
-            base = base + F.col("weights")[i] * scaled(F.col(name), i)
-    width = len(features.numeric)
-    if features.categorical:
-        slots = F.concat(*[one_hot(F.col(c), i) for i, c in enumerate(features.categorical)])
-        tail = F.slice("weights", width + 1, F.greatest(F.size("weights") - width, F.lit(0)))
-        base = base + F.aggregate(F.zip_with(slots, tail, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-
+    scored = ready.withColumn("features", feature_vector(features)).withColumn("_base", linear_prediction())
     lagged = [c for c in names if c in position]
-    terms = [
-        F.struct(
-            (F.col("weights")[position[c]] / F.col("scales")[position[c]]).alias("weight"),
-            F.col("medians")[position[c]].alias("fill"),
-            F.col("means")[position[c]].alias("centre"),
-        )
-        for c in lagged
-    ]
+    terms = [F.expr(f"struct(weights[{i}] / scales[{i}], medians[{i}])") for i in map(position.get, lagged)]
     keys = [series, "model_name"]
-    steps = F.array_sort(F.collect_list(F.struct(F.col(date).alias("date"), base.alias("base"))))
-    plans = ready.groupBy(*keys).agg(
+    steps = F.array_sort(F.collect_list(F.struct(F.col(date).alias("date"), F.col("_base").alias("base"))))
+    plans = scored.groupBy(*keys).agg(
         steps.alias("steps"), *[F.first(t).alias(f"_t{i}") for i, t in enumerate(terms)]
     )
     history = recent_history(panel, series, date, target, max(*lags, *windows))
-    lag_terms = {
-        c: (F.col(f"_t{i}.weight"), F.col(f"_t{i}.fill"), F.col(f"_t{i}.centre")) for i, c in enumerate(lagged)
-    }
+    lag_terms = {c: (F.col(f"_t{i}.col1"), F.col(f"_t{i}.col2")) for i, c in enumerate(lagged)}
     out = fold_forecast(plans.join(history, series), keys, target, lag_terms, lags, windows)
     return with_year_month(out)
 

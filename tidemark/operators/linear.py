@@ -6,6 +6,7 @@ helper only solves one small system, all candidates of a group together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -20,6 +21,7 @@ RIDGE_GRID = {"alpha": (0.1, 1.0, 10.0, 100.0)}
 ELASTIC_NET_GRID = {"alpha": (0.01, 0.05, 0.1, 0.5), "l1_ratio": (0.1, 0.3, 0.5, 0.7, 0.9)}
 MAX_SWEEPS = 10_000
 TOLERANCE = 1e-4
+BLOCK = 32
 
 
 @dataclass(frozen=True)
@@ -52,47 +54,87 @@ def ridge_weights(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> np.ndarra
     return np.stack([np.linalg.solve(gram + a * eye, moment) for a in alphas])
 
 
-def elastic_net_weights(x: np.ndarray, y: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
-    """Weights per penalty pair of |y - xw|^2 / 2 + l1 |w|_1 + l2 |w|^2 / 2.
+def elastic_net_weights(gram: np.ndarray, moment: np.ndarray, energy: float, l1: float, l2: float) -> np.ndarray:
+    """Weights of min |y - xw|^2 / 2 + l1 |w|_1 + l2 |w|^2 / 2 from x'x, x'y and y'y.
 
-    Cyclic coordinate descent from zero on centred data. A candidate stops once
-    its largest step is small against its largest weight and its duality gap is
-    below the tolerance times |y|^2. All candidates sweep together.
+    Cyclic coordinate descent from zero. It stops once the largest step is small
+    against the largest weight and the duality gap is below the tolerance times
+    y'y. While no weight changes sign a sweep is one fixed affine map, so sweeps
+    are then taken in blocks by its powers, up to the first sign change or stop.
     """
-    gram, moment, energy = x.T @ x, x.T @ y, float(y @ y)
-    weights = np.zeros((len(l1), x.shape[1]))
-    fitted = np.zeros_like(weights)  # weights @ gram
-    active = np.ones(len(l1), dtype=bool)
+    curve = np.diag(gram) + l2
     used = np.flatnonzero(np.diag(gram) > 0)
-    for _ in range(MAX_SWEEPS):
-        largest_step = np.zeros(len(l1))
+    weights, fitted = np.zeros(len(moment)), np.zeros(len(moment))
+    sweeps = 0
+    while sweeps < MAX_SWEEPS:
+        before = weights.copy()
         for j in used:
-            old = weights[:, j]
-            pull = moment[j] - fitted[:, j] + gram[j, j] * old
-            new = np.sign(pull) * np.maximum(np.abs(pull) - l1, 0) / (gram[j, j] + l2)
-            step = np.where(active, new - old, 0.0)
-            weights[:, j] = old + step
-            fitted += step[:, None] * gram[j]
-            np.maximum(largest_step, np.abs(step), out=largest_step)
-        largest = np.abs(weights).max(axis=1, initial=0.0)
-        settled = active & (largest_step <= TOLERANCE * largest)
-        if settled.any():
-            gap = duality_gap(gram, moment, energy, weights, fitted, l1, l2)
-            active &= ~(settled & (gap < TOLERANCE * energy))
-            if not active.any():
+            pull = moment[j] - fitted[j] + gram[j, j] * weights[j]
+            new = math.copysign(max(abs(pull) - l1, 0.0), pull) / curve[j]
+            if new != weights[j]:
+                fitted += (new - weights[j]) * gram[j]
+                weights[j] = new
+        sweeps += 1
+        if stops(before[None], weights[None], gram, moment, energy, l1, l2)[0]:
+            break
+        signs = np.sign(weights)
+        if not np.array_equal(signs, np.sign(before)):
+            continue
+        block = sweep_block(gram, moment, l1, curve, signs)
+        while sweeps < MAX_SWEEPS:
+            ahead = block(weights)[: MAX_SWEEPS - sweeps]
+            starts = np.vstack([weights, ahead[:-1]])
+            pulls = moment - ahead @ np.tril(gram, -1).T - starts @ np.triu(gram, 1).T
+            turned = (np.sign(ahead) != signs).any(axis=1)
+            turned |= (np.abs(pulls[:, signs == 0]) > l1).any(axis=1)
+            stopped = ~turned & stops(starts, ahead, gram, moment, energy, l1, l2)
+            event = np.flatnonzero(turned | stopped)
+            if event.size and stopped[event[0]]:
+                return ahead[event[0]]
+            good = event[0] if event.size else len(ahead)
+            if good:
+                weights = ahead[good - 1].copy()
+                sweeps += good
+            if event.size:
                 break
+        fitted = gram @ weights
     return weights
 
 
-def duality_gap(gram, moment, energy, weights, fitted, l1, l2) -> np.ndarray:
-    """Distance between the primal objective and a feasible dual value."""
-    residual = energy - 2 * weights @ moment + np.einsum("cp,cp->c", weights, fitted)
-    size = np.einsum("cp,cp->c", weights, weights)
-    slack = np.abs(moment - fitted - l2[:, None] * weights).max(axis=1, initial=0.0)
+def sweep_block(gram, moment, l1, curve, signs):
+    """Function from weights to the next BLOCK sweeps, for fixed signs."""
+    on = np.flatnonzero(signs)
+    inner = gram[np.ix_(on, on)]
+    solver = np.linalg.inv(np.diag(curve[on]) + np.tril(inner, -1))
+    step, shift = -solver @ np.triu(inner, 1), solver @ (moment[on] - l1 * signs[on])
+    powers, shifts = [step], [shift]
+    for _ in range(BLOCK - 1):
+        powers.append(step @ powers[-1])
+        shifts.append(step @ shifts[-1] + shift)
+    stacked, offsets = np.concatenate(powers), np.concatenate(shifts)
+
+    def advance(weights: np.ndarray) -> np.ndarray:
+        ahead = np.zeros((BLOCK, len(weights)))
+        ahead[:, on] = (stacked @ weights[on] + offsets).reshape(BLOCK, len(on))
+        return ahead
+
+    return advance
+
+
+def stops(before, after, gram, moment, energy, l1, l2) -> np.ndarray:
+    """Whether each sweep (rows of before and after) meets the stopping rule."""
+    small = np.abs(after - before).max(axis=1) <= TOLERANCE * np.abs(after).max(axis=1)
+    if not small.any():
+        return small
+    fitted = after @ gram
+    agreement = energy - after @ moment
+    residual = agreement - after @ moment + np.einsum("sp,sp->s", after, fitted)
+    size = np.einsum("sp,sp->s", after, after)
+    slack = np.abs(moment - fitted - l2 * after).max(axis=1)
     shrink = np.where(slack > l1, l1 / np.where(slack > 0, slack, 1.0), 1.0)
-    primal = residual / 2 + l1 * np.abs(weights).sum(axis=1) + l2 * size / 2
-    dual = shrink * (energy - weights @ moment) - shrink**2 * residual / 2 - l2 * shrink**2 * size / 2
-    return primal - dual
+    primal = residual / 2 + l1 * np.abs(after).sum(axis=1) + l2 * size / 2
+    dual = shrink * agreement - shrink**2 * residual / 2 - l2 * shrink**2 * size / 2
+    return small & (primal - dual < TOLERANCE * energy)
 
 
 def solve(x: np.ndarray, y: np.ndarray, candidates: Sequence[Candidate]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +147,10 @@ def solve(x: np.ndarray, y: np.ndarray, candidates: Sequence[Candidate]) -> tupl
     net = [i for i, c in enumerate(candidates) if c.family == "elasticnet"]
     if ridge:
         weights[ridge] = ridge_weights(xc, yc, np.array([params[i]["alpha"] for i in ridge]))
-    if net:
-        alpha = np.array([params[i]["alpha"] for i in net]) * len(y)
-        ratio = np.array([params[i]["l1_ratio"] for i in net])
-        weights[net] = elastic_net_weights(xc, yc, alpha * ratio, alpha * (1 - ratio))
+    gram, moment, energy = xc.T @ xc, xc.T @ yc, float(yc @ yc)
+    for i in net:
+        penalty, ratio = params[i]["alpha"] * len(y), params[i]["l1_ratio"]
+        weights[i] = elastic_net_weights(gram, moment, energy, penalty * ratio, penalty * (1 - ratio))
     return level - weights @ centre, weights
 
 

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 EPSILON = 2.220446049250313e-16
 
-PARAMETER_COLUMNS = ("medians", "means", "scales", "modes", "categories")
-
 
 @dataclass(frozen=True)
 class FeatureSet:
@@ -38,55 +36,62 @@ def fit_preprocessor(train: DataFrame, keys: Sequence[str], features: FeatureSet
     one panel series, at most as many as there are months, which also bounds
     the exact medians and the category lists.
     """
-    total = F.count(F.lit(1)).cast("double")
-    medians, means, scales = [], [], []
-    for name in features.numeric:
-        value = F.col(name).cast("double")
-        known = F.count(value).cast("double")
-        median, mean, variance = F.median(value), F.avg(value), F.var_pop(value)
-        missing = total - known
-        full_mean = (known * mean + missing * median) / total
-        shift = mean - median
-        full_variance = (known * variance + known * missing / total * shift * shift) / total
-        # A constant column keeps its scale; rounding noise is not a spread.
-        noise = total * EPSILON * full_variance + F.pow(total * full_mean * EPSILON, F.lit(2.0))
-        medians.append(median)
-        means.append(full_mean)
-        scales.append(F.when(full_variance <= noise, F.lit(1.0)).otherwise(F.sqrt(full_variance)))
-    text = [F.col(name).cast("string") for name in features.categorical]
-    modes = [F.mode(value, True) for value in text]
-    categories = [F.array_sort(F.collect_set(value)) for value in text]
-    return train.groupBy(*keys).agg(
-        _array(medians, "array<double>").alias("medians"),
-        _array(means, "array<double>").alias("means"),
-        _array(scales, "array<double>").alias("scales"),
-        _array(modes, "array<string>").alias("modes"),
-        _array(categories, "array<array<string>>").alias("categories"),
+    counts = _each("double(count({0}))", features.numeric)
+    medians = _each("median(double({0}))", features.numeric)
+    means = _each("avg(double({0}))", features.numeric)
+    variances = _each("var_pop(double({0}))", features.numeric)
+    modes = _each("mode(string({0}), true)", features.categorical)
+    categories = _each("array_sort(collect_set(string({0})))", features.categorical)
+    learned = train.groupBy(*keys).agg(
+        F.expr("double(count(1))").alias("total"),
+        F.expr(f"cast({counts} as array<double>)").alias("counts"),
+        F.expr(f"cast({medians} as array<double>)").alias("medians"),
+        F.expr(f"cast({means} as array<double>)").alias("means"),
+        F.expr(f"cast({variances} as array<double>)").alias("variances"),
+        F.expr(f"cast({modes} as array<string>)").alias("modes"),
+        F.expr(f"cast({categories} as array<array<string>>)").alias("categories"),
+    )
+    full_mean = "transform(counts, (k, i) -> (k * means[i] + (total - k) * medians[i]) / total)"
+    full_variance = (
+        "transform(counts, (k, i) -> (k * variances[i]"
+        " + k * (total - k) / total * pow(means[i] - medians[i], 2)) / total)"
+    )
+    # A constant column keeps its scale: rounding noise is not a spread.
+    scale = (
+        f"transform({full_variance}, (v, i) -> if(v <= total * {EPSILON} * v"
+        f" + pow(total * {EPSILON} * means[i], 2), 1D, sqrt(v)))"
+    )
+    return learned.select(
+        *keys,
+        "medians",
+        F.expr(full_mean).alias("means"),
+        F.expr(scale).alias("scales"),
+        "modes",
+        "categories",
     )
 
 
-def _array(items: Sequence[Column], kind: str) -> Column:
-    return F.array(*items).cast(kind)
-
+def _each(template: str, columns: Sequence[str]) -> str:
+    """SQL array with the template filled in for every column."""
+    return "array(" + ", ".join(template.format(f"`{c}`") for c in columns) + ")"
 
-def scaled(value: Column, i: int) -> Column:
-    """Imputed and standardised numeric feature i; 0 for an all-null column."""
-    filled = F.coalesce(value.cast("double"), F.col("medians")[i])
-    return F.coalesce((filled - F.col("means")[i]) / F.col("scales")[i], F.lit(0.0))
 
+def feature_vector(features: FeatureSet) -> Column:
+    """Array of imputed, scaled numeric features, then the one-hot slots.
 
-def one_hot(value: Column, i: int) -> Column:
-    """1.0 in the slot of the value's category; unseen values are all zeros."""
-    filled = F.coalesce(value.cast("string"), F.col("modes")[i])
-    return F.transform(
-        F.col("categories")[i], lambda category: F.when(category == filled, F.lit(1.0)).otherwise(F.lit(0.0))
+    A column that was all null in training is 0; a category not seen in
+    training has all its slots 0.
+    """
+    values = f"cast({_each('double({0})', features.numeric)} as array<double>)"
+    labels = f"cast({_each('string({0})', features.categorical)} as array<string>)"
+    numeric = (
+        f"transform({values}, (x, i) -> coalesce((coalesce(x, medians[i]) - means[i]) / scales[i], 0D))"
     )
-
-
-def feature_vector(features: FeatureSet) -> Column:
-    """Array of scaled numeric features followed by the one-hot slots."""
-    numeric = F.array(*[scaled(F.col(c), i) for i, c in enumerate(features.numeric)]).cast("array<double>")
-    return F.concat(numeric, *[one_hot(F.col(c), i) for i, c in enumerate(features.categorical)])
+    slots = (
+        f"flatten(transform({labels}, (x, i) -> "
+        "transform(categories[i], c -> if(c = coalesce(x, modes[i]), 1D, 0D))))"
+    )
+    return F.expr(f"concat({numeric}, {slots})")
 
 
 def apply_preprocessor(

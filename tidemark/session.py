@@ -15,6 +15,9 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Wide feature plans hold thousands of expressions; recording the Python
+    # call site of each one takes longer than planning them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
