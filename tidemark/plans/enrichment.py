@@ -34,11 +34,14 @@ def with_date(panel: DataFrame, date: str = "date") -> DataFrame:
     raise ValueError("the panel needs a date column or both year and month")
 
 
-def with_event_flags(panel: DataFrame, date: str = "date") -> DataFrame:
+def with_event_flags(
+    panel: DataFrame, date: str = "date", closure: tuple[str, str] = CLOSURE, loss: str = CONTRACT_LOSS
+) -> DataFrame:
+    """Flags for the closed closure interval and for every date from the loss on."""
     return panel.withColumns(
         {
-            "covid_flag": between_flag(F.col(date), *CLOSURE),
-            "cms_loss_flag": since_flag(F.col(date), CONTRACT_LOSS),
+            "covid_flag": between_flag(F.col(date), *closure),
+            "cms_loss_flag": since_flag(F.col(date), loss),
         }
     )
 
@@ -50,9 +53,11 @@ def enrich_panel(
     label: str = "enso_outlook",
     economic_columns: Sequence[str] = ECONOMIC_COLUMNS,
     date: str = "date",
+    closure: tuple[str, str] = CLOSURE,
+    loss: str = CONTRACT_LOSS,
 ) -> DataFrame:
     """Add flags, the year's label (filled over gaps) and monthly covariates."""
-    flagged = with_event_flags(with_date(panel, date), date).withColumn("year", F.year(date))
+    flagged = with_event_flags(with_date(panel, date), date, closure, loss).withColumn("year", F.year(date))
     annual = labels.select(to_integer(F.col("year")).alias("year"), label)
     labelled = fill_by_date(attach_dimension(flagged, annual, ["year"], [label]), [label], date)
     full = attach_dimension(labelled, economics, ["year", "month"], economic_columns)
