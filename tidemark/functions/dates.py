@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -30,10 +31,36 @@ SEASONS = {
 }
 
 
+def layout_pattern(layout: str) -> str:
+    """Regular expression of the texts that a date layout can read."""
+    pattern = ""
+    for run in re.findall(r"'[^']*'|y+|M+|[dHhms]+?(?=[^dHhms]|$)|a|.", layout):
+        letter = run[0]
+        if letter == "'":
+            pattern += re.escape(run.strip("'"))
+        elif letter == "y":
+            pattern += rf"\d{{{len(run)}}}"
+        elif letter == "M" and len(run) > 2:
+            pattern += r"\p{L}+"
+        elif letter in "MdHhms":
+            pattern += r"\d{2}" if len(run) == 2 else r"\d{1,2}"
+        elif letter == "a":
+            pattern += "[AaPp][Mm]"
+        else:
+            pattern += re.escape(letter)
+    return f"^{pattern}$"
+
+
 def parse_timestamp(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Coercing parse: the first layout that fits, else null."""
+    """Coercing parse: the first layout that fits, else null.
+
+    A layout is only tried on text of its shape, since a failed parse costs an
+    exception per row.
+    """
     trimmed = F.trim(text)
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in formats])
+    return F.coalesce(
+        *[F.when(trimmed.rlike(layout_pattern(f)), F.try_to_timestamp(trimmed, F.lit(f))) for f in formats]
+    )
 
 
 def strict_date(text: Column) -> Column:

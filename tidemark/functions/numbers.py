@@ -12,7 +12,7 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 def to_number(text: Column) -> Column:
     """Text to double; anything that is not a plain number becomes null."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.regexp_extract(text, NUMBER, 0).try_cast("double")
 
 
 def to_number_or_zero(text: Column) -> Column:

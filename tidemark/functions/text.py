@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r"[\s\p{Z}]+"
+# Every character that counts as white space.
+SPACE_CHARS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -21,7 +23,7 @@ def collapse_spaces(text: Column) -> Column:
 
 def clean_key(text: Column) -> Column:
     """Trimmed, lower-case grouping key."""
-    return F.lower(F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    return F.lower(F.trim(text, F.lit(SPACE_CHARS)))
 
 
 @dataclass(frozen=True)
@@ -39,16 +41,26 @@ def numbered_course_rules(brand: str, levels: Sequence[int] = (1, 2), marker: st
 
 
 def canonical_key(text: Column, rules: Sequence[KeyRule] = ()) -> Column:
-    """Clean a name, then apply the rules in order to the result so far.
-
-    A later rule sees what an earlier one produced, as repeated conditional
-    overwrites would.
-    """
+    """Clean a name, then apply the rules in order, each to the result so far."""
     key = clean_key(text)
+    if any(_applies(later, rule.key) for i, rule in enumerate(rules) for later in rules[i + 1 :]):
+        for rule in rules:
+            key = F.when(_matches(key, rule), F.lit(rule.key)).otherwise(key)
+        return key
+    # No rule's key sets off a later rule, so the first match is final and one
+    # CASE does, where nesting would repeat the key's expression in every layer.
+    chain = None
     for rule in rules:
-        hit = key.rlike(rule.pattern) & key.contains(rule.marker)
-        key = F.when(hit, F.lit(rule.key)).otherwise(key)
-    return key
+        chain = (F if chain is None else chain).when(_matches(key, rule), F.lit(rule.key))
+    return key if chain is None else chain.otherwise(key)
+
+
+def _matches(key: Column, rule: KeyRule) -> Column:
+    return key.contains(rule.marker) & key.rlike(rule.pattern)
+
+
+def _applies(rule: KeyRule, key: str) -> bool:
+    return rule.marker in key and re.search(rule.pattern, key) is not None
 
 
 def last_part(text: Column, separator: str = ",") -> Column:

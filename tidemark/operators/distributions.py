@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import join_group_values
+
 # A Gaussian kernel is exactly 0.0 in double precision beyond this many
 # bandwidths, so skipping such grid points changes no result.
 KERNEL_REACH = 39.0
@@ -23,7 +25,7 @@ def histogram(df: DataFrame, group: str, value: str, bins: int = 30) -> DataFram
     width = F.col("_hi") - F.col("_lo")
     cell = F.floor((F.col("_v") - F.col("_lo")) / width * bins) + 1
     number = F.when(width == 0, F.lit(1)).otherwise(F.least(cell, F.lit(bins)))
-    counted = rows.join(ranges, group).groupBy(group, number.cast("int").alias("bin"), "_lo", "_hi")
+    counted = join_group_values(rows, ranges, [group]).groupBy(group, number.cast("int").alias("bin"), "_lo", "_hi")
     step = F.when(width == 0, F.lit(1.0)).otherwise(width / bins)
     return counted.agg(F.count(F.lit(1)).alias("count")).select(
         group,
@@ -60,7 +62,7 @@ def density(df: DataFrame, group: str, value: str, points: int = 200) -> DataFra
     reach = F.lit(KERNEL_REACH) * F.col("_h") / F.col("_step")
     first = F.greatest(F.lit(0), F.ceil(place - reach)).cast("int")
     last = F.least(F.lit(points - 1), F.floor(place + reach)).cast("int")
-    spread = counted.join(usable, group).withColumn("point", F.explode(F.sequence(first, last)))
+    spread = join_group_values(counted, usable, [group]).withColumn("point", F.explode(F.sequence(first, last)))
     x = F.col("_lo") + F.col("point") * F.col("_step")
     u = (x - F.col("_v")) / F.col("_h")
     kernel = F.col("_c") * F.exp(-u * u / 2)

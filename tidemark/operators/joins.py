@@ -8,6 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ensure_checkpoint_dir
+
+# Largest group table that is broadcast: a few MB at one short row per group.
+BROADCAST_GROUPS = 100_000
+
 HOWS = ("inner", "outer", "left", "right")
 
 
@@ -52,6 +57,23 @@ def attach_dimension(facts: DataFrame, dimension: DataFrame, keys: Sequence[str]
     return facts.join(dimension.select(*keys, *columns), list(keys), "left")
 
 
+def join_group_values(
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_GROUPS
+) -> DataFrame:
+    """Join one row of values per group back to the rows.
+
+    The group table is computed once and kept in the checkpoint folder. With at
+    most ``limit`` groups, by count, it is broadcast, so the rows stay where they
+    are; with more, both sides are shuffled and adaptive execution splits the
+    keys that hold too many rows.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    held = groups.checkpoint()
+    if held.count() <= limit:
+        held = F.broadcast(held)
+    return rows.join(held, list(keys), how)
+
+
 def top_groups(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
     """The k keys with most non-null values; ties go to the smaller key."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(value).alias("n"))

@@ -16,6 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import ship_with_tasks
+
+ship_with_tasks(__name__)
+
 # Fixed candidate grids.
 RIDGE_GRID = {"alpha": (0.1, 1.0, 10.0, 100.0)}
 ELASTIC_NET_GRID = {"alpha": (0.01, 0.05, 0.1, 0.5), "l1_ratio": (0.1, 0.3, 0.5, 0.7, 0.9)}
@@ -154,6 +158,16 @@ def solve(x: np.ndarray, y: np.ndarray, candidates: Sequence[Candidate]) -> tupl
     return level - weights @ centre, weights
 
 
+def spread_groups(rows: DataFrame, *keys: str) -> DataFrame:
+    """Hash the groups over a fixed number of partitions.
+
+    Fitting costs far more than its input's size suggests; left to size alone,
+    adaptive execution would merge the small partitions into a few tasks.
+    """
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, *keys)
+
+
 def _matrix(group: pd.DataFrame) -> np.ndarray:
     return np.stack(group["features"].to_numpy())
 
@@ -193,7 +207,8 @@ def cross_predict(
         "model_name string, actual double, prediction double"
     )
     columns = [series, "fold", "role", date, target, "features"]
-    return matrix.select(*columns).groupBy(series, "fold").applyInPandas(fit_group, schema)
+    groups = spread_groups(matrix.select(*columns), series, "fold")
+    return groups.groupBy(series, "fold").applyInPandas(fit_group, schema)
 
 
 def fit_linear(
@@ -216,7 +231,8 @@ def fit_linear(
 
     kind = dict(matrix.dtypes)[series]
     schema = f"`{series}` {kind}, model_name string, intercept double, weights array<double>"
-    return matrix.select(series, date, target, "features").groupBy(series).applyInPandas(fit_group, schema)
+    groups = spread_groups(matrix.select(series, date, target, "features"), series)
+    return groups.groupBy(series).applyInPandas(fit_group, schema)
 
 
 def linear_prediction() -> Column:

@@ -7,6 +7,7 @@ so a key that holds a third of the rows sends one row per map task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from tidemark.functions.dates import month_start, month_start_from
 
 def drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Groups with a null key are left out of every rollup."""
-    return df.na.drop(how="any", subset=list(keys)) if keys else df
+    return reduce(lambda rows, key: rows.filter(F.col(key).isNotNull()), keys, df)
 
 
 def with_month_parts(df: DataFrame, date: str, year: str = "year", month: str = "month") -> DataFrame:
@@ -36,29 +37,50 @@ def rollup(
     means: Mapping[str, str] | None = None,
     counts: Mapping[str, str] | None = None,
     firsts: Mapping[str, str] | None = None,
-    first_order: Sequence[str] = (),
+    first_order: str | None = None,
+    present: Sequence[str] | None = None,
 ) -> DataFrame:
     """Group by keys; each mapping is output name -> input column.
 
-    ``firsts`` takes the first non-null value in ``first_order``, or the
-    smallest value when no order is given, so reruns agree.
+    Rows with a null key are dropped; ``present`` limits the check to the keys
+    that can be null, for keys costly to work out. ``firsts`` takes the first non-null value by a numeric ``first_order``
+    column, or the smallest value when there is none, so reruns agree.
     """
-    aggregates = [sum_or_zero(F.col(c)).alias(n) for n, c in (sums or {}).items()]
-    aggregates += [F.avg(c).alias(n) for n, c in (means or {}).items()]
-    aggregates += [F.count(c).alias(n) for n, c in (counts or {}).items()]
-    for name, column in (firsts or {}).items():
-        if first_order:
-            place = F.when(F.col(column).isNotNull(), F.struct(*first_order))
-            aggregates.append(F.min_by(F.col(column), place).alias(name))
-        else:
-            aggregates.append(F.min(column).alias(name))
-    return drop_null_keys(df, keys).groupBy(*keys).agg(*aggregates)
+    sums, means, counts, firsts = sums or {}, means or {}, counts or {}, firsts or {}
+    rows = drop_null_keys(df, keys if present is None else present)
+    if not firsts:
+        return rows.groupBy(*keys).agg(
+            *[sum_or_zero(F.col(c)).alias(n) for n, c in sums.items()],
+            *[F.avg(c).alias(n) for n, c in means.items()],
+            *[F.count(c).alias(n) for n, c in counts.items()],
+        )
+    # Text cannot live in a hash aggregation's buffer: it would sort all rows. As
+    # a grouping key it can, and the few distinct values are settled afterwards.
+    place = F.min(first_order) if first_order else F.lit(0)
+    fine = rows.select("*", *[F.col(c).alias(f"_f_{n}") for n, c in firsts.items()])
+    fine = fine.groupBy(*keys, *[f"_f_{n}" for n in firsts]).agg(
+        *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],
+        *[F.sum(F.col(c).cast("double")).alias(f"_t_{n}") for n, c in means.items()],
+        *[F.count(c).alias(f"_c_{n}") for n, c in {**means, **counts}.items()],
+        place.alias("_place"),
+    )
+
+    def first(name: str) -> Column:
+        value = F.col(f"_f_{name}")
+        return F.min_by(value, F.when(value.isNotNull(), F.struct("_place", value)))
+
+    return fine.groupBy(*keys).agg(
+        *[sum_or_zero(F.col(f"_s_{n}")).alias(n) for n in sums],
+        *[F.try_divide(F.sum(f"_t_{n}"), F.sum(f"_c_{n}")).alias(n) for n in means],
+        *[F.sum(f"_c_{n}").alias(n) for n in counts],
+        *[first(n).alias(n) for n in firsts],
+    )
 
 
 def monthly_rollup(df: DataFrame, date: str, series: Sequence[str], **aggregates) -> DataFrame:
     """Rollup by (series, year, month) with the month start as ``year_month``."""
     months = with_month_parts(df.filter(F.col(date).isNotNull()), date)
-    out = rollup(months, [*series, "year", "month"], **aggregates)
+    out = rollup(months, [*series, "year", "month"], present=series, **aggregates)
     return out.withColumn("year_month", month_start_from(F.col("year"), F.col("month")))
 
 

@@ -94,13 +94,10 @@ def pooled_input(rows: DataFrame, features: FeatureSet, series: str, target: str
     return rows.withColumns({**casts, BUCKET: bucket})
 
 
-def fit_pooled(
-    train: DataFrame, candidate: Candidate, features: FeatureSet, series: str, target: str
-) -> PipelineModel:
-    """Median imputation, category indexing and one tree model over all series."""
-    data = pooled_input(train, features, series, target)
+def fit_inputs(train: DataFrame, features: FeatureSet) -> PipelineModel:
+    """Median imputation, category indexing and assembly of ``_features``."""
     # A column without any training value carries nothing and cannot be imputed.
-    counts = data.agg(*[F.count(c).alias(c) for c in [*features.numeric, *features.categorical]]).first()
+    counts = train.agg(*[F.count(c).alias(c) for c in features.names]).first()
     numeric = [c for c in features.numeric if counts[c]]
     categorical = [*[c for c in features.categorical if counts[c]], BUCKET]
     filled = [f"_filled_{i}" for i in range(len(numeric))]
@@ -109,9 +106,18 @@ def fit_pooled(
         Imputer(strategy="median", inputCols=numeric, outputCols=filled),
         StringIndexer(inputCols=categorical, outputCols=indexed, handleInvalid="keep"),
         VectorAssembler(inputCols=[*filled, *indexed], outputCol="_features"),
-        estimator(candidate, target),
     ]
-    return Pipeline(stages=stages).fit(data)
+    return Pipeline(stages=stages).fit(train)
+
+
+def fit_pooled(
+    train: DataFrame, candidate: Candidate, features: FeatureSet, series: str, target: str
+) -> PipelineModel:
+    """Input stages and one tree model over all series."""
+    data = pooled_input(train, features, series, target)
+    inputs = fit_inputs(data, features)
+    model = estimator(candidate, target).fit(inputs.transform(data).select(target, "_features"))
+    return PipelineModel([*inputs.stages, model])
 
 
 def predict_pooled(model: PipelineModel, rows: DataFrame, features: FeatureSet, series: str, target: str) -> DataFrame:
@@ -129,25 +135,26 @@ def cross_predict_pooled(
     candidates: Sequence[Candidate] = SMALL_TREE_CANDIDATES,
 ) -> DataFrame:
     """Validation predictions of every candidate and fold, as the linear family
-    gives them. ``folds`` comes from ``expanding_folds``."""
+    gives them. ``folds`` comes from ``expanding_folds``.
+
+    The folds are written once to the checkpoint folder, since every fit reads
+    them; a fold's input stages are fitted once for all candidates.
+    """
+    ensure_checkpoint_dir(folds.sparkSession)
+    held = pooled_input(folds, features, series, target).checkpoint()
     # Fold numbers are bounded by the calendar.
-    numbers = [r.fold for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    numbers = [r.fold for r in held.select("fold").distinct().orderBy("fold").collect()]
     parts = []
     for number in numbers:
-        fold = folds.filter(F.col("fold") == number)
+        fold = held.filter(F.col("fold") == number)
         train, valid = fold.filter(F.col("role") == "train"), fold.filter(F.col("role") == "valid")
+        inputs = fit_inputs(train, features)
+        ready_train = inputs.transform(train).select(target, "_features")
+        ready_valid = inputs.transform(valid).select(series, "fold", date, target, "_features")
         for candidate in candidates:
-            model = fit_pooled(train, candidate, features, series, target)
-            parts.append(
-                predict_pooled(model, valid, features, series, target).select(
-                    series,
-                    "fold",
-                    date,
-                    F.lit(candidate.label).alias("model_name"),
-                    F.col(target).cast("double").alias("actual"),
-                    "prediction",
-                )
-            )
+            scored = estimator(candidate, target).fit(ready_train).transform(ready_valid)
+            label = F.lit(candidate.label).alias("model_name")
+            parts.append(scored.select(series, "fold", date, label, F.col(target).alias("actual"), "prediction"))
     return stack_frames(parts)
 
 

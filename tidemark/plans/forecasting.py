@@ -23,6 +23,7 @@ from tidemark.operators.linear import (
 from tidemark.operators.preprocess import FeatureSet, apply_preprocessor, feature_vector, fit_preprocessor
 from tidemark.operators.selection import best_models, fold_metrics, mean_metrics, top_per_group
 from tidemark.operators.trees import cross_predict_pooled, fit_pooled, recursive_forecast_pooled
+from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources.exports import require_columns
 
 
@@ -43,14 +44,19 @@ class ForecastSpec:
 
 
 class PanelForecast:
-    """Lazy pieces of one run over one panel; nothing is computed until read."""
+    """The steps of one run over one panel.
+
+    The panel, a rollup far smaller than its source, is written once to the
+    checkpoint folder, so no later step goes back to the raw rows. The steps
+    themselves are lazy.
+    """
 
     def __init__(self, panel: DataFrame, spec: ForecastSpec = ForecastSpec()):
         require_columns(panel, [spec.series, spec.date, spec.target])
+        ensure_checkpoint_dir(panel.sparkSession)
         self.spec = spec
-        self.panel = panel.filter(F.col(spec.series).isNotNull()).withColumn(
-            spec.date, F.col(spec.date).cast("date")
-        )
+        dated = panel.filter(F.col(spec.series).isNotNull()).withColumn(spec.date, F.col(spec.date).cast("date"))
+        self.panel = dated.checkpoint()
         featured = panel_features(self.panel, spec.series, spec.date, spec.target)
         numeric, categorical = feature_columns(
             featured, [spec.series, spec.date], spec.target, spec.exclude_leaky

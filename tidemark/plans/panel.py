@@ -14,6 +14,7 @@ from tidemark.functions.text import KeyRule, canonical_key, last_part
 from tidemark.operators.joins import merge_on_keys
 from tidemark.operators.quantiles import trimmed_mean
 from tidemark.operators.rollup import monthly_rollup
+from tidemark.session import keep_table
 
 # Fixed column names of the exports and of the panel.
 COURSE_COLUMNS = ("Course Type Name", "Start Date", "Enrolled", "Student Price")
@@ -41,10 +42,11 @@ def _named(rows: DataFrame, date: str, options: CleanOptions) -> DataFrame:
             "course": F.col("`Course Type Name`"),
             "start_date": parse_timestamp(F.col(f"`{date}`"), options.formats),
         }
-    ).na.drop(subset=["start_date", "course"])
+    ).filter(F.col("course").isNotNull() & F.col("start_date").isNotNull())
     if options.min_date is not None:
         named = named.filter(F.col("start_date") > F.lit(options.min_date).cast("timestamp"))
-    return named.withColumn(SERIES, canonical_key(F.col("course"), options.rules))
+    # With a name the key is never null; saying so spares later null checks on it.
+    return named.withColumn(SERIES, F.coalesce(canonical_key(F.col("course"), options.rules), F.lit("")))
 
 
 def clean_courses(rows: DataFrame, options: CleanOptions = CleanOptions()) -> DataFrame:
@@ -58,12 +60,12 @@ def clean_courses(rows: DataFrame, options: CleanOptions = CleanOptions()) -> Da
 
 
 def clean_students(rows: DataFrame, options: CleanOptions = CleanOptions()) -> DataFrame:
-    return _named(rows, "Course Start Date", options).na.drop(subset=["ID"])
+    return _named(rows.filter(F.col("ID").isNotNull()), "Course Start Date", options)
 
 
 def enrollment_by_month(courses: DataFrame) -> DataFrame:
     """Enrolled sum, mean price and first raw name per (month, year, series)."""
-    order = [c for c in ("source_file", "source_row") if c in courses.columns]
+    order = "source_row" if "source_row" in courses.columns else None
     out = monthly_rollup(
         courses,
         "start_date",
@@ -89,13 +91,17 @@ def with_country(rows: DataFrame, location: str = "Location") -> DataFrame:
 
 
 def home_prices(
-    courses: DataFrame, country: str = HOME_COUNTRY, low: float = 0.05, high: float = 0.95
+    courses: DataFrame,
+    country: str = HOME_COUNTRY,
+    low: float = 0.05,
+    high: float = 0.95,
+    digits: int | None = 2,
 ) -> DataFrame:
     """Trimmed monthly mean price of courses in one country."""
     local = with_country(courses).filter(F.col("country") == country)
-    dated = local.withColumns({"year": F.year("start_date"), "month": F.month("start_date")})
+    priced = local.withColumns({"year": F.year("start_date"), "month": F.month("start_date")})
     return trimmed_mean(
-        dated, SERIES, "student_price", ["year", "month", SERIES], low, high, name="mean_student_price"
+        priced, SERIES, "student_price", ["year", "month", SERIES], low, high, "mean_student_price", digits
     )
 
 
@@ -118,12 +124,23 @@ def build_panel(
     options: CleanOptions = CleanOptions(),
     country: str = HOME_COUNTRY,
     first_year: int = FIRST_YEAR,
+    digits: int | None = 2,
 ) -> DataFrame:
-    """Raw course and student rows to the monthly panel, ordered by series and month."""
+    """Raw course and student rows to the monthly panel, ordered by series and month.
+
+    The cleaned course rows feed the rollup and the three passes of the trimmed
+    mean, so their few columns are written once instead of parsing the exports
+    again for each.
+    """
     courses = clean_courses(course_rows, options)
+    kept = (SERIES, "course", "start_date", "enrolled", "student_price", "Location", "source_row")
+    courses = keep_table(courses.select(*[c for c in kept if c in courses.columns]))
     students = clean_students(student_rows, options)
-    located = courses.na.drop(subset=["Location"]) if "Location" in courses.columns else courses
+    located = courses.filter(F.col("Location").isNotNull()) if "Location" in courses.columns else courses
     panel = merge_panel(
-        enrollment_by_month(courses), students_by_month(students), home_prices(located, country), first_year
+        enrollment_by_month(courses),
+        students_by_month(students),
+        home_prices(located, country, digits=digits),
+        first_year,
     )
     return panel.orderBy(SERIES, "year", "month")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution picks broadcast or shuffle joins from measured sizes and
 # splits skewed partitions, so no operator here forces a broadcast of a side
@@ -43,3 +46,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """Path of a new folder next to the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def keep_table(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For intermediate results that several steps read: the work before is done
+    once, the columns stay prunable, and a lost executor costs no recomputation.
+    """
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_with_tasks(module_name: str) -> None:
+    """Send a module's functions along with the tasks that call them, so workers
+    need not have this package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])

@@ -7,10 +7,14 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
+
+from tidemark.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 HEADER_SCHEMA = "path string, header string"
 HEADER_BYTES = 1 << 16
@@ -56,8 +60,9 @@ def read_export_folder(
     Headers are read in parallel (64 KB per file); files lacking a required
     column are skipped. Files with the same header share one CSV scan, so the
     number of scans is the number of layouts, not of files. ``source_file``
-    and ``source_row`` give a row order. ``multi_line`` keeps quoted line
-    breaks whole; turn it off for huge files without any, which then split.
+    names a row's file and ``source_row`` numbers the rows of a layout in scan
+    order. ``multi_line`` keeps quoted line breaks whole; turn it off for huge
+    files without any, which then split.
     """
     files = list_files(spark, folder, pattern)
     headers = files.mapInPandas(_read_headers, HEADER_SCHEMA)
@@ -86,10 +91,7 @@ def read_export_folder(
             scan.select(
                 *[F.col(f"`{c}`") for c in required],
                 F.col("_metadata.file_path").alias("source_file"),
-                F.struct(
-                    F.col("_metadata.file_block_start").alias("block"),
-                    F.monotonically_increasing_id().alias("row"),
-                ).alias("source_row"),
+                F.monotonically_increasing_id().alias("source_row"),
             )
         )
     return reduce(lambda a, b: a.unionByName(b), scans)

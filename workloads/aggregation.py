@@ -39,7 +39,7 @@ register = Register()
     SELECT o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
            CAST(date_trunc('month', o_orderdate) AS DATE) AS year_month,
            {sql_fixed("sum(o_totalprice)", 2)} AS total, {sql_fixed("avg(o_totalprice)")} AS mean_price,
-           count(o_custkey) AS n_orders, arg_min(o_orderstatus, (o_orderdate, o_orderkey)) AS first_status
+           count(o_custkey) AS n_orders, arg_min(o_orderstatus, o_orderkey) AS first_status
     FROM orders GROUP BY ALL
     """,
 )
@@ -52,7 +52,7 @@ def rollup_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         means={"mean_price": "o_totalprice"},
         counts={"n_orders": "o_custkey"},
         firsts={"first_status": "o_orderstatus"},
-        first_order=["o_orderdate", "o_orderkey"],
+        first_order="o_orderkey",
     )
     return out.withColumns({"total": fixed(F.col("total"), 2), "mean_price": fixed(F.col("mean_price"))})
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from tidemark.plans.panel import (
     students_by_month,
     clean_students,
 )
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import shared_folder
 from tidemark.sources.exports import read_export_folder
 from tidemark.sources.sinks import write_csv
 from workloads.base import Register, fixed, sql_fixed, table
@@ -101,16 +99,10 @@ STUDENTS_SQL = f"""
 )
 def panel_from_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows to the merged monthly panel: rollups, trimmed mean, outer merge."""
-    panel = build_panel(course_rows(spark, sf_dir), student_rows(spark, sf_dir), OPTIONS, "EUROPE", 1997)
+    panel = build_panel(course_rows(spark, sf_dir), student_rows(spark, sf_dir), OPTIONS, "EUROPE", 1997, digits=None)
     return panel.withColumn("mean_student_price", fixed(F.col("mean_student_price"), 2))
 
 
-def export_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/exports-{uuid.uuid4().hex}"
-
-
 @register.add(
     "folder_scan_rollup",
     f"""
@@ -124,7 +116,7 @@ def export_folder(spark: SparkSession) -> str:
 def folder_scan_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exports written as CSV files of several layouts in one folder, read back
     with the required-column guard, cleaned and rolled up."""
-    folder = export_folder(spark)
+    folder = shared_folder(spark, "exports")
     courses, students = course_rows(spark, sf_dir), student_rows(spark, sf_dir)
     low = F.col("`Student Price`") == ""
     layouts = {

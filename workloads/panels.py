@@ -156,7 +156,7 @@ def yearly_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l_orderkey, l_linenumber, l_partkey,
            {sql_fixed("(l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER ()")}
                AS l_extendedprice_z,
-           CASE WHEN stddev_samp(flat) OVER () = 0 THEN 0.0 END AS flat_z
+           CASE WHEN stddev_samp(flat) OVER () = 0 THEN 0.0::DOUBLE END AS flat_z
     FROM (SELECT *, 1.0::DOUBLE AS flat FROM lineitem)
     """,
 )
