@@ -98,7 +98,7 @@ def panel(spark):
             if s == "gappy" and date.month in (6, 7):
                 continue
             level = 50 + 20 * np.sin(i / 12 * 2 * np.pi) + i + random.normal()
-            target = None if i in (7, size - 1) else round(level, 2)
+            target = None if i in (7, size - 1) else round(float(level), 2)
             rows.append((s, date, date.year, date.month, target, float(i % 7), "wet" if i % 3 else None, int(i > size - 4)))
     schema = "s string, date date, year int, month int, y double, x double, c string, covid_flag int"
     return spark.createDataFrame(rows, schema)
