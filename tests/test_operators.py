@@ -18,7 +18,7 @@ from tidemark.operators.folds import expanding_folds, history_gate
 from tidemark.operators.joins import join_group_values, merge_on_keys
 from tidemark.operators.quantiles import group_quantiles, trimmed_mean
 from tidemark.operators.rollup import aggregate_to_month, monthly_rollup, most_frequent, rollup
-from tidemark.operators.selection import best_models, best_per_group
+from tidemark.operators.selection import best_models, best_per_group, top_per_group
 from tidemark.operators.series import pct_change, zscores
 
 
@@ -87,10 +87,21 @@ def test_fill_with_tied_order(spark, skewed):
 
 
 def test_chunks_share_the_rows(spark, skewed):
-    sizes = with_order_chunks(to_spark(spark, skewed), "id", 8).groupBy("_chunk").count().toPandas()["count"]
+    sizes = with_order_chunks(to_spark(spark, skewed), "id", chunks=8).groupBy("_chunk").count().toPandas()["count"]
     assert len(sizes) == 8 and sizes.max() < 1.2 * len(skewed) / 8
 
 
+def test_fill_with_a_third_of_the_rows_on_one_day(spark, skewed):
+    day = F.when(F.col("g") == "hot", F.lit(3000)).otherwise(F.col("id"))
+    df = to_spark(spark, skewed).withColumn("day", day)
+    sizes = with_order_chunks(df, "day", ["id"], 8).groupBy("_chunk").count().toPandas()["count"]
+    assert sizes.max() < 1.3 * len(skewed) / 8
+    got = fill_in_order(df, ["v"], "day", tie=["id"], chunks=8).toPandas().set_index("id")["v"]
+    frame = skewed.assign(day=np.where(skewed.g == "hot", 3000, skewed.id)).sort_values(["day", "id"])
+    want = frame.set_index("id")["v"].ffill().bfill()
+    np.testing.assert_allclose(got.sort_index(), want.sort_index())
+
+
 def test_fill_all_null(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "id long, v double")
     assert [r.v for r in fill_in_order(df, ["v"], "id").collect()] == [None, None]
@@ -222,6 +233,14 @@ def test_best_rows_put_nulls_last(spark):
     assert best_per_group(df, ["s"], ["rmse_mean"]).columns == df.columns
 
 
+def test_top_rows_are_cut_before_the_shuffle(spark, skewed):
+    top = top_per_group(to_spark(spark, skewed), ["g"], [F.col("v").desc_nulls_last(), "id"], 3)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    want = skewed.sort_values(["v", "id"], ascending=[False, True]).groupby("g").head(3)
+    assert sorted(r.id for r in top.collect()) == sorted(want.id)
+
+
 def test_top_groups_break_ties_by_key(spark):
     df = spark.createDataFrame([(k, 1.0) for k in "bbaacd"], "k string, v double")
     assert [r.k for r in joins.top_groups(df, "k", "v", 3).collect()] == ["a", "b", "c"]

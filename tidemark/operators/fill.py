@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = "_chunk"
 PLACE = "_place"
+TIE_PLACE = "_tie_place"
 
 
 def order_number(df: DataFrame, column: str) -> Column:
@@ -25,25 +28,40 @@ def order_number(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def with_order_chunks(df: DataFrame, order: str, chunks: int | None = None) -> DataFrame:
-    """Add a chunk number that grows with the order column.
+def _bucketed(df: DataFrame, column: str, name: str, cuts: Sequence[float]) -> DataFrame:
+    splits = [-math.inf, *sorted(cuts), math.inf]
+    return Bucketizer(inputCol=column, outputCol=name, splits=splits, handleInvalid="keep").transform(df)
 
-    Cut points are approximate quantiles of the whole column (one pass, the
-    driver sees only ``chunks`` numbers), so each chunk holds about 1/chunks of
-    the rows and any (group, chunk) at most that. Where the cuts fall affects
-    balance only.
+
+def with_order_chunks(
+    df: DataFrame, order: str, tie: Sequence[str] = (), chunks: int | None = None
+) -> DataFrame:
+    """Add a chunk number that grows with (order, tie).
+
+    Cut points are approximate quantiles of the whole order column (one pass,
+    the driver sees only ``chunks`` numbers), so each chunk holds about 1/chunks
+    of the rows. An order value so frequent that it fills a chunk of its own is
+    cut further by the first tie column. Where the cuts fall affects balance
+    only.
     """
     spark = df.sparkSession
     count = max(2, chunks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    probabilities = [i / count for i in range(1, count)]
+    error = min(0.001, 0.25 / count)
     placed = df.withColumn(PLACE, order_number(df, order))
-    cutter = QuantileDiscretizer(
-        inputCol=PLACE,
-        outputCol=CHUNK,
-        numBuckets=count,
-        relativeError=min(0.001, 0.25 / count),
-        handleInvalid="keep",
-    )
-    return cutter.fit(placed.select(PLACE)).transform(placed).drop(PLACE)
+    cuts = [c for c in placed.stat.approxQuantile(PLACE, probabilities, error) if math.isfinite(c)]
+    heavy = [value for value, times in Counter(cuts).items() if times > 1]
+    # A frequent value gets a chunk that holds nothing else.
+    edges = {*cuts, *[math.nextafter(v, math.inf) for v in heavy]}
+    out = _bucketed(placed, PLACE, CHUNK, edges)
+    if heavy and tie:
+        tied = out.withColumn(TIE_PLACE, order_number(df, tie[0]))
+        crowd = tied.filter(F.col(PLACE).isin(heavy))
+        finer = sorted({c for c in crowd.stat.approxQuantile(TIE_PLACE, probabilities, error) if math.isfinite(c)})
+        part = _bucketed(tied, TIE_PLACE, "_part", finer)
+        inside = F.when(F.col(PLACE).isin(heavy), F.col("_part")).otherwise(F.lit(0.0))
+        out = part.withColumn(CHUNK, F.col(CHUNK) * (len(finer) + 2) + inside).drop(TIE_PLACE, "_part")
+    return out.drop(PLACE)
 
 
 def fill_in_order(
@@ -59,11 +77,13 @@ def fill_in_order(
     Rows are cut into ordered chunks. Each chunk reports its first and last
     known value; a running pass over those few reports (one per chunk and
     group) gives the value carried into a chunk; inside a chunk a window does
-    the rest. ``tie`` orders rows that share an order value.
+    the rest. ``tie`` orders rows that share an order value; its first column, a
+    number or date, also splits values shared by very many rows. The order
+    column must not be null.
     """
     keys = list(keys)
     rank = F.struct(order, *tie) if tie else F.col(order)
-    chunked = with_order_chunks(df, order, chunks)
+    chunked = with_order_chunks(df, order, tie, chunks)
 
     reports = []
     for value in values:
