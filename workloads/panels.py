@@ -453,10 +453,10 @@ NAIVE = ("lag_1", "lag_12", "roll_mean_3", "roll_mean_12")
 
 
 def naive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation rows with four naive predictions, a bias making some negative."""
+    """Validation rows with four naive predictions, some of them negative."""
     folds = expanding_folds(usable_panel(spark, sf_dir), SERIES, DATE).filter(F.col("role") == "valid")
     models = [
-        F.struct(F.lit(n).alias("model_name"), (F.col(f"{TARGET}_{n}") * 1.5 - 20.0).alias("prediction"))
+        F.struct(F.lit(n).alias("model_name"), (F.col(f"{TARGET}_{n}") * 1.5 - F.col(f"{TARGET}_lag_3") * 1.4).alias("prediction"))
         for n in NAIVE
     ]
     long = folds.withColumn("_m", F.explode(F.array(*models)))
@@ -472,7 +472,7 @@ NAIVE_SQL = (
     FOLDS_SQL
     + ", s AS ("
     + " UNION ALL ".join(
-        f"SELECT series, fold, date, n_orders AS y, '{n}' AS model_name, n_orders_{n} * 1.5 - 20.0 AS p"
+        f"SELECT series, fold, date, n_orders AS y, '{n}' AS model_name, n_orders_{n} * 1.5::DOUBLE - n_orders_lag_3 * 1.4::DOUBLE AS p"
         " FROM x WHERE role = 'valid'"
         for n in NAIVE
     )
