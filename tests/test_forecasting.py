@@ -17,7 +17,6 @@ from tidemark.operators.preprocess import FeatureSet, apply_preprocessor, fit_pr
 from tidemark.operators.trees import SMALL_TREE_CANDIDATES, TREE_CANDIDATES
 from tidemark.plans.forecasting import ForecastSpec, PanelForecast
 from tidemark.plans.reports import actual_and_forecast
-from tidemark.sources.exports import read_table_csv  # noqa: F401
 
 
 def test_grid_sizes_and_labels():
@@ -233,14 +232,42 @@ def test_importance_against_brute_force(spark):
 
 def test_tree_models(panel):
     run = PanelForecast(
-        panel, ForecastSpec(series="s", target="y", end=None, linear=(), trees=SMALL_TREE_CANDIDATES, min_train=30, valid=6, horizon=3)
+        panel, ForecastSpec(series="s", target="y", end=None, linear=(), trees=SMALL_TREE_CANDIDATES, min_train=20, valid=8, horizon=3)
     )
     results = run.results().toPandas()
     assert set(results.model_name) == {c.label for c in SMALL_TREE_CANDIDATES}
     # Far better than a spread-free guess of zero.
     assert results.rmse_mean.max() < 60
     forecast = run.forecast().toPandas()
-    assert len(forecast) == 3 * 3 * 3 and forecast.prediction.between(0, 200).all()
+    assert len(forecast) == 2 * 3 * 3 and forecast.prediction.between(0, 200).all()
+
+
+def test_no_series_with_enough_history(panel):
+    few = panel.filter("s = 'short'")
+    run = PanelForecast(few, ForecastSpec(series="s", target="y", end=None, trees=SMALL_TREE_CANDIDATES[:1]))
+    assert run.results().count() == 0
+
+
+def test_saved_tables(spark, panel, tmp_path):
+    ridge = tuple(c for c in LINEAR_CANDIDATES if c.family == "ridge")
+    stump = Candidate("gbr", (("n_estimators", 2), ("learning_rate", 0.1), ("max_depth", 2)))
+    run = PanelForecast(
+        panel,
+        ForecastSpec(series="s", target="y", end=None, linear=ridge, trees=(stump,), horizon=4),
+    )
+    run.save(str(tmp_path))
+    tables = {p.name: spark.read.csv(str(p), header=True, inferSchema=True) for p in tmp_path.iterdir()}
+    assert set(tables) == {"model_results", "best_models", "monthly_forecast", "annual_forecast", "feature_importance"}
+    # "short" has no row in any table but the others have one per candidate, month and feature.
+    assert tables["model_results"].count() == 2 * 5 and tables["best_models"].count() == 2
+    assert tables["monthly_forecast"].count() == 2 * 4
+    total = tables["monthly_forecast"].agg(F.sum("prediction")).first()[0]
+    assert tables["annual_forecast"].agg(F.sum("forecast_students")).first()[0] == pytest.approx(total)
+    assert tables["feature_importance"].count() == 2 * len(run.features.names)
+    # Importance of a pooled tree model, for a series as if it had won.
+    chosen = spark.createDataFrame([("long", stump.label)], "s string, model_name string")
+    scores = run.importance(chosen, repeats=2)
+    assert {r.s for r in scores.collect()} == {"long"} and scores.agg(F.max("importance_mean")).first()[0] > 0
 
 
 def test_candidate_settings():

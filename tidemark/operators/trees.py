@@ -144,7 +144,10 @@ def cross_predict_pooled(
     held = pooled_input(folds, features, series, target).checkpoint()
     # Fold numbers are bounded by the calendar.
     numbers = [r.fold for r in held.select("fold").distinct().orderBy("fold").collect()]
-    parts = []
+    # Without any fold there is nothing to fit; the empty frame keeps the types.
+    columns = [F.col(series), F.col("fold"), F.col(date), F.lit("").alias("model_name")]
+    scores = [F.col(target).alias("actual"), F.lit(0.0).alias("prediction")]
+    parts = [held.limit(0).select(*columns, *scores)]
     for number in numbers:
         fold = held.filter(F.col("fold") == number)
         train, valid = fold.filter(F.col("role") == "train"), fold.filter(F.col("role") == "valid")

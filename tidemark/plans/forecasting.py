@@ -21,10 +21,11 @@ from tidemark.operators.linear import (
     linear_prediction,
 )
 from tidemark.operators.preprocess import FeatureSet, apply_preprocessor, feature_vector, fit_preprocessor
-from tidemark.operators.selection import best_models, fold_metrics, mean_metrics, top_per_group
-from tidemark.operators.trees import cross_predict_pooled, fit_pooled, recursive_forecast_pooled
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.operators.selection import METRICS, best_models, fold_metrics, mean_metrics, top_per_group
+from tidemark.operators.trees import cross_predict_pooled, fit_pooled, predict_pooled, recursive_forecast_pooled
+from tidemark.session import ensure_checkpoint_dir, keep_table
 from tidemark.sources.exports import require_columns
+from tidemark.sources.sinks import write_csv, write_per_series
 
 
 @dataclass(frozen=True)
@@ -119,8 +120,8 @@ class PanelForecast:
     def forecast(self, chosen: DataFrame | None = None) -> DataFrame:
         """Monthly forecasts of the (series, model_name) pairs in ``chosen``.
 
-        Without it every linear candidate is forecast. Tree models are pooled
-        fits, so each chosen one is trained once for all series it won.
+        Without it every candidate is forecast for every kept series. Tree models
+        are pooled fits, so each chosen one is trained once for all series it won.
         """
         spec, keys = self.spec, [self.spec.series, "model_name"]
         parts = []
@@ -146,7 +147,8 @@ class PanelForecast:
             if won is not None and won.isEmpty():
                 continue
             model = fit_pooled(self.kept(), candidate, self.features, spec.series, spec.target)
-            history = self.panel.join(won.select(spec.series), spec.series, "left_semi") if won else self.panel
+            members = self.gate().filter("is_kept") if won is None else won
+            history = self.panel.join(members.select(spec.series), spec.series, "left_semi")
             out = recursive_forecast_pooled(
                 history, model, self.features, spec.series, spec.date, spec.target, spec.horizon, spec.end
             )
@@ -167,15 +169,56 @@ class PanelForecast:
         return annual_forecast(forecast, [self.spec.series])
 
     def importance(self, chosen: DataFrame, repeats: int = 10) -> DataFrame:
-        """Permutation importance of one linear (series, model_name) per series."""
+        """Permutation importance of one chosen (series, model_name) per series."""
         spec, keys = self.spec, [self.spec.series, "model_name"]
-        fitted = self.refit().join(chosen.select(*keys), keys, "left_semi").drop("model_name")
-        fitted = fitted.join(self.parameters(), spec.series)
+        names = self.features.names
+        parts = []
+        if spec.linear:
+            fitted = self.refit().join(chosen.select(*keys), keys, "left_semi").drop("model_name")
+            fitted = fitted.join(self.parameters(), spec.series)
+
+            def predict(rows: DataFrame) -> DataFrame:
+                scored = rows.join(fitted, spec.series).withColumn("features", feature_vector(self.features))
+                return scored.withColumn("prediction", linear_prediction())
+
+            rows = self.kept().join(fitted.select(spec.series), spec.series, "left_semi")
+            parts.append(
+                permutation_importance(rows, predict, names, spec.series, spec.date, spec.target, repeats)
+            )
+        for candidate in spec.trees:
+            won = chosen.filter(F.col("model_name") == candidate.label)
+            if won.isEmpty():
+                continue
+            model = fit_pooled(self.kept(), candidate, self.features, spec.series, spec.target)
+
+            def predict_tree(rows: DataFrame, model=model) -> DataFrame:
+                return predict_pooled(model, rows, self.features, spec.series, spec.target)
+
+            rows = self.kept().join(won.select(spec.series), spec.series, "left_semi")
+            parts.append(
+                permutation_importance(rows, predict_tree, names, spec.series, spec.date, spec.target, repeats)
+            )
+        return stack_frames(parts)
 
-        def predict(rows: DataFrame) -> DataFrame:
-            scored = rows.join(fitted, spec.series).withColumn("features", feature_vector(self.features))
-            return scored.withColumn("prediction", linear_prediction())
+    def save(self, folder: str) -> None:
+        """Write the candidate, best-model, monthly, annual and importance tables.
 
-        return permutation_importance(
-            self.kept(), predict, self.features.names, spec.series, spec.date, spec.target, repeats
+        The search and the forecast are each computed once and kept, since
+        several of the tables are made from them.
+        """
+        spec = self.spec
+        results = keep_table(self.results())
+        best = keep_table(self.best(results))
+        chosen = best.withColumnRenamed("best_model_name", "model_name")
+        forecast = keep_table(self.forecast(chosen))
+        monthly = forecast.select("date", spec.series, "prediction", "year", "month")
+        importance = self.importance(chosen)
+        write_csv(results.orderBy(spec.series, *METRICS), f"{folder}/model_results")
+        write_csv(best.orderBy(spec.series), f"{folder}/best_models")
+        write_csv(monthly.orderBy(spec.series, "date"), f"{folder}/monthly_forecast")
+        write_csv(self.annual(forecast).orderBy(spec.series, "year"), f"{folder}/annual_forecast")
+        write_per_series(
+            importance.orderBy(spec.series, F.col("importance_mean").desc()),
+            f"{folder}/feature_importance",
+            spec.series,
         )
