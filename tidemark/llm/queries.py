@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, secrets, urls
+from tidemark.llm import quality, secrets, simhash, urls
 from tidemark.llm.common import hex_digest
 from workloads.base import Register, table
 
@@ -132,3 +132,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         base_failed.alias("base_failed"),
         quality.cascade(on_measures, c("n_words")).isNull().alias("kept"),
     )
+
+
+@register.add("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=64, distance=4)
+    return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
