@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, secrets, simhash, urls
+from tidemark.llm import quality, secrets, simhash, substrings, urls
 from tidemark.llm.common import hex_digest
 from workloads.base import Register, table
 
@@ -138,3 +138,31 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=64, distance=4)
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
+@register.add(
+    "op10_substring_dedup",
+    f"""
+    WITH split AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+    windows AS (
+        SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS w
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM split WHERE len(words) >= 35)
+    ), repeated AS (
+        SELECT doc_id, i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)
+    ), places AS (SELECT doc_id, list(i) AS at FROM repeated GROUP BY doc_id),
+    covered AS (
+        SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + 35)) AS k FROM repeated)
+    ), kept AS (
+        SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.k) AS text, count(*) AS n
+        FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM split) w
+        ANTI JOIN covered c ON w.doc_id = c.doc_id AND w.k = c.k
+        GROUP BY w.doc_id
+    )
+    SELECT s.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k.n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(k.text, '')) AS kept_sha256
+    FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id
+    """,
+)
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.drop_repeated_passages(table(spark, sf_dir, "documents"), size=35, keep_text=False)
+    return found.withColumnRenamed("id", "doc_id")
