@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, secrets, simhash, substrings, urls
+from tidemark.llm import language, mixing, quality, secrets, simhash, substrings, toxicity, urls
 from tidemark.llm.common import hex_digest
 from workloads.base import Register, table
 
@@ -166,3 +166,26 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.drop_repeated_passages(table(spark, sf_dir, "documents"), size=35, keep_text=False)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@register.add("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = language.fit_dictionaries(docs.filter(~language.held_out()))
+    found = language.identify_language(docs, dictionaries).withColumnRenamed("id", "doc_id")
+    return found.withColumn("held_out", language.held_out())
+
+
+@register.add("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = labels.filter(~toxicity.held_out())
+    sample = toxicity.labelled_rows(docs, learned, "text", "doc_id", "toxic", fit_rows=30_000)
+    found = toxicity.score_toxicity(docs, toxicity.fit(sample)).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@register.add("op8_mix_sources")
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").drop("copies")
