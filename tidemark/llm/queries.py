@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, mixing, quality, secrets, simhash, substrings, toxicity, urls
+from tidemark.llm import decontaminate, language, mixing, quality, secrets, simhash, substrings, toxicity, urls
 from tidemark.llm.common import hex_digest
 from workloads.base import Register, table
 
@@ -189,3 +189,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("id", "doc_id").drop("copies")
+
+
+@register.add("op9_decontaminate")
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_hits", "first_token", "last_token"
+    )
