@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language, mixing, quality, secrets, simhash, substrings, toxicity, urls
+from tidemark.llm import chat, decontaminate, language, mixing, quality, secrets, simhash, substrings, toxicity, urls
 from tidemark.llm.common import hex_digest
 from workloads.base import Register, table
 
@@ -197,3 +197,40 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_hits", "first_token", "last_token"
     )
+
+
+@register.add(
+    "op5_preferences",
+    """
+    WITH turns AS (
+        SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+    ), lists AS (
+        SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS all_turns
+        FROM turns GROUP BY conv_id
+    ), replied AS (
+        SELECT conv_id, all_turns, list_filter(all_turns, lambda t: t.role = 'assistant') AS replies FROM lists
+    ), chosen AS (
+        SELECT conv_id, replies,
+               list_filter(all_turns, lambda t: t.turn < replies[-1].turn OR t = replies[-1]) AS c
+        FROM replied WHERE len(replies) > 0
+    ), sides AS (
+        SELECT conv_id, c, c[:-2] AS same, c[-1].text AS good,
+               CASE WHEN len(replies) > 1 THEN replies[1].text WHEN len(c) > 1 THEN c[-2].text ELSE '' END AS bad
+        FROM chosen
+    ), cut AS (
+        SELECT conv_id, good, bad, good = bad AS tie, CASE WHEN good = bad THEN c ELSE same END AS p FROM sides
+    )
+    SELECT conv_id, len(p)::INTEGER AS n_common,
+           array_to_string(list_transform(p, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '') AS prompt,
+           CASE WHEN tie THEN '' ELSE '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) END AS chosen,
+           CASE WHEN tie THEN '' ELSE '14:' || (14 + length(good) + 7)::VARCHAR END AS chosen_learned,
+           CASE WHEN tie THEN '' ELSE '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) END AS rejected,
+           CASE WHEN tie THEN '' ELSE '14:' || (14 + length(bad) + 7)::VARCHAR END AS rejected_learned
+    FROM cut
+    """,
+)
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs of every conversation against a copy that ends in a stale reply."""
+    turns = chat.conversations(table(spark, sf_dir, "conversations"), "conv_id")
+    return chat.format_preferences(*chat.stale_reply_pairs(turns)).withColumnRenamed("key", "conv_id")
