@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -123,3 +124,26 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).count() == 0
     assert simhash.drop_near_duplicates(df).count() == 0
+
+
+def test_distances_count_the_sign_bit():
+    draw = random.Random(2)
+    for lanes in (1, 4):
+        left = np.array([[draw.getrandbits(64) for _ in range(lanes)] for _ in range(200)], np.uint64).view(np.int64)
+        right = np.array([[draw.getrandbits(64) for _ in range(lanes)] for _ in range(200)], np.uint64).view(np.int64)
+        wanted = [sum(((int(a) ^ int(b)) & (2**64 - 1)).bit_count() for a, b in zip(*r)) for r in zip(left, right)]
+        assert simhash.differing(left, right).tolist() == wanted
+
+
+def test_links_across_every_bit(spark):
+    """Fingerprints a few bits apart in any position, the sign bit included, are all linked."""
+    draw = random.Random(8)
+    rows = []
+    for i in range(60):
+        base = draw.getrandbits(64)
+        flips = {63, *draw.sample(range(63), 3)} if i % 2 else set(draw.sample(range(64), 4))
+        other = base ^ sum(1 << b for b in flips)
+        rows += [(simhash.signed(base),), (simhash.signed(other),)]
+    df = spark.createDataFrame(rows, "l0 long")
+    found = simhash.links(df, ["l0"], simhash.pigeonhole_masks(64, 4, len(rows)), 4).count()
+    assert found == 60

@@ -144,6 +144,11 @@ def sampled_masks(bits: int, distance: int, rows: int, recall: float) -> list[tu
     return [lane_masks(draw.sample(range(bits), width), bits) for _ in range(tables)]
 
 
+def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bits in which rows of lanes differ; counted on unsigned words, as a signed count drops the sign."""
+    return np.bitwise_count((left ^ right).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
 def linked(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within a set of fingerprints, as index pairs."""
     free = np.arange(len(prints))
@@ -152,7 +157,7 @@ def linked(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         front, free = [free[0]], free[1:]
         while front and len(free):
             at = front.pop()
-            near = np.bitwise_count(prints[free] ^ prints[at]).sum(axis=1, dtype=np.int64) <= distance
+            near = differing(prints[free], prints[at]) <= distance
             if near.any():
                 found, free = free[near], free[~near]
                 left.append(np.full(len(found), at))
@@ -174,7 +179,7 @@ def run_links(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.n
         rows = rows[rows + step < ends[rows]]
         if not len(rows):
             break
-        near = np.bitwise_count(prints[rows] ^ prints[rows + step]).sum(axis=1, dtype=np.int64) <= distance
+        near = differing(prints[rows], prints[rows + step]) <= distance
         left.append(rows[near])
         right.append(rows[near] + step)
     for start, length in zip(starts[~short].tolist(), lengths[~short].tolist()):
