@@ -29,11 +29,12 @@ ship_with_tasks(__name__)
 
 #: Lengths of the word beginnings that stand in for rare words.
 BEGINNINGS = (4, 5, 6)
-#: Total weight of the Dirichlet prior, in words.
-PRIOR = 5_000.0
-#: Least z value and log-odds of a token that counts as toxic, and the most tokens
-#: kept. The z value is one that chance hardly gives to any of a million tokens.
-LEAST_Z = 5.0
+#: Weight of the Dirichlet prior of a token, split as the classes' totals are.
+PRIOR = 1.0
+#: Least evidence and log-odds of a token that counts as toxic, and the most tokens
+#: kept. The evidence is a log-likelihood ratio; chance gives 16 to one token in
+#: nine million.
+LEAST_EVIDENCE = 16.0
 LEAST_ODDS = 2.0
 MODEL_TOKENS = 100_000
 #: Score of a token outside the model.
@@ -60,24 +61,29 @@ def tokens(body: Column) -> Column:
     return F.regexp_extract_all(F.lower(body), F.lit(LETTERS), F.lit(0))
 
 
-def weighed(counts: DataFrame, share: float) -> DataFrame:
-    """Log-odds and z value of each ``token`` from its counts ``toxic`` and ``clean``."""
-    sums = counts.agg(F.sum("toxic").alias("all_toxic"), F.sum("clean").alias("all_clean"))
-    whole = F.col("all_toxic") + F.col("all_clean")
-    prior = F.lit(share) * (F.col("toxic") + F.col("clean")) / whole
+def weighed(counts: DataFrame, all_toxic: int, all_clean: int) -> DataFrame:
+    """Log-odds and evidence of each ``token`` from its counts ``toxic`` and ``clean`` and the classes' totals.
 
-    def side(n: str, total: str) -> Column:
-        # The prior follows the corpus, so a token in proportion to the classes weighs nothing.
-        own = F.col(n) + prior * F.col(total) / whole
-        return F.log(own / (F.col(total) + share * F.col(total) / whole - own))
+    The prior follows the classes' totals, so a token in proportion to them weighs
+    nothing.
+    """
+    share = all_toxic / (all_toxic + all_clean)
+    own = {"toxic": F.col("toxic") + PRIOR * share, "clean": F.col("clean") + PRIOR * (1 - share)}
+    odds = F.log(own["toxic"] / own["clean"]) - F.log(F.lit(share / (1 - share)))
+    n = F.col("toxic") + F.col("clean")
+
+    def part(name: str, expected: float) -> Column:
+        return F.when(F.col(name) > 0, F.col(name) * F.log(F.col(name) / (n * expected))).otherwise(0.0)
 
-    spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    odds = side("toxic", "all_toxic") - side("clean", "all_clean")
-    return counts.crossJoin(F.broadcast(sums)).select("token", odds.alias("odds"), (odds / spread).alias("z"))
+    evidence = part("toxic", share) + part("clean", 1 - share)
+    return counts.select("token", odds.alias("odds"), evidence.alias("evidence"))
 
 
 def learn_tokens(labelled: DataFrame) -> dict[str, float]:
-    """Toxic tokens' log-odds from rows of ``body`` and ``toxic``; beginnings carry a star."""
+    """Toxic tokens' log-odds from rows of ``body`` and ``toxic``; beginnings carry a star.
+
+    Without tokens of both classes nothing is learned.
+    """
     words = labelled.select("toxic", tokens(F.col("body")).alias("w"))
     before = F.concat(F.array(F.lit("")), F.col("w"))
     pairs = F.zip_with("w", before, lambda w, b: F.struct(w.alias("token"), F.xxhash64(b).alias("before")))
@@ -87,6 +93,9 @@ def learn_tokens(labelled: DataFrame) -> dict[str, float]:
         F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")
     )
     counts = keep_table(counts)
+    totals = counts.agg(F.sum("toxic"), F.sum("clean")).first()
+    if not totals[0] or not totals[1]:
+        return {}
     tables = [counts]
     for n in BEGINNINGS:
         longer = counts.filter(F.length("token") >= n)
@@ -97,7 +106,8 @@ def learn_tokens(labelled: DataFrame) -> dict[str, float]:
         )
     weights: dict[str, float] = {}
     for each in tables:
-        found = weighed(each, PRIOR).filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.col("z").desc(), "token").limit(MODEL_TOKENS)
+        found = weighed(each, *totals).filter((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("odds") >= LEAST_ODDS))
+        found = found.orderBy(F.col("evidence").desc(), "token").limit(MODEL_TOKENS)
         weights.update({r["token"]: r["odds"] for r in found.collect()})
     return weights
 
