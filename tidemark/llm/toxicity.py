@@ -87,7 +87,7 @@ def learn_tokens(labelled: DataFrame) -> dict[str, float]:
     words = labelled.select("toxic", tokens(F.col("body")).alias("w"))
     before = F.concat(F.array(F.lit("")), F.col("w"))
     pairs = F.zip_with("w", before, lambda w, b: F.struct(w.alias("token"), F.xxhash64(b).alias("before")))
-    pairs = F.array_distinct(F.filter(pairs, lambda p: p["token"].isNotNull()))
+    pairs = F.filter(pairs, lambda p: p["token"].isNotNull())
     words = words.select("toxic", F.explode(pairs).alias("pair")).select("toxic", "pair.*").distinct()
     counts = words.groupBy("token").agg(
         F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")
