@@ -122,3 +122,19 @@ def test_round_trip(spark, tmp_path):
 def test_missing_column(spark):
     with pytest.raises(ValueError):
         require_columns(spark.range(1), ["target"])
+
+
+def test_optional_column_is_null_where_a_file_lacks_it(spark, folder, tmp_path):
+    (tmp_path / "c.csv").write_text("Course Type Name,Start Date,Enrolled,Student Price\nLevel 1,2018-01-05,10,$400.00\n")
+    found = read_export_folder(spark, folder, COURSE_COLUMNS, optional=["Location"])
+    assert found.count() == 8
+    lacking = found.filter(F.col("source_file").endswith("c.csv")).collect()
+    assert [r.Location for r in lacking] == [None]
+
+
+def test_header_of_any_length_and_with_line_breaks(spark, tmp_path):
+    names = ['"two\nlines"', *[f"column {i} " + "x" * 50 for i in range(3000)], "Start Date"]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join("v" for _ in names) + "\n")
+    (tmp_path / "small.csv").write_text("Start Date\n2018-01-05\n")
+    found = read_export_folder(spark, str(tmp_path), ["Start Date"])
+    assert sorted(r[0] for r in found.select("`Start Date`").collect()) == ["2018-01-05", "v"]

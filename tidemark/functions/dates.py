@@ -13,13 +13,24 @@ from pyspark.sql import functions as F
 # Export date layouts, tried in this order.
 DATE_FORMATS = (
     "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+    "yyyy-MM-dd'T'HH:mm:ss'Z'",
     "yyyy-MM-dd",
+    "yyyy/M/d",
+    "M/d/yyyy H:mm:ss",
     "M/d/yyyy H:mm",
+    "M/d/yyyy h:mm:ss a",
     "M/d/yyyy h:mm a",
     "M/d/yyyy",
+    "M/d/yy",
     "MMMM d, yyyy",
     "MMM d, yyyy",
+    "d MMMM yyyy",
+    "d MMM yyyy",
+    "d-MMM-yyyy",
 )
 
 # Meteorological seasons by month number.
@@ -34,11 +45,11 @@ SEASONS = {
 def layout_pattern(layout: str) -> str:
     """Regular expression of the texts that a date layout can read."""
     pattern = ""
-    for run in re.findall(r"'[^']*'|y+|M+|[dHhms]+?(?=[^dHhms]|$)|a|.", layout):
+    for run in re.findall(r"'[^']*'|y+|M+|S+|[dHhms]+?(?=[^dHhms]|$)|a|.", layout):
         letter = run[0]
         if letter == "'":
             pattern += re.escape(run.strip("'"))
-        elif letter == "y":
+        elif letter in "yS":
             pattern += rf"\d{{{len(run)}}}"
         elif letter == "M" and len(run) > 2:
             pattern += r"\p{L}+"

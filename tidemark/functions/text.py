@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
 import re
+import sys
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -69,27 +71,50 @@ def last_part(text: Column, separator: str = ",") -> Column:
 
 
 @lru_cache(maxsize=1)
-def _accent_map() -> tuple[str, str]:
-    """Characters of the basic plane whose NFKD base is one other character."""
-    accented, plain = [], []
-    for code in range(0x80, 0xD800):
+def _compatible_forms() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose under NFKD, by the length of what is left without marks.
+
+    One-to-one forms as two aligned texts, and the others (ligatures, fractions,
+    signs of several letters) as a map.
+    """
+    single, plain, longer = [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if len(base) == 1 and base != char:
-            accented.append(char)
-            plain.append(base)
-    return "".join(accented), "".join(plain)
+        if unicodedata.category(char) == "Cs" or unicodedata.combining(char):
+            continue
+        left = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if left == char:
+            continue
+        if len(left) == 1:
+            single.append(char)
+            plain.append(left)
+        else:
+            longer[char] = left
+    return "".join(single), "".join(plain), longer
+
+
+#: Korean syllables decompose by rule into letters; they are left whole.
+HANGUL = (0xAC00, 0xD7A3)
 
 
 def strip_accents(text: Column) -> Column:
-    """Replace accented letters by their base letter and drop combining marks.
+    """Compatibility forms by their plain ones, combining marks dropped.
 
-    Stays a native expression: a foldable ``translate`` table made from the
-    Unicode rule, plus a pattern for free-standing marks. Characters whose
-    base is a sequence (ligatures) are left as they are.
+    A native expression made from the Unicode rule: free-standing marks go by a
+    pattern, one-to-one forms by a foldable ``translate`` table. Forms of several
+    characters (ligatures, fractions) are looked up character by character, only
+    in texts that hold one.
     """
-    accented, plain = _accent_map()
-    return F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), accented, plain)
+    single, plain, longer = _compatible_forms()
+    longer = {c: left for c, left in longer.items() if not HANGUL[0] <= ord(c) <= HANGUL[1]}
+    simple = F.translate(F.regexp_replace(text, r"\p{Mn}+", ""), single, plain)
+    forms = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{left}" for c, left in longer.items())), F.lit("\u0001"), F.lit("\u0002"))
+    # Such forms start above ASCII; one wide range is a cheap test where their exact list is not.
+    above = f"[{min(longer)}-\\x{{10FFFF}}]"
+    each = F.transform(
+        F.split(simple, ""), lambda c: F.when(c < min(longer), c).otherwise(F.coalesce(F.try_element_at(forms, c), c))
+    )
+    return F.when(simple.rlike(above), F.array_join(each, "")).otherwise(simple)
 
 
 def drop_prefix(text: Column, prefix: str) -> Column:
@@ -115,8 +140,43 @@ def classify(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default:
 # A tag boundary in stripped text; no page holds this control character.
 BOUNDARY = "\u0001"
 
-# Character references that page text commonly holds.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+# A reference in page text: a name, a decimal or a hexadecimal number.
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+@lru_cache(maxsize=1)
+def _named_references() -> str:
+    """Names and characters of the standard library's table, for ``str_to_map``."""
+    named = {n[:-1]: c for n, c in html.entities.html5.items() if n.endswith(";")}
+    return "\u0001".join(f"{n}\u0002{c}" for n, c in named.items())
+
+
+def decode_references(text: Column) -> Column:
+    """Character references by their characters, in one pass.
+
+    The text is split at references, so what one of them gives is never read as
+    part of another. Unknown names and numbers outside Unicode stay as they are;
+    a non-breaking space becomes a plain one.
+    """
+    named = F.str_to_map(F.lit(_named_references()), F.lit("\u0001"), F.lit("\u0002"))
+
+    def decoded(name: Column) -> Column:
+        whole = F.concat(F.lit("&"), name, F.lit(";"))
+        hexadecimal = F.conv(F.substring(name, 3, 10), 16, 10)
+        number = F.when(name.rlike("^#[xX]"), hexadecimal).otherwise(F.substring(name, 2, 10)).cast("int")
+        # UTF-32 keeps numbers beyond 255, which ``char`` would cut.
+        wide = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        by_number = F.when(valid, wide).otherwise(whole)
+        return F.when(name.startswith("#"), by_number).otherwise(F.coalesce(F.try_element_at(named, name), whole))
+
+    names = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), decoded)
+    parts = F.zip_with(
+        F.split(text, REFERENCE, -1), names, lambda part, char: F.concat(part, F.coalesce(char, F.lit("")))
+    )
+    joined = F.replace(F.array_join(parts, ""), F.lit("\u00a0"), F.lit(" "))
+    return F.when(text.rlike(REFERENCE), joined).otherwise(text)
+
 
 # Page parts that show no text.
 HIDDEN = (
@@ -128,10 +188,7 @@ HIDDEN = (
 def _tag_text(html: Column) -> Column:
     """Text of a page with every run of tags replaced by the boundary mark."""
     shown = F.regexp_replace(html, HIDDEN, BOUNDARY)
-    text = F.regexp_replace(shown, r"<[^>]*>", BOUNDARY)
-    for reference, char in ENTITIES.items():
-        text = F.replace(text, F.lit(reference), F.lit(char))
-    return text
+    return decode_references(F.regexp_replace(shown, r"<[^>]*>", BOUNDARY))
 
 
 def html_text(html: Column) -> Column:

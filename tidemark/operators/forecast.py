@@ -14,8 +14,6 @@ from tidemark.operators.preprocess import FeatureSet, feature_vector
 from tidemark.operators.selection import last_row
 
 HORIZON_MONTHS = 12
-# No forecast goes past this month.
-FORECAST_END = "2027-07-31"
 # Event flags that are off in the future.
 FUTURE_ZEROS = ("covid_flag",)
 
@@ -26,7 +24,7 @@ def future_stub(
     date: str,
     target: str,
     horizon: int = HORIZON_MONTHS,
-    end: str | None = FORECAST_END,
+    end: str | None = None,
     zeros: Sequence[str] = FUTURE_ZEROS,
 ) -> DataFrame:
     """Copy each series' last row to the next ``horizon`` months.
@@ -141,7 +139,7 @@ def recursive_forecast(
     date: str,
     target: str,
     horizon: int = HORIZON_MONTHS,
-    end: str | None = FORECAST_END,
+    end: str | None = None,
     lags: Sequence[int] = LAGS,
     windows: Sequence[int] = ROLL_WINDOWS,
 ) -> DataFrame:

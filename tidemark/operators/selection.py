@@ -63,9 +63,16 @@ def mean_metrics(per_fold: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def best_models(results: DataFrame, series: str) -> DataFrame:
-    """Winning candidate per series: smallest RMSE, then MAE, then MAPE."""
-    best = best_per_group(results, [series], [*METRICS, "model_name"])
+def grid_place(name: Column, grid: Sequence[str]) -> Column:
+    """Position of a candidate in the search grid; candidates outside come last."""
+    place = F.array_position(F.array(*[F.lit(g) for g in grid]).cast("array<string>"), name)
+    return F.when(place > 0, place).otherwise(len(grid) + 1)
+
+
+def best_models(results: DataFrame, series: str, grid: Sequence[str] = ()) -> DataFrame:
+    """Winning candidate per series: smallest RMSE, then MAE, then MAPE, then the first in the grid."""
+    placed = results.withColumn("_grid", grid_place(F.col("model_name"), grid))
+    best = best_per_group(placed, [series], [*METRICS, "_grid", "model_name"])
     return best.select(
         series,
         F.col("model_name").alias("best_model_name"),

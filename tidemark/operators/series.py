@@ -55,15 +55,20 @@ def pct_change(
 def zscores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``<column>_z`` from the whole-column mean and sample deviation.
 
-    The statistics are one row, read as scalar subqueries: no window over the
-    table and no join.
+    All statistics are one aggregation to one row, which is joined to every row:
+    the table is read twice, whatever the number of columns.
     """
-    scored = []
-    for column in columns:
-        mean = df.select(F.avg(column)).scalar()
-        std = df.select(F.stddev_samp(column)).scalar()
-        scored.append(safe_zscore(F.col(column), mean, std).alias(f"{column}_z"))
-    return df.select("*", *scored)
+    if not columns:
+        return df
+    statistics = df.agg(
+        *[F.avg(c).alias(f"_mean_{i}") for i, c in enumerate(columns)],
+        *[F.stddev_samp(c).alias(f"_std_{i}") for i, c in enumerate(columns)],
+    )
+    joined = df.crossJoin(F.broadcast(statistics))  # a global aggregate: exactly one row
+    scored = [
+        safe_zscore(F.col(c), F.col(f"_mean_{i}"), F.col(f"_std_{i}")).alias(f"{c}_z") for i, c in enumerate(columns)
+    ]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *scored)
 
 
 def signed_sum(df: DataFrame, signs: Mapping[str, int] = PRESSURE_SIGNS, name: str = "economic_pressure_index") -> DataFrame:

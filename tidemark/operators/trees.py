@@ -19,7 +19,6 @@ from tidemark.functions.dates import next_month_start
 from tidemark.functions.numbers import clip_at_zero
 from tidemark.operators.features import LAGS, ROLL_WINDOWS, calendar_features
 from tidemark.operators.forecast import (
-    FORECAST_END,
     FUTURE_ZEROS,
     HORIZON_MONTHS,
     lag_values,
@@ -169,7 +168,7 @@ def recursive_forecast_pooled(
     date: str,
     target: str,
     horizon: int = HORIZON_MONTHS,
-    end: str | None = FORECAST_END,
+    end: str | None = None,
     lags: Sequence[int] = LAGS,
     windows: Sequence[int] = ROLL_WINDOWS,
 ) -> DataFrame:

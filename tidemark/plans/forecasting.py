@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.features import feature_columns, panel_features, usable_rows
 from tidemark.operators.folds import MIN_TRAIN_MONTHS, VALID_MONTHS, expanding_folds, history_gate
-from tidemark.operators.forecast import FORECAST_END, HORIZON_MONTHS, annual_forecast, recursive_forecast
+from tidemark.operators.forecast import HORIZON_MONTHS, annual_forecast, recursive_forecast
 from tidemark.operators.importance import permutation_importance
 from tidemark.operators.joins import stack_frames
 from tidemark.operators.linear import (
@@ -21,7 +21,7 @@ from tidemark.operators.linear import (
     linear_prediction,
 )
 from tidemark.operators.preprocess import FeatureSet, apply_preprocessor, feature_vector, fit_preprocessor
-from tidemark.operators.selection import METRICS, best_models, fold_metrics, mean_metrics, top_per_group
+from tidemark.operators.selection import METRICS, best_models, fold_metrics, grid_place, mean_metrics, top_per_group
 from tidemark.operators.trees import cross_predict_pooled, fit_pooled, predict_pooled, recursive_forecast_pooled
 from tidemark.session import ensure_checkpoint_dir, keep_table
 from tidemark.sources.exports import require_columns
@@ -38,7 +38,7 @@ class ForecastSpec:
     min_train: int = MIN_TRAIN_MONTHS
     valid: int = VALID_MONTHS
     horizon: int = HORIZON_MONTHS
-    end: str | None = FORECAST_END
+    end: str | None = None
     exclude_leaky: Sequence[str] = ()
     linear: Sequence[Candidate] = field(default_factory=lambda: tuple(LINEAR_CANDIDATES))
     trees: Sequence[Candidate] = ()
@@ -104,7 +104,11 @@ class PanelForecast:
         return mean_metrics(fold_metrics(self.cross_predictions(), keys), keys)
 
     def best(self, results: DataFrame | None = None) -> DataFrame:
-        return best_models(results if results is not None else self.results(), self.spec.series)
+        return best_models(results if results is not None else self.results(), self.spec.series, self.grid())
+
+    def grid(self) -> list[str]:
+        """Candidate labels in the order of the search."""
+        return [c.label for c in (*self.spec.linear, *self.spec.trees)]
 
     def parameters(self) -> DataFrame:
         return fit_preprocessor(self.kept(), [self.spec.series], self.features)
@@ -162,7 +166,7 @@ class PanelForecast:
 
     def top_forecasts(self, results: DataFrame, k: int = 5) -> DataFrame:
         """True forecasts of the k best models per series, labelled by model."""
-        chosen = top_per_group(results, [self.spec.series], ["rmse_mean", "mae_mean", "mape_mean", "model_name"], k)
+        chosen = top_per_group(results, [self.spec.series], [*METRICS, grid_place(F.col("model_name"), self.grid()), "model_name"], k)
         return self.forecast(chosen)
 
     def annual(self, forecast: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -38,13 +39,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; that one is
-    used as it is. Only where nothing is set (tests on one machine) a scratch
-    folder is made.
+    used as it is. Where nothing is set, a local master gets a scratch folder; on a
+    cluster each executor would write to its own disk, so that fails.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.match(r"local(\[[^\]]*\])?$", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
 
 

@@ -12,31 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import ship_with_tasks
+from tidemark.session import keep_table, ship_with_tasks
 
 ship_with_tasks(__name__)
 
 HEADER_SCHEMA = "path string, header string"
-HEADER_BYTES = 1 << 16
+#: Bytes read at a time until the first record ends.
+HEADER_STEP = 1 << 16
 
 
-def _first_line(path: str) -> str:
-    """Read at most 64 KB of one file, on whichever executor holds the task."""
+def _first_record(path: str) -> str:
+    """The first record of one file, on whichever executor holds the task.
+
+    It ends at the first line break outside quotes, wherever that is.
+    """
     if path.startswith("file:"):
-        with open("/" + path[len("file:"):].lstrip("/"), "rb") as handle:
-            head = handle.read(HEADER_BYTES)
+        handle = open("/" + path[len("file:"):].lstrip("/"), "rb")
     else:
         from pyarrow import fs
 
         system, inner = fs.FileSystem.from_uri(path)
-        with system.open_input_stream(inner) as handle:
-            head = handle.read(HEADER_BYTES)
-    return head.decode("utf-8-sig", "replace").split("\n", 1)[0].rstrip("\r")
+        handle = system.open_input_stream(inner)
+    head, at, quoted = b"", 0, False
+    with handle:
+        while step := handle.read(HEADER_STEP):
+            head += step
+            while at < len(head):
+                if head[at] == 0x22:
+                    quoted = not quoted
+                elif head[at] == 0x0A and not quoted:
+                    return head[:at].decode("utf-8-sig", "replace").rstrip("\r")
+                at += 1
+    return head.decode("utf-8-sig", "replace").rstrip("\r")
 
 
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield batch.assign(header=[_first_line(path) for path in batch["path"]])
+        yield batch.assign(header=[_first_record(path) for path in batch["path"]])
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
@@ -54,42 +66,47 @@ def read_export_folder(
     required: Sequence[str],
     pattern: str = "*.csv",
     multi_line: bool = True,
+    optional: Sequence[str] = (),
 ) -> DataFrame:
     """All files of a folder that have the required columns, as strings.
 
-    Headers are read in parallel (64 KB per file); files lacking a required
-    column are skipped. Files with the same header share one CSV scan, so the
-    number of scans is the number of layouts, not of files. ``source_file``
-    names a row's file and ``source_row`` numbers the rows of a layout in scan
-    order. ``multi_line`` keeps quoted line breaks whole; turn it off for huge
-    files without any, which then split.
+    Headers are read in parallel; files lacking a required column are skipped, an
+    ``optional`` column is null where a file lacks it. Files with the same header
+    share one CSV scan, so the number of scans is the number of layouts, not of
+    files. ``source_file`` names a row's file and ``source_row`` numbers the rows of
+    a layout in scan order. ``multi_line`` keeps quoted line breaks whole; turn it
+    off for huge files without any, which then split.
     """
     files = list_files(spark, folder, pattern)
-    headers = files.mapInPandas(_read_headers, HEADER_SCHEMA)
-    # One row per file: Spark's own file listing already holds this much on the driver.
-    found = headers.collect()
-    if not found:
+    headers = files.mapInPandas(_read_headers, HEADER_SCHEMA).withColumn("layout", F.md5("header"))
+    headers = keep_table(headers)
+    # Header texts come once per layout; per file, the path (which Spark's own file
+    # listing holds on the driver as well) and a digest.
+    layouts_found = {r.layout: r.header for r in headers.select("layout", "header").distinct().collect()}
+    if not layouts_found:
         raise FileNotFoundError(f"no {pattern} files in {folder}")
 
+    named = {k: tuple(next(csv.reader([h]), ())) for k, h in layouts_found.items()}
+    fitting = {k: names for k, names in named.items() if set(required) <= set(names)}
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in found:
-        names = tuple(next(csv.reader([row.header]), ()))
-        if set(required) <= set(names):
-            layouts.setdefault(names, []).append(row.path)
+    for row in headers.select("path", "layout").orderBy("path").collect():
+        if row.layout in fitting:
+            layouts.setdefault(fitting[row.layout], []).append(row.path)
     if not layouts:
         raise ValueError(f"no file in {folder} has the columns {sorted(required)}")
+    wanted = [*required, *[c for c in optional if c not in required]]
 
     scans = []
     for names, paths in layouts.items():
         # Columns nobody asked for may repeat a name; positions keep them apart.
-        columns = [n if n in required and names.index(n) == i else f"_c{i}" for i, n in enumerate(names)]
+        columns = [n if n in wanted and names.index(n) == i else f"_c{i}" for i, n in enumerate(names)]
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
         scan = spark.read.csv(
             paths, schema=schema, header=True, enforceSchema=True, escape='"', multiLine=multi_line
         )
         scans.append(
             scan.select(
-                *[F.col(f"`{c}`") for c in required],
+                *[F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in wanted],
                 F.col("_metadata.file_path").alias("source_file"),
                 F.monotonically_increasing_id().alias("source_row"),
             )

@@ -152,10 +152,10 @@ register.add("trimmed_mean_wide", trimmed_sql(0.10, 0.90))(trimmed_query(0.10, 0
 
 
 def merge_frames(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Three monthly tables whose months and statuses only partly overlap."""
+    """Three monthly tables of whole inputs whose months and statuses only partly overlap."""
     orders, lineitem = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     a = monthly_rollup(
-        orders.filter(F.col("o_orderdate") < "2000-06-01").withColumnRenamed("o_orderstatus", "status"),
+        orders.withColumnRenamed("o_orderstatus", "status"),
         "o_orderdate",
         ["status"],
         counts={"n": "o_orderkey"},
@@ -164,8 +164,8 @@ def merge_frames(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
         lineitem.withColumnRenamed("l_linestatus", "status"), "l_shipdate", ["status"], counts={"n": "l_orderkey"}
     )
     c = monthly_rollup(
-        orders.filter(F.col("o_orderdate") >= "1998-03-01").withColumnRenamed("o_orderstatus", "status"),
-        "o_orderdate",
+        orders.withColumns({"status": F.col("o_orderstatus"), "quarter_on": F.date_add("o_orderdate", 92)}),
+        "quarter_on",
         ["status"],
         sums={"total": "o_totalprice"},
     )
@@ -183,12 +183,13 @@ def merge_query(how: str):
 MERGE_SQL = """
     WITH a AS (SELECT o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS year,
                       CAST(month(o_orderdate) AS INTEGER) AS month, count(o_orderkey) AS n_x
-               FROM orders WHERE o_orderdate < TIMESTAMP '2000-06-01' GROUP BY ALL),
+               FROM orders GROUP BY ALL),
     b AS (SELECT l_linestatus AS status, CAST(year(l_shipdate) AS INTEGER) AS year,
                  CAST(month(l_shipdate) AS INTEGER) AS month, count(l_orderkey) AS n_y FROM lineitem GROUP BY ALL),
-    c AS (SELECT o_orderstatus AS status, CAST(year(o_orderdate) AS INTEGER) AS year,
-                 CAST(month(o_orderdate) AS INTEGER) AS month, sum(o_totalprice) AS t
-          FROM orders WHERE o_orderdate >= TIMESTAMP '1998-03-01' GROUP BY ALL)
+    d AS (SELECT *, CAST(o_orderdate AS DATE) + 92 AS later FROM orders),
+    c AS (SELECT o_orderstatus AS status, CAST(year(later) AS INTEGER) AS year,
+                 CAST(month(later) AS INTEGER) AS month, sum(o_totalprice) AS t
+          FROM d GROUP BY ALL)
     SELECT month, year, status, n_x, n_y, {1} AS total
     FROM a {0} JOIN b USING (month, year, status) {0} JOIN c USING (month, year, status)
 """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import parse_timestamp, strict_date
@@ -74,13 +74,18 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates in several layouts, unreadable ones for pending orders."""
     orders = table(spark, sf_dir, "orders")
     day = F.col("o_orderdate")
-    text = (
-        F.when(F.col("o_orderstatus") == "P", F.lit("31/31/2020"))
-        .when(F.col("o_orderpriority") == "1-URGENT", F.date_format(day, "M/d/yyyy"))
-        .when(F.col("o_orderpriority") == "2-HIGH", F.date_format(day, "MMMM d, yyyy"))
-        .when(F.col("o_orderpriority") == "3-MEDIUM", F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
-        .otherwise(F.date_format(day, "yyyy-MM-dd"))
+    layouts = (
+        "M/d/yyyy", "MMMM d, yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "M/d/yyyy H:mm:ss", "yyyy/MM/dd", "M/d/yy",
+        "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd HH:mm", "dd-MMM-yyyy", "d MMM yyyy", "M/d/yyyy h:mm a",
     )
+    text = F.lit("31/31/2020")
+    for i, layout in enumerate(layouts):
+        # Two-digit years stand for this century.
+        fits = F.col("o_orderkey") % len(layouts) == i
+        shown = F.date_format(day, layout)
+        if "yyyy" not in layout:
+            shown = F.when(F.year(day) >= 2000, shown).otherwise(F.date_format(day, "M/d/yyyy"))
+        text = F.when((F.col("o_orderstatus") != "P") & fits, shown).otherwise(text)
     return orders.select(
         "o_orderkey",
         parse_timestamp(text).cast("date").alias("parsed"),
@@ -202,15 +207,16 @@ def text_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "lang", classify(F.col("text"), TEXT_RULES, "Unknown").alias("label"))
 
 
-# Page text as the oracle sees it: hidden parts and tags become chr(1).
+# Page text as the oracle sees it: hidden parts and tags become chr(1), and the four
+# references that the raw pages hold are read.
 TAG_TEXT_SQL = r"""
-    replace(replace(replace(replace(replace(replace(
+    replace(replace(replace(replace(
         regexp_replace(
             regexp_replace(html,
                 '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<!--.*?-->',
                 chr(1), 'g'),
             '<[^>]*>', chr(1), 'g'),
-        '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')
+        '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')
 """
 
 
@@ -222,7 +228,15 @@ TAG_TEXT_SQL = r"""
     """,
 )
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("shown"))
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", html_text(with_references(F.col("html"))).alias("shown"))
+
+
+def with_references(html: Column) -> Column:
+    """Accented letters written as named, decimal and hexadecimal references; the oracle reads the raw pages."""
+    for char, reference in (("ñ", "&ntilde;"), ("ó", "&#243;"), ("é", "&#xE9;"), ("ß", "&szlig;")):
+        html = F.replace(html, F.lit(char), F.lit(reference))
+    return html
 
 
 PAGE_RULES = (("spanish", ("cion",)), ("french", ("eau",)), ("german", ("sch", "lich")))
@@ -239,7 +253,7 @@ PAGE_RULES = (("spanish", ("cion",)), ("french", ("eau",)), ("german", ("sch", "
                regexp_extract(shown, '(?s)' || chr(1) || '[\s\p{{Z}}' || chr(1) || ']*The(.*)', 1) AS tail FROM t
     ), c AS (
         SELECT page_id, html,
-               trim(split_part(trim(regexp_replace(replace(tail, chr(1), ' '), '[\s\p{{Z}}]+', ' ', 'g')), '&copy;', 1))
+               trim(split_part(trim(regexp_replace(replace(tail, chr(1), ' '), '[\s\p{{Z}}]+', ' ', 'g')), '©', 1))
                    AS section
         FROM s
     ), d AS (
@@ -258,10 +272,10 @@ PAGE_RULES = (("spanish", ("cion",)), ("french", ("eau",)), ("german", ("sch", "
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section between markers and its label; paged URLs stand for failed pages."""
     pages = table(spark, sf_dir, "pages").withColumn(
-        "html", F.when(~F.col("url").contains("?page"), F.col("html"))
+        "html", F.when(~F.col("url").contains("?page"), with_references(F.col("html")))
     )
     return label_pages(
-        pages, ["page_id"], start="The", stop="&copy;", rules=PAGE_RULES, label="label", section="section"
+        pages, ["page_id"], start="The", stop="©", rules=PAGE_RULES, label="label", section="section"
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import KeyRule
 from tidemark.plans.panel import (
+    COURSE_COLUMNS,
     LOCATION_COLUMNS,
     STUDENT_COLUMNS,
     CleanOptions,
@@ -120,7 +121,8 @@ def folder_scan_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     courses, students = course_rows(spark, sf_dir), student_rows(spark, sf_dir)
     low = F.col("`Student Price`") == ""
     layouts = {
-        "courses-a": courses.filter(low),
+        # A layout without the optional column.
+        "courses-a": courses.filter(low).drop("Location"),
         "courses-b": courses.filter(~low).select("Location", F.lit("x, \"y\"").alias("Note"), *LOCATION_COLUMNS[:4]),
         "students": students,
         "other": table(spark, sf_dir, "nation"),
@@ -128,7 +130,7 @@ def folder_scan_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, rows in layouts.items():
         write_csv(rows, f"{folder}/{name}")
     found = f"{folder}/*"
-    enrolled = enrollment_by_month(clean_courses(read_export_folder(spark, found, LOCATION_COLUMNS), OPTIONS))
+    enrolled = enrollment_by_month(clean_courses(read_export_folder(spark, found, COURSE_COLUMNS, optional=["Location"]), OPTIONS))
     counted = students_by_month(clean_students(read_export_folder(spark, found, STUDENT_COLUMNS), OPTIONS))
     out = enrolled.drop("course").join(counted, ["month", "year", "combined_course"])
     return out.withColumn("student_price", fixed(F.col("student_price"), 4))

@@ -592,6 +592,19 @@ def stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"total": fixed(F.col("total"), 2), "mean_price": fixed(F.col("mean_price"))})
 
 
+@register.add(
+    "future_stub_open_end",
+    f"""
+    WITH {PANEL_SQL}, l AS (SELECT series, max(date) AS last FROM m GROUP BY series)
+    SELECT series, CAST(last + INTERVAL (k) MONTH AS DATE) AS date, NULL::BIGINT AS n_orders
+    FROM l, (SELECT unnest(range(1, 13)) AS k)
+    """,
+)
+def open_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without an end every series gets the whole horizon, wherever its panel stops."""
+    return future_stub(month_panel(spark, sf_dir), SERIES, DATE, TARGET).select(SERIES, DATE, TARGET)
+
+
 # Weight and fill of each lag feature, and the base, of three fixed models.
 FIXED_MODELS = {
     "naive": (0.0, {"n_orders_lag_1": 1.0}),
