@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import linear
+from tidemark.operators.folds import expanding_folds
 from tidemark.operators.forecast import fold_forecast, future_stub, recent_history
 from tidemark.operators.importance import permutation_importance
 from tidemark.operators.linear import Candidate, LINEAR_CANDIDATES
@@ -279,3 +280,34 @@ def test_candidate_settings():
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy()) == (50, 30, "all")
     with pytest.raises(ValueError):
         estimator(Candidate("other"), "y")
+
+
+def test_pooled_folds_never_train_on_months_that_another_series_validates(spark, monkeypatch):
+    from tidemark.operators import trees
+
+    rows = [("old", dt.date(2010 + i // 12, i % 12 + 1, 1), float(i)) for i in range(36)]
+    rows += [("new", dt.date(2011 + i // 12, i % 12 + 1, 1), float(2 * i)) for i in range(36)]
+    df = spark.createDataFrame(rows, "s string, date date, y double").withColumn("x", F.col("y") * 2)
+    folds = expanding_folds(df, "s", "date", 24, 6)
+    seen = []
+    real = trees.fit_inputs
+
+    def spy(train, features):
+        seen.append(train.agg(F.max("date")).first()[0])
+        return real(train, features)
+
+    monkeypatch.setattr(trees, "fit_inputs", spy)
+    out = trees.cross_predict_pooled(folds, FeatureSet(["x"]), "s", "date", "y", SMALL_TREE_CANDIDATES[:1])
+    assert out.count() > 0
+    starts = folds.filter("role = 'valid'").groupBy("fold").agg(F.min("date").alias("d")).orderBy("fold").collect()
+    assert seen and all(a < r.d for a, r in zip(seen, starts))
+
+
+def test_a_category_with_many_values_fits(spark):
+    from tidemark.operators.trees import fit_pooled, predict_pooled
+
+    rows = [("s", f"c{i % 200}", float(i % 200)) for i in range(600)]
+    df = spark.createDataFrame(rows, "s string, c string, y double")
+    features = FeatureSet([], ["c"])
+    model = fit_pooled(df, SMALL_TREE_CANDIDATES[0], features, "s", "y")
+    assert predict_pooled(model, df, features, "s", "y").count() == 600

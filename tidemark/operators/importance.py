@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,27 +40,29 @@ def permutation_importance(
         return F.struct(F.xxhash64(F.lit(seed), F.col("_f"), F.col("_r"), row["_date"]).alias("h"), i.alias("i"))
 
     donors = F.transform(F.array_sort(F.transform("_rows", place)), lambda p: p["i"])
-    pairs = F.transform("_rows", lambda row, i: F.struct(row.alias("row"), F.get("_donors", i).alias("donor")))
-    copies = trials.withColumn("_donors", donors).withColumn("_p", F.explode(pairs))
-    own = F.col("_p.row")
-    donor = F.get("_rows", F.col("_p.donor"))
-    mixed = [
-        F.when(F.col("_f") == i, donor[c]).otherwise(own[c]).alias(c) for i, c in enumerate(features)
-    ]
-    scored = predict(copies.select(series, "_f", "_r", own["_y"].alias("_y"), *mixed))
+
+    def mixed(row, i):
+        donor = F.get("_rows", F.get("_donors", i))
+        values = [F.when(F.col("_f") == k, donor[c]).otherwise(row[c]).alias(c) for k, c in enumerate(features)]
+        return F.struct(row["_y"].alias("_y"), *values)
+
+    # Only the finished rows leave the array; the group's arrays stay behind.
+    copies = trials.withColumn("_donors", donors).select(
+        series, "_f", "_r", F.explode(F.transform("_rows", mixed)).alias("_p")
+    )
+    scored = predict(copies.select(series, "_f", "_r", "_p.*"))
 
     error = F.col("_y") - F.col("prediction")
     fits = scored.groupBy(series, "_f", "_r").agg(
         F.sum(error * error).alias("_sse"), (F.var_pop("_y") * F.count("_y")).alias("_sst")
     )
     score = 1 - F.try_divide(F.col("_sse"), F.col("_sst"))
-    scores = fits.select(series, "_f", "_r", score.alias("_score"))
-    base = scores.filter(F.col("_f") < 0).select(series, F.col("_score").alias("_base"))
-    drop = F.col("_base") - F.col("_score")
+    # A series has one score per feature and repeat, so its window is small.
+    base = F.max(F.when(F.col("_f") < 0, score)).over(Window.partitionBy(series))
+    scores = fits.select(series, "_f", (base - score).alias("_drop"))
     named = F.element_at(F.array(*[F.lit(c) for c in features]), F.col("_f") + 1)
     return (
         scores.filter(F.col("_f") >= 0)
-        .join(base, series)
         .groupBy(series, named.alias("feature"))
-        .agg(F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"))
+        .agg(F.avg("_drop").alias("importance_mean"), F.stddev_pop("_drop").alias("importance_std"))
     )

@@ -212,14 +212,25 @@ def cross_predict(
 
 
 def fit_linear(
-    matrix: DataFrame, series: str, date: str, target: str, candidates: Sequence[Candidate] = LINEAR_CANDIDATES
+    matrix: DataFrame,
+    series: str,
+    date: str,
+    target: str,
+    candidates: Sequence[Candidate] = LINEAR_CANDIDATES,
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
-    """Fit every candidate on all rows of each series: intercept and weights."""
-    labels = [c.label for c in candidates]
+    """Fit candidates on all rows of each series: intercept and weights.
+
+    With ``chosen`` (series, model_name) only the chosen ones of each series are
+    fitted, and series without one are left out.
+    """
+    by_label, some = {c.label: c for c in candidates}, chosen is not None
 
     def fit_group(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(date, kind="stable")
-        intercepts, weights = solve(_matrix(group), group[target].to_numpy(float), candidates)
+        wanted = by_label if not some else set(group["_wanted"].iloc[0])
+        labels = [label for label in by_label if label in wanted]
+        intercepts, weights = solve(_matrix(group), group[target].to_numpy(float), [by_label[label] for label in labels])
         return pd.DataFrame(
             {
                 series: group[series].iloc[0],
@@ -231,8 +242,12 @@ def fit_linear(
 
     kind = dict(matrix.dtypes)[series]
     schema = f"`{series}` {kind}, model_name string, intercept double, weights array<double>"
-    groups = spread_groups(matrix.select(series, date, target, "features"), series)
-    return groups.groupBy(series).applyInPandas(fit_group, schema)
+    rows = matrix.select(series, date, target, "features")
+    if chosen is not None:
+        known = chosen.filter(F.col("model_name").isin(list(by_label)))
+        # At most one label per candidate and series.
+        rows = rows.join(known.groupBy(series).agg(F.collect_set("model_name").alias("_wanted")), series)
+    return spread_groups(rows, series).groupBy(series).applyInPandas(fit_group, schema)
 
 
 def linear_prediction() -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,29 +50,31 @@ SMALL_TREE_CANDIDATES = [
 ]
 
 DEEPEST = 30  # MLlib's limit, used where no depth is set
-SERIES_BUCKETS = 64
-BUCKET = "_series_bucket"
+SERIES_BIT = "_series_bit_"
+#: Bits of a hash of the series, each a numeric feature of its own: trees tell
+#: series apart by a few splits, and no category list grows with their number.
+SERIES_BITS = 24
 
 
-def estimator(candidate: Candidate, target: str) -> RandomForestRegressor | GBTRegressor:
-    """The MLlib regressor of a candidate."""
+def estimator(candidate: Candidate, target: str, categories: int = 0) -> RandomForestRegressor | GBTRegressor:
+    """The MLlib regressor of a candidate, with more bins than a column has categories."""
     params = dict(candidate.params)
     common = {"featuresCol": "_features", "labelCol": target, "predictionCol": "prediction", "seed": SEED}
     depth = params.get("max_depth") or DEEPEST
     if candidate.family == "random_forest":
         return RandomForestRegressor(
-            numTrees=params["n_estimators"], maxDepth=depth, featureSubsetStrategy="all", maxBins=128, **common
+            numTrees=params["n_estimators"], maxDepth=depth, featureSubsetStrategy="all", maxBins=max(128, categories + 1), **common
         )
     if candidate.family == "gbr":
         return GBTRegressor(
-            maxIter=params["n_estimators"], stepSize=params["learning_rate"], maxDepth=depth, maxBins=128, **common
+            maxIter=params["n_estimators"], stepSize=params["learning_rate"], maxDepth=depth, maxBins=max(128, categories + 1), **common
         )
     if candidate.family == "hgb":
         return GBTRegressor(
             maxIter=params["max_iter"],
             stepSize=params["learning_rate"],
             maxDepth=depth,
-            maxBins=255,
+            maxBins=max(255, categories + 1),
             minInstancesPerNode=20,
             **common,
         )
@@ -80,17 +82,14 @@ def estimator(candidate: Candidate, target: str) -> RandomForestRegressor | GBTR
 
 
 def pooled_input(rows: DataFrame, features: FeatureSet, series: str, target: str) -> DataFrame:
-    """Doubles for numeric features, text for categories, and the series bucket.
-
-    The series enters as one of a fixed number of hash buckets, so the model
-    size does not depend on how many series there are.
-    """
-    bucket = F.pmod(F.xxhash64(F.col(series)), F.lit(SERIES_BUCKETS)).cast("string")
+    """Doubles for numeric features, text for categories, and the bits of the series' hash."""
+    code = F.xxhash64(F.col(series))
+    bits = {f"{SERIES_BIT}{i}": F.shiftright(code, i).bitwiseAND(1).cast("double") for i in range(SERIES_BITS)}
     casts = {c: F.col(c).cast("double") for c in features.numeric}
     casts |= {c: F.col(c).cast("string") for c in features.categorical}
     if target in rows.columns:
         casts[target] = F.col(target).cast("double")
-    return rows.withColumns({**casts, BUCKET: bucket})
+    return rows.withColumns({**casts, **bits})
 
 
 def fit_inputs(train: DataFrame, features: FeatureSet) -> PipelineModel:
@@ -98,24 +97,31 @@ def fit_inputs(train: DataFrame, features: FeatureSet) -> PipelineModel:
     # A column without any training value carries nothing and cannot be imputed.
     counts = train.agg(*[F.count(c).alias(c) for c in features.names]).first()
     numeric = [c for c in features.numeric if counts[c]]
-    categorical = [*[c for c in features.categorical if counts[c]], BUCKET]
+    categorical = [c for c in features.categorical if counts[c]]
+    bits = [f"{SERIES_BIT}{i}" for i in range(SERIES_BITS)]
     filled = [f"_filled_{i}" for i in range(len(numeric))]
     indexed = [f"_indexed_{i}" for i in range(len(categorical))]
     stages = [
-        Imputer(strategy="median", inputCols=numeric, outputCols=filled),
-        StringIndexer(inputCols=categorical, outputCols=indexed, handleInvalid="keep"),
-        VectorAssembler(inputCols=[*filled, *indexed], outputCol="_features"),
+        *([Imputer(strategy="median", inputCols=numeric, outputCols=filled)] if numeric else []),
+        *([StringIndexer(inputCols=categorical, outputCols=indexed, handleInvalid="keep")] if categorical else []),
+        VectorAssembler(inputCols=[*filled, *indexed, *bits], outputCol="_features"),
     ]
     return Pipeline(stages=stages).fit(train)
 
 
+def most_categories(inputs: PipelineModel) -> int:
+    """Values of the largest category column, unseen ones counted as one more."""
+    indexers = [s for s in inputs.stages if isinstance(s, StringIndexerModel)]
+    return max((len(labels) + 1 for s in indexers for labels in s.labelsArray), default=0)
+
+
 def fit_pooled(
     train: DataFrame, candidate: Candidate, features: FeatureSet, series: str, target: str
 ) -> PipelineModel:
     """Input stages and one tree model over all series."""
     data = pooled_input(train, features, series, target)
     inputs = fit_inputs(data, features)
-    model = estimator(candidate, target).fit(inputs.transform(data).select(target, "_features"))
+    model = estimator(candidate, target, most_categories(inputs)).fit(inputs.transform(data).select(target, "_features"))
     return PipelineModel([*inputs.stages, model])
 
 
@@ -137,24 +143,31 @@ def cross_predict_pooled(
     gives them. ``folds`` comes from ``expanding_folds``.
 
     The folds are written once to the checkpoint folder, since every fit reads
-    them; a fold's input stages are fitted once for all candidates.
+    them; a fold's input stages are fitted once for all candidates. A pooled model
+    sees no month at or after the first one that any series validates in its fold;
+    a fold without such months has no predictions.
     """
     ensure_checkpoint_dir(folds.sparkSession)
     held = pooled_input(folds, features, series, target).checkpoint()
     # Fold numbers are bounded by the calendar.
-    numbers = [r.fold for r in held.select("fold").distinct().orderBy("fold").collect()]
+    starts = held.filter(F.col("role") == "valid").groupBy("fold").agg(F.min(date).alias("start"))
+    numbers = [(r.fold, r.start) for r in starts.orderBy("fold").collect()]
     # Without any fold there is nothing to fit; the empty frame keeps the types.
     columns = [F.col(series), F.col("fold"), F.col(date), F.lit("").alias("model_name")]
     scores = [F.col(target).alias("actual"), F.lit(0.0).alias("prediction")]
     parts = [held.limit(0).select(*columns, *scores)]
-    for number in numbers:
+    for number, start in numbers:
         fold = held.filter(F.col("fold") == number)
-        train, valid = fold.filter(F.col("role") == "train"), fold.filter(F.col("role") == "valid")
+        valid = fold.filter(F.col("role") == "valid")
+        # The model is pooled, so no series may train it on months that another one validates.
+        train = fold.filter((F.col("role") == "train") & (F.col(date) < F.lit(start)))
+        if train.isEmpty():
+            continue
         inputs = fit_inputs(train, features)
         ready_train = inputs.transform(train).select(target, "_features")
         ready_valid = inputs.transform(valid).select(series, "fold", date, target, "_features")
         for candidate in candidates:
-            scored = estimator(candidate, target).fit(ready_train).transform(ready_valid)
+            scored = estimator(candidate, target, most_categories(inputs)).fit(ready_train).transform(ready_valid)
             label = F.lit(candidate.label).alias("model_name")
             parts.append(scored.select(series, "fold", date, label, F.col(target).alias("actual"), "prediction"))
     return stack_frames(parts)

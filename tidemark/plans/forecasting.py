@@ -113,13 +113,13 @@ class PanelForecast:
     def parameters(self) -> DataFrame:
         return fit_preprocessor(self.kept(), [self.spec.series], self.features)
 
-    def refit(self, candidates: Sequence[Candidate] | None = None) -> DataFrame:
-        """Linear candidates fitted on all usable rows of every kept series."""
+    def refit(self, candidates: Sequence[Candidate] | None = None, chosen: DataFrame | None = None) -> DataFrame:
+        """Linear candidates fitted on all usable rows of every kept series, or the chosen ones of each."""
         spec = self.spec
         matrix = apply_preprocessor(
             self.kept(), self.parameters(), [spec.series], self.features, [spec.date, spec.target]
         )
-        return fit_linear(matrix, spec.series, spec.date, spec.target, candidates or spec.linear)
+        return fit_linear(matrix, spec.series, spec.date, spec.target, candidates or spec.linear, chosen)
 
     def forecast(self, chosen: DataFrame | None = None) -> DataFrame:
         """Monthly forecasts of the (series, model_name) pairs in ``chosen``.
@@ -130,9 +130,7 @@ class PanelForecast:
         spec, keys = self.spec, [self.spec.series, "model_name"]
         parts = []
         if spec.linear:
-            models = self.refit()
-            if chosen is not None:
-                models = models.join(chosen.select(*keys), keys, "left_semi")
+            models = self.refit(chosen=None if chosen is None else chosen.select(*keys))
             parts.append(
                 recursive_forecast(
                     self.panel,
@@ -178,7 +176,8 @@ class PanelForecast:
         names = self.features.names
         parts = []
         if spec.linear:
-            fitted = self.refit().join(chosen.select(*keys), keys, "left_semi").drop("model_name")
+            # One row per series; kept, as two steps read it.
+            fitted = keep_table(self.refit(chosen=chosen.select(*keys)).drop("model_name"))
             fitted = fitted.join(self.parameters(), spec.series)
 
             def predict(rows: DataFrame) -> DataFrame:
