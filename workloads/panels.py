@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import (
@@ -21,7 +21,8 @@ from tidemark.operators.forecast import (
     recent_history,
     with_year_month,
 )
-from tidemark.operators.linear import LINEAR_CANDIDATES, cross_predict
+from tidemark.operators.importance import permutation_importance
+from tidemark.operators.linear import LINEAR_CANDIDATES, cross_predict, linear_prediction
 from tidemark.operators.preprocess import FeatureSet, apply_preprocessor, fit_preprocessor
 from tidemark.operators.rollup import monthly_rollup
 from tidemark.operators.selection import (
@@ -561,6 +562,82 @@ def one_feature_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_all(mean_metrics(fold_metrics(scored_rows, by), by), *METRIC_COLUMNS)
 
 
+# Two standardised features have a 2 x 2 system, solved by Cramer's rule.
+TWO_FEATURES = FeatureSet(["n_orders_lag_1", "n_orders_lag_12"])
+
+
+@register.add(
+    "ridge_cv_two_features",
+    f"""
+    WITH {FOLDS_SQL},
+    z AS (SELECT series, fold, role, CAST(n_orders AS DOUBLE) AS y, CAST(n_orders_lag_1 AS DOUBLE) AS v,
+                 CAST(n_orders_lag_12 AS DOUBLE) AS w FROM x),
+    t AS (SELECT series, fold, count(*) AS n, avg(v) AS vm, stddev_pop(v) AS vs, avg(w) AS wm, stddev_pop(w) AS ws,
+                 avg(y) AS ybar, corr(v, w) AS r FROM z WHERE role = 'train' GROUP BY ALL),
+    p AS (SELECT series, fold, n, vm, vs, wm, ws, ybar, r,
+                 sum((v - vm) / vs * (y - ybar)) AS a, sum((w - wm) / ws * (y - ybar)) AS b
+          FROM z JOIN t USING (series, fold) WHERE role = 'train' GROUP BY ALL),
+    k AS (SELECT unnest([0.1, 1.0, 10.0, 100.0]::DOUBLE[]) AS alpha),
+    c AS (SELECT *, 'ridge_alpha=' || alpha AS model_name, (n + alpha) * (n + alpha) - n * r * n * r AS det
+          FROM p CROSS JOIN k),
+    e AS (SELECT series, fold, model_name, y,
+                 y - greatest(ybar + (a * (n + alpha) - b * n * r) / det * (v - vm) / vs
+                                   + (b * (n + alpha) - a * n * r) / det * (w - wm) / ws, 0) AS d
+          FROM z JOIN c USING (series, fold) WHERE role = 'valid'),
+    pf AS (SELECT series, model_name, fold, sqrt(avg(d * d)) AS rmse, avg(abs(d)) AS mae,
+                  avg(abs(d / greatest(abs(y), 1e-6))) * 100 AS mape FROM e GROUP BY ALL)
+    SELECT series, model_name, {sql_fixed("avg(rmse)")} AS rmse_mean, {sql_fixed("avg(mae)")} AS mae_mean,
+           {sql_fixed("avg(mape)")} AS mape_mean
+    FROM pf GROUP BY ALL
+    """,
+)
+def two_feature_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge candidates on two correlated features."""
+    folds, keys = expanding_folds(usable_panel(spark, sf_dir), SERIES, DATE), [SERIES, "fold"]
+    fitted = fit_preprocessor(folds.filter(F.col("role") == "train"), keys, TWO_FEATURES)
+    matrix = apply_preprocessor(folds, fitted, keys, TWO_FEATURES, [DATE, "role", TARGET])
+    by = [SERIES, "model_name"]
+    scored_rows = cross_predict(matrix, SERIES, DATE, TARGET, [c for c in LINEAR_CANDIDATES if c.family == "ridge"])
+    return fixed_all(mean_metrics(fold_metrics(scored_rows, by), by), *METRIC_COLUMNS)
+
+
+@register.add(
+    "importance_fixed_model",
+    f"""
+    WITH {FEATURES_SQL},
+    u AS (SELECT series, date, CAST(n_orders AS DOUBLE) AS y, CAST(n_orders_lag_1 AS DOUBLE) AS a,
+                 CAST(n_orders_lag_12 AS DOUBLE) AS b
+          FROM f WHERE n_orders_lag_12 IS NOT NULL AND n_orders_roll_mean_12 IS NOT NULL),
+    rows_ AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS i FROM u),
+    trials AS (SELECT f, r FROM (SELECT unnest([0, 1]) AS f), (SELECT unnest(range(0, 5)) AS r)),
+    places AS (SELECT series, f, r, i, row_number() OVER (PARTITION BY series, f, r
+                   ORDER BY md5('42|' || f || '|' || r || '|' || CAST(date AS VARCHAR)), i) AS at
+               FROM rows_, trials),
+    mixed AS (SELECT o.series, p.f, p.r, o.y, CASE WHEN p.f = 0 THEN d.a ELSE o.a END AS a,
+                     CASE WHEN p.f = 1 THEN d.b ELSE o.b END AS b
+              FROM places p JOIN rows_ o ON o.series = p.series AND o.i = p.at
+                            JOIN rows_ d ON d.series = p.series AND d.i = p.i),
+    scores AS (SELECT series, f, r, 1 - sum((y - 3 - 0.4 * a - 0.55 * b) ** 2) / (var_pop(y) * count(*)) AS s
+               FROM mixed GROUP BY ALL),
+    base AS (SELECT series, 1 - sum((y - 3 - 0.4 * a - 0.55 * b) ** 2) / (var_pop(y) * count(*)) AS s
+             FROM rows_ GROUP BY series)
+    SELECT s.series, CASE WHEN f = 0 THEN 'n_orders_lag_1' ELSE 'n_orders_lag_12' END AS feature,
+           {sql_fixed("avg(b.s - s.s)")} AS importance_mean, {sql_fixed("stddev_pop(b.s - s.s)")} AS importance_std
+    FROM scores s JOIN base b ON s.series = b.series GROUP BY s.series, f
+    """,
+)
+def fixed_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permutation importance of a model with given weights."""
+
+    def predict(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prediction", 3 + 0.4 * F.col("n_orders_lag_1") + 0.55 * F.col("n_orders_lag_12"))
+
+    found = permutation_importance(
+        usable_panel(spark, sf_dir), predict, TWO_FEATURES.numeric, SERIES, DATE, TARGET, repeats=5
+    )
+    return fixed_all(found, "importance_mean", "importance_std")
+
+
 # Forecasts ---------------------------------------------------------------------
 
 STUB_SQL = """
@@ -787,6 +864,66 @@ def tree_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_forecast(spark, sf_dir, linear=(), trees=SMALL_TREE_CANDIDATES[:1]).forecast()
 
 
+@register.add(
+    "linear_optimality",
+    f"""
+    WITH {FEATURES_SQL},
+    u AS (SELECT series, count(*) AS n FROM f
+          WHERE n_orders_lag_12 IS NOT NULL AND n_orders_roll_mean_12 IS NOT NULL GROUP BY series HAVING count(*) >= 27),
+    names AS (SELECT 'ridge_alpha=' || unnest([0.1, 1.0, 10.0, 100.0]::DOUBLE[]) AS model_name
+              UNION ALL
+              SELECT 'elasticnet_alpha=' || alpha || '_l1_ratio=' || ratio
+              FROM (SELECT unnest([0.01, 0.05, 0.1, 0.5]::DOUBLE[]) AS alpha),
+                   (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) AS ratio))
+    SELECT series, model_name, TRUE AS optimal FROM u CROSS JOIN names
+    """,
+)
+def optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 24 linear candidates on all features: whether the weights returned are optimal.
+
+    The duality gap of each fit, worked out from its residuals, is within the
+    solver's tolerance of the target's sum of squares.
+    """
+    run = order_forecast(spark, sf_dir)
+    matrix = apply_preprocessor(run.kept(), run.parameters(), [SERIES], run.features, [DATE, TARGET])
+    models = run.refit()
+    penalties = spark.createDataFrame(
+        [
+            (c.label, *((dict(c.params)["alpha"], 0.0, False) if c.family == "ridge"
+                        else (dict(c.params)["alpha"], dict(c.params)["l1_ratio"], True)))
+            for c in LINEAR_CANDIDATES
+        ],
+        "model_name string, alpha double, ratio double, per_row boolean",
+    )
+    scored = matrix.join(models, SERIES).withColumn("r", F.col(TARGET) - linear_prediction())
+    level = F.avg(TARGET).over(Window.partitionBy(SERIES, "model_name"))
+    scored = scored.withColumn("yc", F.col(TARGET) - level)
+    sums = scored.groupBy(SERIES, "model_name").agg(
+        F.count("*").alias("n"),
+        F.sum(F.col("r") * F.col("r")).alias("residual"),
+        F.sum(F.col("yc") * F.col("r")).alias("agreement"),
+        F.sum(F.col("yc") * F.col("yc")).alias("energy"),
+        F.first("weights").alias("w"),
+    )
+    pulls = scored.select(SERIES, "model_name", "r", F.posexplode("features").alias("j", "z"))
+    pulls = pulls.groupBy(SERIES, "model_name", "j").agg(F.sum(F.col("z") * F.col("r")).alias("pull"))
+    joined = pulls.join(sums, [SERIES, "model_name"]).join(F.broadcast(penalties), "model_name")
+    scale = F.when(F.col("per_row"), F.col("n")).otherwise(1)
+    l1, l2 = F.col("alpha") * F.col("ratio") * scale, F.col("alpha") * (1 - F.col("ratio")) * scale
+    rest = [F.first(c).alias(c) for c in ("residual", "agreement", "energy", "w")]
+    each = joined.withColumns({"l1": l1, "l2": l2}).groupBy(SERIES, "model_name", "l1", "l2")
+    each = each.agg(F.max(F.abs(F.col("pull") - F.col("l2") * F.get("w", F.col("j")))).alias("slack"), *rest)
+    size = F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x)
+    length = F.aggregate("w", F.lit(0.0), lambda a, x: a + F.abs(x))
+    shrink = F.when(F.col("slack") > F.col("l1"), F.col("l1") / F.col("slack")).otherwise(1.0)
+    primal = F.col("residual") / 2 + F.col("l1") * length + F.col("l2") * size / 2
+    dual = shrink * F.col("agreement") - shrink * shrink * (F.col("residual") + F.col("l2") * size) / 2
+    # Without an L1 part the gradient itself must vanish.
+    smooth = F.col("slack") <= 1e-6 * F.col("energy")
+    optimal = F.when(F.col("l1") > 0, primal - dual <= 1.001e-4 * F.col("energy")).otherwise(smooth)
+    return each.select(SERIES, "model_name", optimal.alias("optimal"))
+
+
 def numeric_and_categorical(spark: SparkSession, sf_dir: str) -> tuple[list[str], list[str]]:
     """Feature split of the model panel, for reports and tests."""
     featured = panel_features(model_panel(spark, sf_dir), SERIES, DATE, TARGET)
