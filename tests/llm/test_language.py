@@ -60,3 +60,10 @@ def test_one_language_is_never_in_doubt(words):
     encoders = language.Encoders({"xx": ("kano miru " * 50).encode()})
     name, score, over, margin = encoders.judge("kano " * words)
     assert (name, score) == ("xx", 1.0) and over > 0 and margin > 0
+
+
+def test_a_text_without_letters_has_no_language():
+    encoders = language.Encoders({"xx": ("kano miru " * 50).encode(), "yy": ("derung schein " * 40).encode()})
+    for text in ("½ ² ① 123 _", "", "...", "\u0301"):
+        assert encoders.judge(text)[:2] == ("und", 0.0)
+    assert encoders.judge("½ kano")[0] == "xx"

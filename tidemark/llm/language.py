@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_or_empty
+from tidemark.llm.common import keep_sized, text_or_empty
 from tidemark.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -44,8 +44,9 @@ def held_out(id_column: str = "doc_id", folds: int = 4, fold: int = 2) -> Column
 
 
 def normal(text: str) -> str:
-    """Lower-cased runs of letters, one space between them."""
-    return NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Lower-cased words, one space between them; empty if the text has no letter."""
+    words = NOT_LETTERS.sub(" ", text.lower()).strip()
+    return words if any(map(str.isalpha, words)) else ""
 
 
 def parameters() -> zstandard.ZstdCompressionParameters:
@@ -92,7 +93,13 @@ def fit_dictionaries(
         F.xxhash64(F.col(id_column), F.lit("sample")).alias("draw"),
         F.substring(F.col(text), start, F.lit(chars_per_row)).alias("piece"),
     )
-    # Only the least draws of each task go through the shuffle.
+    # Draws are evenly spread, so a language's least ones lie below a line that follows
+    # from its number of rows: four times as many as needed are ranked, not all.
+    # At most one row per language.
+    sizes = docs.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("rows"))
+    line = F.lit(4.0 * rows_per_language) / F.col("rows")
+    low = (F.col("draw").cast("double") / 2.0**64 + 0.5) < line
+    drawn = drawn.join(keep_sized(sizes), "lang").filter(low)
     first = Window.partitionBy("lang").orderBy("draw", "piece")
     chosen = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows_per_language)
     sample: dict[str, dict[str, None]] = {}
