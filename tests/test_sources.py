@@ -138,3 +138,17 @@ def test_header_of_any_length_and_with_line_breaks(spark, tmp_path):
     (tmp_path / "small.csv").write_text("Start Date\n2018-01-05\n")
     found = read_export_folder(spark, str(tmp_path), ["Start Date"])
     assert sorted(r[0] for r in found.select("`Start Date`").collect()) == ["2018-01-05", "v"]
+
+
+def test_rows_are_ordered_by_file_and_place(spark, tmp_path):
+    """Spark packs large files first and each layout is a scan of its own; the order is by path all the same."""
+    head = "Course Type Name,Start Date,Enrolled,Student Price"
+    for name, start, rows in (("a file.csv", head, 3), ("b.csv", head, 4000), ("c.csv", "Note," + head, 2)):
+        extra = "n," if start.startswith("Note") else ""
+        lines = [f"{extra}{name} {i},2018-01-05,1,$1.00" for i in range(rows)]
+        (tmp_path / name).write_text("\n".join([start, *lines]) + "\n")
+    for multi_line in (True, False):
+        found = read_export_folder(spark, str(tmp_path), COURSE_COLUMNS, multi_line=multi_line)
+        names = [r[0] for r in found.orderBy("source_row").select("`Course Type Name`").collect()]
+        wanted = [f"a file.csv {i}" for i in range(3)] + [f"b.csv {i}" for i in range(4000)] + [f"c.csv {i}" for i in range(2)]
+        assert names == wanted

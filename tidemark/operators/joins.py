@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import ensure_checkpoint_dir
 
-# Largest group table that is broadcast: a few MB at one short row per group.
+# Largest group table that is broadcast, in rows and in bytes of its JSON text.
 BROADCAST_GROUPS = 100_000
+BROADCAST_BYTES = 8_000_000
 
 HOWS = ("inner", "outer", "left", "right")
 
@@ -63,13 +64,14 @@ def join_group_values(
     """Join one row of values per group back to the rows.
 
     The group table is computed once and kept in the checkpoint folder. With at
-    most ``limit`` groups, by count, it is broadcast, so the rows stay where they
+    most ``limit`` groups and ``BROADCAST_BYTES``, both measured, it is broadcast, so the rows stay where they
     are; with more, both sides are shuffled and adaptive execution splits the
     keys that hold too many rows.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     held = groups.checkpoint()
-    if held.count() <= limit:
+    size = held.agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    if size["n"] <= limit and (size["bytes"] or 0) <= BROADCAST_BYTES:
         held = F.broadcast(held)
     return rows.join(held, list(keys), how)
 

@@ -8,7 +8,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,9 @@ from tidemark.session import keep_table, ship_with_tasks
 
 ship_with_tasks(__name__)
 
-HEADER_SCHEMA = "path string, header string"
+HEADER_SCHEMA = "path string, source_file string, header string"
+#: Bits of a row's number within its task, and of a block's place in its file.
+ROW_BITS, BLOCK_BITS = 33, 42
 #: Bytes read at a time until the first record ends.
 HEADER_STEP = 1 << 16
 
@@ -55,7 +57,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Data
     """Paths of the folder's files; the pruned content column is never read."""
     listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     try:
-        return listing.load(folder).select("path")
+        return listing.load(folder).select("path", F.col("_metadata.file_path").alias("source_file"))
     except AnalysisException as error:
         raise FileNotFoundError(f"cannot list {folder}") from error
 
@@ -73,8 +75,8 @@ def read_export_folder(
     Headers are read in parallel; files lacking a required column are skipped, an
     ``optional`` column is null where a file lacks it. Files with the same header
     share one CSV scan, so the number of scans is the number of layouts, not of
-    files. ``source_file`` names a row's file and ``source_row`` numbers the rows of
-    a layout in scan order. ``multi_line`` keeps quoted line breaks whole; turn it
+    files. ``source_file`` names a row's file and ``source_row`` orders all rows by
+    file path and place in the file, however files are packed into tasks. ``multi_line`` keeps quoted line breaks whole; turn it
     off for huge files without any, which then split.
     """
     files = list_files(spark, folder, pattern)
@@ -96,6 +98,9 @@ def read_export_folder(
         raise ValueError(f"no file in {folder} has the columns {sorted(required)}")
     wanted = [*required, *[c for c in optional if c not in required]]
 
+    # As many rows as files, which the driver lists anyway.
+    order = Window.orderBy("source_file")
+    ranks = headers.select("source_file", F.row_number().over(order).cast("decimal(38,0)").alias("_rank"))
     scans = []
     for names, paths in layouts.items():
         # Columns nobody asked for may repeat a name; positions keep them apart.
@@ -108,10 +113,15 @@ def read_export_folder(
             scan.select(
                 *[F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in wanted],
                 F.col("_metadata.file_path").alias("source_file"),
-                F.monotonically_increasing_id().alias("source_row"),
+                F.col("_metadata.file_block_start").cast("decimal(38,0)").alias("_block"),
+                F.monotonically_increasing_id().bitwiseAND((1 << ROW_BITS) - 1).cast("decimal(38,0)").alias("_row"),
             )
         )
-    return reduce(lambda a, b: a.unionByName(b), scans)
+    rows = reduce(lambda a, b: a.unionByName(b), scans).join(ranks, "source_file")
+    place = (F.col("_rank") * F.lit(2**BLOCK_BITS) + F.col("_block")).cast("decimal(30,0)") * F.lit(2**ROW_BITS)
+    return rows.select(
+        *[F.col(f"`{c}`") for c in wanted], "source_file", (place.cast("decimal(38,0)") + F.col("_row")).cast("decimal(38,0)").alias("source_row")
+    )
 
 
 def read_table_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
