@@ -311,3 +311,16 @@ def test_a_category_with_many_values_fits(spark):
     features = FeatureSet([], ["c"])
     model = fit_pooled(df, SMALL_TREE_CANDIDATES[0], features, "s", "y")
     assert predict_pooled(model, df, features, "s", "y").count() == 600
+
+
+def test_tree_inputs_are_filled_per_series(spark):
+    from tidemark.operators.trees import fill_gaps, learn_fills
+
+    rows = [("a", 1.0, "x"), ("a", 2.0, "x"), ("a", 4.0, None), ("a", 9.0, "y"), ("a", None, None), ("b", 5.0, None), ("b", None, None)]
+    df = spark.createDataFrame(rows, "s string, v double, c string")
+    features = FeatureSet(["v"], ["c"])
+    got = fill_gaps(df, learn_fills(df, features, "s"), features, "s").collect()
+    assert sorted((r.s, r.v, r.c) for r in got if r.s == "a") == [
+        ("a", 1.0, "x"), ("a", 2.0, "x"), ("a", 3.0, "x"), ("a", 4.0, "x"), ("a", 9.0, "y")
+    ]
+    assert [(r.v, r.c) for r in got if r.s == "b"] == [(5.0, None), (5.0, None)]

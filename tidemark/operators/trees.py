@@ -8,6 +8,7 @@ they are opt-in because every boosting round is a Spark job.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StringIndexer, StringIndexerModel, VectorAssembler
@@ -27,9 +28,9 @@ from tidemark.operators.forecast import (
 )
 from tidemark.operators.joins import stack_frames
 from tidemark.operators.linear import Candidate, grid
-from tidemark.operators.preprocess import FeatureSet
+from tidemark.operators.preprocess import FeatureSet, fit_preprocessor
 from tidemark.operators.selection import last_row
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import ensure_checkpoint_dir, keep_table
 
 # Fixed candidate grids.
 FOREST_GRID = {"n_estimators": (50, 100, 200), "max_depth": (None, 5, 10, 20)}
@@ -92,8 +93,33 @@ def pooled_input(rows: DataFrame, features: FeatureSet, series: str, target: str
     return rows.withColumns({**casts, **bits})
 
 
+@dataclass(frozen=True)
+class PooledModel:
+    """One model over all series, and what fills each series' gaps."""
+
+    stages: PipelineModel
+    fills: DataFrame
+
+
+def learn_fills(train: DataFrame, features: FeatureSet, series: str) -> DataFrame:
+    """Each series' medians and modes over its training rows, as for the linear models."""
+    learned = fit_preprocessor(train, [series], features)
+    return learned.select(series, F.col("medians").alias("_medians"), F.col("modes").alias("_modes"))
+
+
+def fill_gaps(rows: DataFrame, fills: DataFrame, features: FeatureSet, series: str) -> DataFrame:
+    """Nulls replaced by the own series' median or mode, where it has one."""
+    filled = {c: F.coalesce(F.col(c), F.get("_medians", F.lit(i))) for i, c in enumerate(features.numeric)}
+    filled |= {c: F.coalesce(F.col(c), F.get("_modes", F.lit(i))) for i, c in enumerate(features.categorical)}
+    return rows.join(fills, series, "left").withColumns(filled).drop("_medians", "_modes")
+
+
 def fit_inputs(train: DataFrame, features: FeatureSet) -> PipelineModel:
-    """Median imputation, category indexing and assembly of ``_features``."""
+    """Category indexing and assembly of ``_features``.
+
+    What is still null belongs to series without any value of their own and takes
+    the median over all series.
+    """
     # A column without any training value carries nothing and cannot be imputed.
     counts = train.agg(*[F.count(c).alias(c) for c in features.names]).first()
     numeric = [c for c in features.numeric if counts[c]]
@@ -117,17 +143,20 @@ def most_categories(inputs: PipelineModel) -> int:
 
 def fit_pooled(
     train: DataFrame, candidate: Candidate, features: FeatureSet, series: str, target: str
-) -> PipelineModel:
-    """Input stages and one tree model over all series."""
+) -> PooledModel:
+    """Fills, input stages and one tree model over all series."""
     data = pooled_input(train, features, series, target)
+    # One row per series; every later prediction reads it.
+    fills = keep_table(learn_fills(data, features, series))
+    data = fill_gaps(data, fills, features, series)
     inputs = fit_inputs(data, features)
     model = estimator(candidate, target, most_categories(inputs)).fit(inputs.transform(data).select(target, "_features"))
-    return PipelineModel([*inputs.stages, model])
+    return PooledModel(PipelineModel([*inputs.stages, model]), fills)
 
 
-def predict_pooled(model: PipelineModel, rows: DataFrame, features: FeatureSet, series: str, target: str) -> DataFrame:
+def predict_pooled(model: PooledModel, rows: DataFrame, features: FeatureSet, series: str, target: str) -> DataFrame:
     """Rows with a ``prediction`` column; helper columns are dropped."""
-    scored = model.transform(pooled_input(rows, features, series, target))
+    scored = model.stages.transform(fill_gaps(pooled_input(rows, features, series, target), model.fills, features, series))
     return scored.select(*[F.col(f"`{c}`") for c in rows.columns], "prediction")
 
 
@@ -163,6 +192,8 @@ def cross_predict_pooled(
         train = fold.filter((F.col("role") == "train") & (F.col(date) < F.lit(start)))
         if train.isEmpty():
             continue
+        fills = keep_table(learn_fills(train, features, series))
+        train, valid = (fill_gaps(part, fills, features, series) for part in (train, valid))
         inputs = fit_inputs(train, features)
         ready_train = inputs.transform(train).select(target, "_features")
         ready_valid = inputs.transform(valid).select(series, "fold", date, target, "_features")
@@ -175,7 +206,7 @@ def cross_predict_pooled(
 
 def recursive_forecast_pooled(
     panel: DataFrame,
-    model: PipelineModel,
+    model: PooledModel,
     features: FeatureSet,
     series: str,
     date: str,
