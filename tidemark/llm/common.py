@@ -21,10 +21,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def named_bits(*flags: Column) -> Column:
-    return F.concat_ws(",", *flags)
-
-
 def keep_sized(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Write a table to the shared folder and mark it for broadcast if it is small.
 

@@ -73,7 +73,9 @@ def item_seeds(items: DataFrame, text: str, id_column: str, reach: int) -> DataF
         return F.concat(*[of_mask(hashes, n) for n in range(len(MASKS))])
 
     hashed = items.select(F.col(id_column).alias("item"), token_hashes(text_or_empty(text)).alias("hashes"))
-    listed = hashed.select("item", F.size("hashes").alias("length"), F.explode(bound_once(F.col("hashes"), all_seeds)).alias("s"))
+    listed = hashed.select(
+        "item", F.size("hashes").alias("length"), F.explode(bound_once(F.col("hashes"), all_seeds)).alias("s")
+    )
     return listed.select("item", "length", "s.*").distinct()
 
 
@@ -108,7 +110,10 @@ def passing(hashes: Column, bits: Column, words: int, reach: int) -> Column:
 
     found = F.concat(*[of_mask(n) for n in range(len(MASKS))])
     return F.transform(
-        found, lambda s: F.struct(s["seed"].alias("seed"), s["at"].alias("at"), around(hashes, s["at"], reach).alias("around"))
+        found,
+        lambda s: F.struct(
+            s["seed"].alias("seed"), s["at"].alias("at"), around(hashes, s["at"], reach).alias("around")
+        ),
     )
 
 
@@ -191,7 +196,9 @@ def _pass(
     return sure.select("id", "mark", "item", "at")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", id_column: str = "doc_id", **options) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text: str = "text", id_column: str = "doc_id", **options
+) -> DataFrame:
     """The rows without an overlap with any item, with all their columns."""
     found = find_overlaps(docs, items, text, id_column, **options)
     lost = keep_sized(found.select(F.col("id").alias("_lost_id"), F.col("mark").alias("_lost_mark")).distinct())

@@ -182,7 +182,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = labels.filter(~toxicity.held_out())
     sample = toxicity.labelled_rows(docs, learned, "text", "doc_id", "toxic", fit_rows=30_000)
     found = toxicity.score_toxicity(docs, toxicity.fit(sample)).withColumnRenamed("id", "doc_id")
-    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+    return found.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages")
+    )
 
 
 @register.add("op8_mix_sources")
@@ -222,7 +224,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT conv_id, good, bad, good = bad AS tie, CASE WHEN good = bad THEN c ELSE same END AS p FROM sides
     )
     SELECT conv_id, len(p)::INTEGER AS n_common,
-           array_to_string(list_transform(p, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '') AS prompt,
+           array_to_string(list_transform(
+               p, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '') AS prompt,
            CASE WHEN tie THEN '' ELSE '<|assistant|>' || chr(10) || good || '<|end|>' || chr(10) END AS chosen,
            CASE WHEN tie THEN '' ELSE '14:' || (14 + length(good) + 7)::VARCHAR END AS chosen_learned,
            CASE WHEN tie THEN '' ELSE '<|assistant|>' || chr(10) || bad || '<|end|>' || chr(10) END AS rejected,

@@ -58,7 +58,14 @@ WEAK = (
         3,
         "ident",
     ),
-    Kind("opaque", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[0-9+/_=-]{0,40}[A-Za-z])[A-Za-z0-9+/_=-]{16,}", 0, 16, "secret"),
+    # A letter and a digit must stand among the first characters.
+    Kind(
+        "opaque",
+        r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[0-9+/_=-]{0,40}[A-Za-z])[A-Za-z0-9+/_=-]{16,}",
+        0,
+        16,
+        "secret",
+    ),
     Kind("endpoint", r"\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D\"'<>]+", 0, 8, "endpoint"),
 )
 KINDS = STRONG + WEAK

@@ -189,7 +189,7 @@ def bits_over_chance(found: list[tuple[int, int, float]], n: int, model: Model)
 CACHE = 200_000
 
 
-def scanned(rows: DataFrame, model: Model, score: bool) -> DataFrame:
+def scanned(rows: DataFrame, model: Model) -> DataFrame:
     """``rows`` (columns id, body) with ``words``, ``excess`` (evidence) and passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def fit(labelled: DataFrame) -> Model:
     if not weights:
         return Model()
     # How often clean text meets a toxic token, and how much such a token weighs there.
-    rates = scanned(labelled.filter("toxic = 0"), Model(weights, 1.0, 0.0), False).agg(
+    rates = scanned(labelled.filter("toxic = 0"), Model(weights, 1.0, 0.0)).agg(
         F.sum("words").alias("n"),
         F.sum(F.aggregate("passages", F.lit(0.0), lambda a, p: a + p["score"])).alias("s"),
         F.sum(F.size("passages")).alias("hits"),
@@ -267,7 +267,7 @@ def fit(labelled: DataFrame) -> Model:
     share = (hits + 1) / (n + 100)
     usual = float(np.median(list(weights.values())))
     model = Model(weights, chance_scale(min(share, 0.5 / (1 + usual)), usual), 0.0)
-    pairs = scanned(labelled, model, True).select("id", "excess").join(labelled.select("id", "toxic"), "id")
+    pairs = scanned(labelled, model).select("id", "excess").join(labelled.select("id", "toxic"), "id")
     rows = pairs.select("excess", "toxic").collect()
     x, y = (np.array([float(r[i]) for r in rows]) for i in range(2))
     model.curve = logistic(np.clip(x, -10, 10), y) if len(set(y)) == 2 else model.curve
@@ -304,7 +304,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", id_column:
     read. Without toxic training texts the model is empty and scores are low.
     """
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text).alias("body"))
-    found = scanned(rows, model, True)
+    found = scanned(rows, model)
     start, slope = model.curve
     line = F.lit(start) + F.lit(slope) * F.least(F.greatest("excess", F.lit(-10.0)), F.lit(10.0))
     return found.withColumn("score", 1 / (1 + F.exp(-line))).select(
