@@ -37,7 +37,8 @@ def permutation_importance(
     trials = trials.withColumn("_r", F.explode(rounds))
 
     def place(row, i):
-        name = F.concat_ws("|", F.lit(str(seed)), F.col("_f").cast("string"), F.col("_r").cast("string"), row["_date"].cast("string"))
+        parts = [F.lit(str(seed)), F.col("_f").cast("string"), F.col("_r").cast("string"), row["_date"].cast("string")]
+        name = F.concat_ws("|", *parts)
         return F.struct(F.md5(name).alias("h"), i.alias("i"))
 
     donors = F.transform(F.array_sort(F.transform("_rows", place)), lambda p: p["i"])

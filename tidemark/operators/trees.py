@@ -156,7 +156,8 @@ def fit_pooled(
 
 def predict_pooled(model: PooledModel, rows: DataFrame, features: FeatureSet, series: str, target: str) -> DataFrame:
     """Rows with a ``prediction`` column; helper columns are dropped."""
-    scored = model.stages.transform(fill_gaps(pooled_input(rows, features, series, target), model.fills, features, series))
+    filled = fill_gaps(pooled_input(rows, features, series, target), model.fills, features, series)
+    scored = model.stages.transform(filled)
     return scored.select(*[F.col(f"`{c}`") for c in rows.columns], "prediction")
 
 

@@ -164,7 +164,8 @@ class PanelForecast:
 
     def top_forecasts(self, results: DataFrame, k: int = 5) -> DataFrame:
         """True forecasts of the k best models per series, labelled by model."""
-        chosen = top_per_group(results, [self.spec.series], [*METRICS, grid_place(F.col("model_name"), self.grid()), "model_name"], k)
+        order = [*METRICS, grid_place(F.col("model_name"), self.grid()), "model_name"]
+        chosen = top_per_group(results, [self.spec.series], order, k)
         return self.forecast(chosen)
 
     def annual(self, forecast: DataFrame) -> DataFrame:

@@ -119,9 +119,8 @@ def read_export_folder(
         )
     rows = reduce(lambda a, b: a.unionByName(b), scans).join(ranks, "source_file")
     place = (F.col("_rank") * F.lit(2**BLOCK_BITS) + F.col("_block")).cast("decimal(30,0)") * F.lit(2**ROW_BITS)
-    return rows.select(
-        *[F.col(f"`{c}`") for c in wanted], "source_file", (place.cast("decimal(38,0)") + F.col("_row")).cast("decimal(38,0)").alias("source_row")
-    )
+    place = (place.cast("decimal(38,0)") + F.col("_row")).cast("decimal(38,0)")
+    return rows.select(*[F.col(f"`{c}`") for c in wanted], "source_file", place.alias("source_row"))
 
 
 def read_table_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
