@@ -41,12 +41,14 @@ ship_with_tasks(__name__)
 LANE = 64
 #: Rows of one key that are compared in one go.
 BUCKET = 2048
-#: Unrelated fingerprints that may share a key with one, on average.
-CROWD = 16
+#: Unrelated fingerprints that may share a key with one, on average: of all pigeonhole
+#: keys together, and of each sampled key. More of them cost comparisons in memory,
+#: fewer cost keys and so shuffled rows.
+CROWD, SAMPLED_CROWD = 16, 64
 #: Shingles hashed at once, which bounds memory on very long texts.
 SHINGLES = 1 << 16
-#: Runs up to this length are compared pair by pair.
-SHORT_RUN = 32
+#: Runs up to this length are compared by shifting the rows of a batch against themselves.
+SHORT_RUN = 128
 SEED = 42
 
 
@@ -137,7 +139,7 @@ def pigeonhole_masks(bits: int, distance: int, rows: int) -> list[tuple[int, ...
 
 def sampled_masks(bits: int, distance: int, rows: int, recall: float) -> list[tuple[int, ...]]:
     """Masks of random bits; a pair at ``distance`` shares one with probability ``recall`` or more."""
-    width = max(8, math.ceil(math.log2(max(rows, 2) / CROWD)))
+    width = max(8, math.ceil(math.log2(max(rows, 2) / SAMPLED_CROWD)))
     share = (1 - distance / bits) ** width
     tables = math.ceil(math.log(1 - recall) / math.log(1 - share))
     draw = random.Random(SEED)
@@ -167,8 +169,23 @@ def linked(prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+def forest(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which links join what was not joined before; the others add nothing to the components."""
+    root: dict[int, int] = {}
+    keep = np.zeros(len(left), bool)
+    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+        while (up := root.get(a, a)) != a:
+            root[a] = a = root.get(up, up)
+        while (up := root.get(b, b)) != b:
+            root[b] = b = root.get(up, up)
+        if a != b:
+            root[a] = b
+            keep[i] = True
+    return keep
+
+
 def run_links(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows with equal keys; the rows are sorted by key."""
+    """Links among rows with equal keys, at most one fewer than rows; the rows are sorted by key."""
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
     lengths = np.diff(np.r_[starts, len(keys)])
     left, right = [], []
@@ -186,8 +203,11 @@ def run_links(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.n
         a, b = linked(prints[start : start + length], distance)
         left.append(a + start)
         right.append(b + start)
-    none = np.empty(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    all_left, all_right = np.concatenate(left), np.concatenate(right)
+    keep = forest(all_left, all_right)
+    return all_left[keep], all_right[keep]
 
 
 def block_rows(classes: DataFrame, lanes: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
