@@ -147,3 +147,60 @@ def test_links_across_every_bit(spark):
     df = spark.createDataFrame(rows, "l0 long")
     found = simhash.links(df, ["l0"], simhash.pigeonhole_masks(64, 4, len(rows)), 4).count()
     assert found == 60
+
+
+def jaccard(left: str | None, right: str | None, size: int = 5) -> float:
+    sets = []
+    for text in (left, right):
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def brute_kept(rows, similarity: float = 0.8) -> list:
+    """The least id of every component of pairs with the similarity."""
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and jaccard(rows[i][1], rows[j][1]) >= similarity - 1e-9:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted(min(r[0] for r, g in zip(rows, group) if g == k) for k in set(group))
+
+
+def similar_rows(pairs: int):
+    """Pairs a little above and below the similarity, groups around one text, shared passages and repeated lines."""
+    draw = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = draw.choices(vocabulary, k=40)
+    line = draw.choices(vocabulary, k=6)
+    texts = []
+    for i in range(pairs):
+        words = draw.choices(vocabulary, k=draw.choice([4, 5, 9, 60, 200]))
+        if i % 3 == 0:
+            words += passage
+        if i % 5 == 0:
+            words += line * 40
+        other = list(words)
+        # Each changed word costs up to five shingles, so this straddles 0.8.
+        for _ in range(round(len(words) * draw.uniform(0, 0.035))):
+            other[draw.randrange(len(other))] = draw.choice(vocabulary)
+        texts += [words, other, other[: round(len(other) * draw.uniform(0.75, 1))]]
+    base = draw.choices(vocabulary, k=150)
+    for _ in range(40):
+        words = list(base)
+        for _ in range(draw.randint(0, 3)):
+            words[draw.randrange(150)] = draw.choice(vocabulary)
+        texts.append(words)
+    draw.shuffle(texts)
+    return [(i, " ".join(words)) for i, words in enumerate(texts)]
+
+
+@pytest.mark.parametrize("common", [0, 200_000])
+def test_drop_matches_exact_similarity(spark, monkeypatch, common):
+    monkeypatch.setattr(simhash, "COMMON", common)
+    rows = similar_rows(70)
+    near = [jaccard(a, b) for i, (_, a) in enumerate(rows) for _, b in rows[:i]]
+    assert sum(0.8 <= x < 0.85 for x in near) > 10 and sum(0.7 < x < 0.8 for x in near) > 10
+    df = spark.createDataFrame([(d, t, "e") for d, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == brute_kept(rows)

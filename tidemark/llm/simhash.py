@@ -50,6 +50,8 @@ SHINGLES = 1 << 16
 #: Runs up to this length are compared by shifting the rows of a batch against themselves.
 SHORT_RUN = 128
 SEED = 42
+#: Rows that are sampled for common shingles, one in so many at most, and shingles kept.
+SAMPLE_ROWS, SAMPLE_SHARE, COMMON = 20_000, 16, 200_000
 
 
 def shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
@@ -323,9 +325,177 @@ def near_duplicates(
     )
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """Expected differing bits of two texts of one size whose shingle sets have this Jaccard similarity."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted; one 0 for a text without words."""
+    parts = list(shingle_hashes(text, size))
+    return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(1, np.int64)
+
+
+def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, sorted, and their ranks by that number.
+
+    They only say which shingles are looked at last: any order gives the same pairs.
+    """
+    share = min(SAMPLE_SHARE, max(1, docs.count() // SAMPLE_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(body.as_py(), size))], names=["key"])
+
+    body = text_or_empty(text)
+    sample = docs.select(body.alias("body")).filter(F.pmod(F.xxhash64("body"), F.lit(share)) == 0)
+    counted = sample.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 2")
+    rows = counted.orderBy(F.desc("n"), "key").limit(COMMON).collect()  # a bounded list
+    keys = np.array([r["key"] for r in rows], np.int64)
+    ranks = np.arange(len(rows), 0, -1)
+    order = np.argsort(keys)
+    return keys[order], ranks[order]
+
+
+def rare_first(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    if not len(common):
+        return hashes
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.lexsort((hashes, np.where(common[at] == hashes, ranks[at], 0)))]
+
+
+def shingle_rows(docs: DataFrame, text: str, id_column: str, size: int, similarity: float) -> DataFrame:
+    """``id``, ``mark``, ``cls`` (a hash of the shingle set), its size ``n`` and its ``prefix``.
+
+    Sets of a similarity have that share of the larger set in common. So if a set
+    leaves out less than that share of its shingles at the end of one common
+    order, both rests still meet: the prefix has the others.
+    """
+    common, ranks = common_shingles(docs, text, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes, prefixes = [], [], []
+            for body in batch.column(2):
+                hashes = shingle_set(body.as_py(), size)
+                n = len(hashes)
+                names.append(signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)))
+                sizes.append(n)
+                prefixes.append(rare_first(hashes, common, ranks)[: n - math.ceil(similarity * n - 1e-9) + 1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["id", "mark", "cls", "n", "prefix"],
+            )
+
+    body = text_or_empty(text)
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("mark"), body.alias("body"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, mark long, cls long, n long, prefix array<long>")
+
+
+def shared_postings(classes: DataFrame) -> DataFrame:
+    """Prefix shingles that two or more classes have: ``key``, ``cls``, ``n``, the place ``at`` of
+    the shingle, and the same of the key's first class in ``cls0``, ``n0``, ``at0``."""
+    postings = classes.select(F.posexplode("prefix").alias("at", "key"), "cls", "n").select(
+        "key", "cls", "n", F.col("at").cast("long").alias("at")
+    )
+    names = ["key", "cls", "n", "at", "cls0", "n0", "at0"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row waits for the next batch, with the first row of its key and whether it is that row.
+        held, first, follows = np.empty((0, 4), np.int64), None, False
+
+        def emit(rows: np.ndarray, firsts: np.ndarray, chosen: np.ndarray) -> pa.RecordBatch:
+            out = np.concatenate([rows, firsts[:, 1:]], axis=1)[chosen]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            rows = np.concatenate([held, rows])
+            same = rows[1:, 0] == rows[:-1, 0]
+            before = np.r_[follows, same]
+            starts = np.maximum.accumulate(np.where(before, 0, np.arange(len(rows))))
+            firsts = rows[starts]
+            if follows:
+                firsts[starts == 0] = first
+            chosen = (before | np.r_[same, False])[:-1]
+            if chosen.any():
+                yield emit(rows[:-1], firsts[:-1], chosen)
+            held, first, follows = rows[-1:], firsts[-1], bool(before[-1])
+        if follows:
+            yield emit(held, first[None, :], np.array([True]))
+
+    partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        postings.repartition(partitions, "key")
+        .sortWithinPartitions("key", "cls")
+        .mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    )
+
+
+def may_reach(similarity: float, left: tuple[str, str], right: tuple[str, str]) -> Column:
+    """Whether sets that first meet at these places can have the similarity: ``(n, at)`` of each."""
+    rest = F.least(*[F.col(n) - F.col(at) for n, at in (left, right)])
+    return rest * (1 + similarity) >= (F.col(left[0]) + F.col(right[0])) * similarity - 1e-6
+
+
+def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id_column: str, size: int, similarity: float) -> DataFrame:
+    """The pairs ``u``, ``v`` of classes whose shingle sets have the similarity, from the sets themselves."""
+    ends = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
+    # One row of each class is read again.
+    wanted = keep_sized(
+        classes.join(ends, "cls", "left_semi").select(F.col("least.id").alias("_id"), F.col("least.mark").alias("_mark"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(body.as_py(), size) for body in batch.column(0)]
+            names = [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "hashes"]
+            )
+
+    body = text_or_empty(text)
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("mark"), body.alias("body"))
+    chosen = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
+    sets = chosen.select("body").mapInArrow(run, "cls long, hashes array<long>")
+    sets = keep_table(sets.groupBy("cls").agg(F.first("hashes").alias("hashes")))
+    left, right = (sets.select(F.col("cls").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "uv")
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    enough = both * (1 + similarity) >= (F.size("of_u") + F.size("of_v")) * similarity - 1e-6
+    return pairs.join(left, "u").join(right, "v").filter(enough).select("u", "v")
+
+
+def similar_classes(classes: DataFrame, docs: DataFrame, text: str, id_column: str, size: int, similarity: float) -> DataFrame:
+    """``vertex`` and ``root`` of every class that is similar to another one, by links of exact similarity.
+
+    First each class is compared with the first class of each of its keys, which
+    joins most of a group in as many comparisons as it has rows. Then all pairs
+    that meet in a key and are not joined yet are compared.
+    """
+    judge = lambda pairs: similar_pairs(pairs, classes, docs, text, id_column, size, similarity)
+    shared = keep_table(shared_postings(classes))
+    stars = shared.filter("cls != cls0").filter(may_reach(similarity, ("n", "at"), ("n0", "at0")))
+    stars = keep_table(stars.select(F.col("cls0").alias("u"), F.col("cls").alias("v")).distinct())
+    found = keep_table(judge(stars))
+    roots = keep_table(components(found))
+    placed = shared.join(roots, F.col("cls") == F.col("vertex"), "left").select(
+        "key", "cls", "n", "at", F.coalesce("root", "cls").alias("root")
+    )
+    placed = keep_table(placed)
+    mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
+    placed = placed.join(mixed, "key", "left_semi")
+    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "at", "root")]) for s in "uv")
+    meets = (
+        (left["key"] == right["key"])
+        & (F.col("cls_u") < F.col("cls_v"))
+        & (F.col("root_u") != F.col("root_v"))
+        & may_reach(similarity, ("n_u", "at_u"), ("n_v", "at_v"))
+    )
+    pairs = left.join(right, meets).select(F.col("cls_u").alias("u"), F.col("cls_v").alias("v")).distinct()
+    pairs = keep_table(pairs.join(stars, ["u", "v"], "left_anti"))
+    if pairs.isEmpty():
+        return roots
+    return components(found.union(judge(pairs)))
 
 
 def drop_near_duplicates(
@@ -334,20 +504,22 @@ def drop_near_duplicates(
     id_column: str = "doc_id",
     shingle: int = 5,
     similarity: float = 0.8,
-    bits: int = 256,
-    slack: int = 6,
-    recall: float = 0.98,
 ) -> DataFrame:
     """One row of each near-duplicate group, with all columns.
 
-    Texts are near duplicates if their word shingles have about ``similarity`` or
-    more in common: if their wide fingerprints differ in as many bits as such
-    pairs do on average, and ``slack`` more for the spread of that estimate. The
-    row with the least id of a group stays, of equal ids the one with the least
-    text hash, of repeated rows one; rows with null ids come last.
+    Texts are near duplicates if the sets of their word shingles have a Jaccard
+    similarity of ``similarity`` or more; groups are the components of such links.
+    No pair is missed and every link is verified on the sets. The row with the
+    least id of a group stays, of equal ids the one with the least text hash, of
+    repeated rows one; rows with null ids come last. Texts without words are equal.
     """
-    distance = differing_bits(similarity, bits) + slack
-    judged = keep_table(near_duplicates(docs, text, id_column, shingle, bits, distance, recall))
+    rows = keep_table(shingle_rows(docs, text, id_column, shingle, similarity))
+    least = F.min(F.struct("id", "mark")).alias("least")
+    classes = keep_table(rows.groupBy("cls").agg(least, F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    roots = similar_classes(classes, docs, text, id_column, shingle, similarity)
+    judged = rows.join(roots, F.col("cls") == F.col("vertex"), "left").select(
+        "id", "mark", F.coalesce("root", "cls").alias("root")
+    )
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
     per_row = judged.groupBy(F.col("root").alias("group"), "id", "mark").agg(F.count("*").alias("n"))
     # Groups without a second row need no decision.
