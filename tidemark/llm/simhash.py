@@ -1,28 +1,24 @@
-"""SimHash near-duplicates: block keys, a join on them, Hamming verification.
-
-A fingerprint has one or more lanes of 64 bits. Distinct fingerprints are
-compared, so exact copies cost one row per class. Each one is listed under
-several keys, each key being the value of some of its bits:
-
-* ``pigeonhole_masks``: the bits are split into m blocks and every choice of
-  m - d blocks is a key. Two fingerprints that differ in d bits leave m - d blocks
-  equal, so no link is lost. m grows with the number of fingerprints, so that a
-  key is shared by few unrelated ones.
-* ``sampled_masks``: for wide fingerprints and large distances, where that would
-  need too many keys, a number of fixed random choices of bits that gives the
-  asked recall at the distance.
-
-Rows with equal keys meet in a sorted stream and are verified by XOR and bit
-counts. A key with more than ``BUCKET`` rows is cut into chunks and each pair of
-chunks is compared on its own, so no task holds a whole hot bucket; from a dense
-bucket only a spanning forest of its links is returned, which leaves the
-components unchanged.
+"""SimHash near-duplicates, and near-duplicates by exact similarity of shingle sets.
+
+``near_duplicates``: block keys, a join on them, Hamming verification. Distinct
+fingerprints are compared, so exact copies cost one row per class. The bits are
+split into m blocks and every choice of m - d blocks is a key (``pigeonhole_masks``).
+Two fingerprints that differ in d bits leave m - d blocks equal, so no link is
+lost. m grows with the number of fingerprints, so that a key is shared by few
+unrelated ones. Rows with equal keys meet in a sorted stream and are verified by
+XOR and bit counts. A key with more than ``BUCKET`` rows is cut into chunks and
+each pair of chunks is compared on its own, so no task holds a whole hot bucket;
+from a dense bucket only a spanning forest of its links is returned, which leaves
+the components unchanged.
+
+``drop_near_duplicates``: a prefix join on the sets themselves. A set is listed
+under the rarest of its shingles, so many that two sets of the similarity share
+one of them, and pairs that meet are compared shingle by shingle.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -41,10 +37,9 @@ ship_with_tasks(__name__)
 LANE = 64
 #: Rows of one key that are compared in one go.
 BUCKET = 2048
-#: Unrelated fingerprints that may share a key with one, on average: of all pigeonhole
-#: keys together, and of each sampled key. More of them cost comparisons in memory,
-#: fewer cost keys and so shuffled rows.
-CROWD, SAMPLED_CROWD = 16, 64
+#: Unrelated fingerprints that may share a key with one, on average. More of them cost
+#: comparisons in memory, fewer cost keys and so shuffled rows.
+CROWD = 16
 #: Shingles hashed at once, which bounds memory on very long texts.
 SHINGLES = 1 << 16
 #: Runs up to this length are compared by shifting the rows of a batch against themselves.
@@ -139,15 +134,6 @@ def pigeonhole_masks(bits: int, distance: int, rows: int) -> list[tuple[int, ...
     raise ValueError("the distance must be less than the number of bits")
 
 
-def sampled_masks(bits: int, distance: int, rows: int, recall: float) -> list[tuple[int, ...]]:
-    """Masks of random bits; a pair at ``distance`` shares one with probability ``recall`` or more."""
-    width = max(8, math.ceil(math.log2(max(rows, 2) / SAMPLED_CROWD)))
-    share = (1 - distance / bits) ** width
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - share))
-    draw = random.Random(SEED)
-    return [lane_masks(draw.sample(range(bits), width), bits) for _ in range(tables)]
-
-
 def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Bits in which rows of lanes differ; counted on unsigned words, as a signed count drops the sign."""
     return np.bitwise_count((left ^ right).view(np.uint64)).sum(axis=1, dtype=np.int64)
@@ -287,13 +273,11 @@ def near_duplicates(
     shingle: int = 4,
     bits: int = 64,
     distance: int = 4,
-    recall: float | None = None,
 ) -> DataFrame:
     """``id``, ``mark``, ``fingerprint``, ``root`` and ``component_id`` of every row.
 
     Fingerprints link at ``distance`` or fewer differing bits; the component's
-    root is its least fingerprint, its id the least id reachable through links. With ``recall`` unset the links are
-    exact; otherwise it is the probability of meeting a pair at that distance.
+    root is its least fingerprint, its id the least id reachable through links. No link is missed.
 
     Null and empty texts have fingerprint zero and link like any other. Repeated
     rows get equal rows. A null id is kept and never names a component unless all
@@ -304,7 +288,7 @@ def near_duplicates(
     prints = keep_table(fingerprints(docs, text, id_column, shingle, bits))
     classes = keep_table(prints.groupBy(*lanes).agg(F.min("id").alias("least")))
     count = classes.count()
-    masks = pigeonhole_masks(bits, distance, count) if recall is None else sampled_masks(bits, distance, count, recall)
+    masks = pigeonhole_masks(bits, distance, count)
     found = links(classes, lanes, masks, distance)
     ends = [[f"{side}{i}" for i in range(len(lanes))] for side in "uv"]
     roots = components(found.select(hex_of(ends[0]).alias("u"), hex_of(ends[1]).alias("v")))
@@ -391,16 +375,14 @@ def shingle_rows(docs: DataFrame, text: str, id_column: str, size: int, similari
 
 
 def shared_postings(classes: DataFrame) -> DataFrame:
-    """Prefix shingles that two or more classes have: ``key``, ``cls``, ``n``, the place ``at`` of
-    the shingle, and the same of the key's first class in ``cls0``, ``n0``, ``at0``."""
-    postings = classes.select(F.posexplode("prefix").alias("at", "key"), "cls", "n").select(
-        "key", "cls", "n", F.col("at").cast("long").alias("at")
-    )
-    names = ["key", "cls", "n", "at", "cls0", "n0", "at0"]
+    """Prefix shingles that two or more classes have: ``key``, ``cls``, ``n``, and the key's first class
+    in ``cls0``, ``n0``."""
+    postings = classes.select(F.explode("prefix").alias("key"), "cls", "n")
+    names = ["key", "cls", "n", "cls0", "n0"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last row waits for the next batch, with the first row of its key and whether it is that row.
-        held, first, follows = np.empty((0, 4), np.int64), None, False
+        held, first, follows = np.empty((0, 3), np.int64), None, False
 
         def emit(rows: np.ndarray, firsts: np.ndarray, chosen: np.ndarray) -> pa.RecordBatch:
             out = np.concatenate([rows, firsts[:, 1:]], axis=1)[chosen]
@@ -432,10 +414,14 @@ def shared_postings(classes: DataFrame) -> DataFrame:
     )
 
 
-def may_reach(similarity: float, left: tuple[str, str], right: tuple[str, str]) -> Column:
-    """Whether sets that first meet at these places can have the similarity: ``(n, at)`` of each."""
-    rest = F.least(*[F.col(n) - F.col(at) for n, at in (left, right)])
-    return rest * (1 + similarity) >= (F.col(left[0]) + F.col(right[0])) * similarity - 1e-6
+def may_reach(similarity: float, n_u: str, n_v: str, met: Column) -> Column:
+    """Whether sets of these sizes that share ``met`` prefix shingles can have the similarity.
+
+    All shared shingles of the set whose prefix ends first lie in both prefixes or
+    after its own.
+    """
+    rest = F.ceil(F.greatest(n_u, n_v) * similarity + 1e-9)
+    return (met + rest) * (1 + similarity) >= (F.col(n_u) + F.col(n_v)) * similarity - 1e-6
 
 
 def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id_column: str, size: int, similarity: float) -> DataFrame:
@@ -468,31 +454,34 @@ def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: s
 def similar_classes(classes: DataFrame, docs: DataFrame, text: str, id_column: str, size: int, similarity: float) -> DataFrame:
     """``vertex`` and ``root`` of every class that is similar to another one, by links of exact similarity.
 
-    First each class is compared with the first class of each of its keys, which
-    joins most of a group in as many comparisons as it has rows. Then all pairs
-    that meet in a key and are not joined yet are compared.
+    First classes are compared with the first class of their keys, which joins most
+    of a group in as many comparisons as it has rows. Then all pairs that are not
+    joined yet and share enough of their prefixes are compared.
     """
     judge = lambda pairs: similar_pairs(pairs, classes, docs, text, id_column, size, similarity)
     shared = keep_table(shared_postings(classes))
-    stars = shared.filter("cls != cls0").filter(may_reach(similarity, ("n", "at"), ("n0", "at0")))
-    stars = keep_table(stars.select(F.col("cls0").alias("u"), F.col("cls").alias("v")).distinct())
+    stars = shared.filter("cls != cls0").groupBy(F.col("cls0").alias("u"), F.col("cls").alias("v"), "n", "n0")
+    stars = stars.agg(F.count("*").alias("met")).filter(may_reach(similarity, "n", "n0", F.col("met")))
+    stars = keep_table(stars.select("u", "v"))
     found = keep_table(judge(stars))
     roots = keep_table(components(found))
     placed = shared.join(roots, F.col("cls") == F.col("vertex"), "left").select(
-        "key", "cls", "n", "at", F.coalesce("root", "cls").alias("root")
+        "key", "cls", "n", F.coalesce("root", "cls").alias("root")
     )
     placed = keep_table(placed)
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
     placed = placed.join(mixed, "key", "left_semi")
-    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "at", "root")]) for s in "uv")
+    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "root")]) for s in "uv")
     meets = (
         (left["key"] == right["key"])
         & (F.col("cls_u") < F.col("cls_v"))
         & (F.col("root_u") != F.col("root_v"))
-        & may_reach(similarity, ("n_u", "at_u"), ("n_v", "at_v"))
+        & (F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity - 1e-6)
     )
-    pairs = left.join(right, meets).select(F.col("cls_u").alias("u"), F.col("cls_v").alias("v")).distinct()
-    pairs = keep_table(pairs.join(stars, ["u", "v"], "left_anti"))
+    # All keys that such a pair shares are among them, so they can be counted.
+    pairs = left.join(right, meets).groupBy(F.col("cls_u").alias("u"), F.col("cls_v").alias("v"), "n_u", "n_v")
+    pairs = pairs.agg(F.count("*").alias("met")).filter(may_reach(similarity, "n_u", "n_v", F.col("met")))
+    pairs = keep_table(pairs.select("u", "v").join(stars, ["u", "v"], "left_anti"))
     if pairs.isEmpty():
         return roots
     return components(found.union(judge(pairs)))
