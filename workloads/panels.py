@@ -33,10 +33,11 @@ from tidemark.operators.selection import (
     top_per_group,
 )
 from tidemark.operators.series import economic_features, pct_change, pivot_series, zscores
-from tidemark.operators.trees import SMALL_TREE_CANDIDATES
+from tidemark.operators.trees import TREE_CANDIDATES
 from tidemark.plans.enrichment import enrich_panel, with_date, with_event_flags
 from tidemark.plans.forecasting import ForecastSpec, PanelForecast
 from tidemark.plans.reports import actual_and_forecast
+from tidemark.session import keep_table
 from tidemark.sources.observations import name_series
 from workloads.base import Register, fixed, fixed_all, sql_fixed, table
 
@@ -841,27 +842,26 @@ def ridge_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register.add("best_linear_forecast")
 def best_linear_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search, pick and forecast each series in one plan."""
-    return order_forecast(spark, sf_dir, linear=RIDGE, exclude_leaky=("n_orders_seasonal_diff",)).best_forecast()
+    """Search all linear candidates, pick and forecast each series in one plan."""
+    return order_forecast(spark, sf_dir, exclude_leaky=("n_orders_seasonal_diff",)).best_forecast()
 
 
 @register.add("permutation_importance")
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = order_forecast(spark, sf_dir, linear=RIDGE)
-    chosen = run.usable.select(SERIES).distinct().withColumn("model_name", F.lit(RIDGE[1].label))
-    return run.importance(chosen)
+    """Importance of each series' best linear model."""
+    run = order_forecast(spark, sf_dir)
+    return run.importance(keep_table(run.best().withColumnRenamed("best_model_name", "model_name")))
 
 
 @register.add("tree_cv")
 def tree_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One small candidate of each tree family, pooled over all series."""
-    run = order_forecast(spark, sf_dir, linear=(), trees=SMALL_TREE_CANDIDATES, min_train=36, valid=12)
-    return run.results()
+    """All tree candidates, pooled over all series."""
+    return order_forecast(spark, sf_dir, linear=(), trees=TREE_CANDIDATES).results()
 
 
 @register.add("tree_forecast")
 def tree_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_forecast(spark, sf_dir, linear=(), trees=SMALL_TREE_CANDIDATES[:1]).forecast()
+    return order_forecast(spark, sf_dir, linear=(), trees=TREE_CANDIDATES).forecast()
 
 
 @register.add(
