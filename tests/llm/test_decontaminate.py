@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from itertools import combinations
 
 import pytest
 from llm_rows import EDGE, make
@@ -85,3 +86,42 @@ def test_empty_tables(spark, empty, edge):
     assert d.find_overlaps(empty, items).count() == 0
     assert d.find_overlaps(edge, items.limit(0)).count() == 0
     assert d.drop_contaminated(edge, items.limit(0)).count() == edge.count()
+
+
+def test_masks_leave_a_seed_for_every_substitution():
+    for length in range(1, d.OVERLAP + 1):
+        masks = d.MASKS if length >= d.SPAN else d.short_masks(length, d.OVERLAP, d.SUBSTITUTIONS)
+        for gone in combinations(range(length), length * d.SUBSTITUTIONS // d.OVERLAP):
+            assert any(
+                all(bit == "0" or at + o not in gone for o, bit in enumerate(mask))
+                for mask in masks
+                for at in range(length - len(mask) + 1)
+            )
+
+
+def accepted(a, b):
+    """Mask-free: whether some aligned run of tokens differs in few enough places."""
+    run = min(len(b), d.OVERLAP)
+    least = run - run * d.SUBSTITUTIONS // d.OVERLAP
+    return run > 0 and any(
+        sum(x == y for x, y in zip(a[p : p + run], b[q : q + run])) >= least
+        for p in range(len(a) - run + 1)
+        for q in range(len(b) - run + 1)
+    )
+
+
+def test_every_accepted_overlap_is_found(spark):
+    draw = random.Random(4)
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in range(1, 14)] + [(20, [f"i20x{k}" for k in range(20)])]
+    docs = []
+    for n, words in items:
+        run = min(n, d.OVERLAP)
+        allowed = run * d.SUBSTITUTIONS // d.OVERLAP
+        for gone in [c for k in (0, allowed, allowed + 1) for c in combinations(range(run), k)]:
+            passage = ["changed" if k in gone else w for k, w in enumerate(words[:run])]
+            docs.append(["x", "y", *passage, "z"])
+    docs = draw.sample(docs, 300) + [["x", *w, "y"] for _, w in items]
+    tests = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    found = d.find_overlaps(make(spark, [(i, " ".join(w), None, None) for i, w in enumerate(docs)]), tests)
+    want = {(i, n) for i, a in enumerate(docs) for n, b in items if accepted(a, b)}
+    assert {(r.id, r.item) for r in found.collect()} == want and len(want) > 60

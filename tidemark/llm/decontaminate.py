@@ -4,7 +4,9 @@ A seed is a fixed mask over ``SPAN`` successive tokens that ignores some of them
 so a substituted token spoils only the seeds that look at it. Test items and
 documents are hashed under every mask at every position, the hashes are joined,
 and around each hit the tokens are compared one by one: a hit counts if some run
-of ``overlap`` tokens differs from the item in ``substitutions`` at most.
+of ``overlap`` tokens differs from the item in ``substitutions`` at most. The masks
+are chosen so that every choice of substituted tokens leaves a seed intact; items
+of fewer than ``SPAN`` tokens have masks of their own length.
 
 The test items are the bounded side. Their seeds fill a small bit filter that is
 part of the expression, so documents are read once, nothing of their text is
@@ -16,6 +18,7 @@ documents each, so the filter stays bounded however many there are.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +27,10 @@ from tidemark.llm.common import keep_sized, text_or_empty
 from tidemark.llm.quality import bound_once
 from tidemark.session import keep_table
 
-# The masks; a 1 looks at the token, a 0 ignores it.
-MASKS = ("1110010111", "1101101011", "1011100111")
-SPAN = 10
+# The masks; a 1 looks at the token, a 0 ignores it. Each of the 78 pairs of
+# positions in 13 tokens, and each position in 9 to 12, leaves some mask intact at some offset.
+MASKS = ("001101111", "110111100", "111010011")
+SPAN = 9
 #: Tokens of a verified overlap, and how many of them may differ.
 OVERLAP, SUBSTITUTIONS = 13, 2
 TOKEN = r"[\p{L}\p{N}]+"
@@ -40,14 +44,28 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seed_hash(hashes: Column, at: Column, number: int) -> Column:
-    looked = [at + o for o, bit in enumerate(MASKS[number]) if bit == "1"]
+def short_masks(length: int, overlap: int, substitutions: int) -> list[str]:
+    """Masks over a whole item of ``length`` tokens; its substitutions leave one of them intact."""
+    allowed = length * substitutions // overlap
+    ways = allowed + 2
+    return ["".join("01"[i % ways not in gone] for i in range(length)) for gone in combinations(range(ways), allowed)]
+
+
+def all_masks(items: DataFrame, text: str, overlap: int, substitutions: int) -> list[str]:
+    """``MASKS``, and those of the lengths below ``SPAN`` that some item has."""
+    length = F.size(token_hashes(text_or_empty(text)))
+    found = items.select(length.alias("n")).filter((F.col("n") > 0) & (F.col("n") < SPAN)).distinct().collect()
+    return [*MASKS, *[m for n in sorted(r["n"] for r in found) for m in short_masks(n, overlap, substitutions)]]
+
+
+def seed_hash(hashes: Column, at: Column, mask: str, number: int) -> Column:
+    looked = [at + o for o, bit in enumerate(mask) if bit == "1"]
     return F.xxhash64(*[F.get(hashes, p) for p in looked], F.lit(number))
 
 
-def positions(hashes: Column) -> Column:
+def positions(hashes: Column, span: int) -> Column:
     none = F.array().cast("array<int>")
-    return F.when(F.size(hashes) < SPAN, none).otherwise(F.sequence(F.lit(0), F.size(hashes) - SPAN))
+    return F.when(F.size(hashes) < span, none).otherwise(F.sequence(F.lit(0), F.size(hashes) - span))
 
 
 def around(hashes: Column, at: Column, reach: int) -> Column:
@@ -56,21 +74,25 @@ def around(hashes: Column, at: Column, reach: int) -> Column:
     return F.transform(offsets, lambda o: F.when(at + o >= 0, F.get(hashes, at + o)))
 
 
-def item_seeds(items: DataFrame, text: str, id_column: str, reach: int) -> DataFrame:
+def item_seeds(items: DataFrame, text: str, id_column: str, reach: int, masks: list[str]) -> DataFrame:
     """``seed``, ``item``, ``length``, ``item_at`` and ``item_around`` of every seed of every item."""
 
     def of_mask(hashes: Column, number: int) -> Column:
+        span = len(masks[number])
+        places = positions(hashes, span)
+        if span < SPAN:  # a shorter mask is for items of its length
+            places = F.filter(places, lambda _: F.size(hashes) == span)
         return F.transform(
-            positions(hashes),
+            places,
             lambda p: F.struct(
-                seed_hash(hashes, p, number).alias("seed"),
+                seed_hash(hashes, p, masks[number], number).alias("seed"),
                 p.alias("item_at"),
                 around(hashes, p, reach).alias("item_around"),
             ),
         )
 
     def all_seeds(hashes: Column) -> Column:
-        return F.concat(*[of_mask(hashes, n) for n in range(len(MASKS))])
+        return F.concat(*[of_mask(hashes, n) for n in range(len(masks))])
 
     hashed = items.select(F.col(id_column).alias("item"), token_hashes(text_or_empty(text)).alias("hashes"))
     listed = hashed.select(
@@ -97,7 +119,7 @@ def part(value: Column, k: int) -> Column:
     return F.shiftrightunsigned(value, 40 + 6 * k).bitwiseAND(63)
 
 
-def passing(hashes: Column, bits: Column, words: int, reach: int) -> Column:
+def passing(hashes: Column, bits: Column, words: int, reach: int, masks: list[str]) -> Column:
     """Positions of a text whose seeds pass the filter, with the tokens around them."""
 
     def test(x: Column) -> Column:
@@ -105,14 +127,16 @@ def passing(hashes: Column, bits: Column, words: int, reach: int) -> Column:
         return reduce(lambda a, b: a & b, [F.getbit(word, part(x, k).cast("int")) == 1 for k in range(3)])
 
     def of_mask(number: int) -> Column:
-        seeds = F.transform(positions(hashes), lambda p: seed_hash(hashes, p, number))
-        return F.array_compact(F.transform(seeds, lambda x, p: F.when(test(x), F.struct(x.alias("seed"), p.alias("at")))))
+        span = len(masks[number])
+        seeds = F.transform(positions(hashes, span), lambda p: seed_hash(hashes, p, masks[number], number))
+        one = lambda x, p: F.struct(x.alias("seed"), p.alias("at"), (p + span).alias("until"))
+        return F.array_compact(F.transform(seeds, lambda x, p: F.when(test(x), one(x, p))))
 
-    found = F.concat(*[of_mask(n) for n in range(len(MASKS))])
+    found = F.concat(*[of_mask(n) for n in range(len(masks))])
     return F.transform(
         found,
         lambda s: F.struct(
-            s["seed"].alias("seed"), s["at"].alias("at"), around(hashes, s["at"], reach).alias("around")
+            s["seed"].alias("seed"), s["at"].alias("at"), s["until"].alias("until"), around(hashes, s["at"], reach).alias("around")
         ),
     )
 
@@ -152,31 +176,39 @@ def find_overlaps(
 
     One row per document and item with a verified hit: the number of verified seed
     positions and the span of document tokens that they lie in. Tokens are runs of
-    letters and digits, lower-cased. Items of fewer than ``SPAN`` tokens have no
-    seeds and match nothing; null texts have no tokens; null ids are kept. Repeated
+    letters and digits, lower-cased. Items of fewer than ``overlap`` tokens match as
+    a whole, with substitutions in proportion; null texts have no tokens; null ids are kept. Repeated
     rows give one row; ``mark`` is a hash of the text that tells rows of one id
     apart. An empty table on either side gives an empty result; other columns are
     not read.
     """
     reach = overlap
-    seeds = keep_table(item_seeds(items, item_text, item_id, reach))
+    masks = all_masks(items, item_text, overlap, substitutions)
+    seeds = keep_table(item_seeds(items, item_text, item_id, reach, masks))
     count = seeds.count()
     passes = max(1, -(-count // seeds_per_pass))
     found = None
     for number in range(passes):
         block = seeds.filter(F.pmod(F.xxhash64("seed"), F.lit(passes)) == number) if passes > 1 else seeds
-        one = _pass(docs, block, text, id_column, min(count, seeds_per_pass), overlap, substitutions)
+        one = _pass(docs, block, text, id_column, min(count, seeds_per_pass), overlap, substitutions, masks)
         found = one if found is None else found.union(one)
-    hits = found.distinct()
+    hits = found.groupBy("id", "mark", "item", "at").agg(F.max("until").alias("until"))
     return hits.groupBy("id", "mark", "item").agg(
         F.count("*").alias("n_hits"),
         F.min("at").cast("long").alias("first_token"),
-        (F.max("at") + SPAN).cast("long").alias("last_token"),
+        F.max("until").cast("long").alias("last_token"),
     )
 
 
 def _pass(
-    docs: DataFrame, seeds: DataFrame, text: str, id_column: str, count: int, overlap: int, substitutions: int
+    docs: DataFrame,
+    seeds: DataFrame,
+    text: str,
+    id_column: str,
+    count: int,
+    overlap: int,
+    substitutions: int,
+    masks: list[str],
 ) -> DataFrame:
     words = 1
     while words * 64 < count * BITS_PER_SEED:
@@ -186,14 +218,14 @@ def _pass(
     body = text_or_empty(text)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("mark"), token_hashes(body).alias("hashes"))
     near = rows.select(
-        "id", "mark", F.explode(bound_once(F.col("hashes"), lambda h: passing(h, bits, words, overlap))).alias("s")
+        "id", "mark", F.explode(bound_once(F.col("hashes"), lambda h: passing(h, bits, words, overlap, masks))).alias("s")
     ).select("id", "mark", "s.*")
     # The seeds of a pass are bounded; their size is measured before they are sent.
     joined = near.join(keep_sized(seeds), "seed")
     sure = joined.filter(
         overlaps(F.col("length"), F.col("around"), F.col("item_around"), overlap, substitutions)
     )
-    return sure.select("id", "mark", "item", "at")
+    return sure.select("id", "mark", "item", "at", "until")
 
 
 def drop_contaminated(
