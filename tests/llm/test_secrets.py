@@ -91,3 +91,12 @@ def test_redaction_merges_overlaps(spark):
 def test_empty_table(empty):
     assert secrets.scan_secrets(empty).count() == 0
     assert secrets.redact_secrets(empty).count() == 0
+
+
+def test_weak_parts_of_null_ids_are_linked(spark):
+    text = "login: jane99 with Zx9+abcdEFGH1234567 end"
+    df = make(spark, [(None, text, None, None), (1, text, None, None), (None, text, None, None)])
+    want = brute_spans(text)
+    assert len(want) == 2
+    assert [[tuple(s) for s in r.spans] for r in secrets.scan_secrets(df).collect()] == [want] * 3
+    assert all("Zx9" not in r.text and "jane99" not in r.text for r in secrets.redact_secrets(df).collect())

@@ -16,6 +16,7 @@ listed, so a text with a million parts costs a million rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,7 +174,10 @@ def linked_parts(found: DataFrame, keys: list[str], scope: int) -> DataFrame:
     probes = weak.select(*keys, "start", "rank", "end", F.explode(reach).alias("at")).select(
         *keys, "start", "rank", "end", "at.*"
     )
-    held = probes.join(cells, [*keys, "cell"])
+    # Keys may be null.
+    cells = cells.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, "cell")], *[b for b in cells.columns if b not in (*keys, "cell")])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, "cell")])
+    held = probes.join(cells, same)
 
     def near(role: str) -> Column:
         hit = (
