@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
-from conftest import find_golden
+from golden_tables import find_golden
 from pyspark.sql import functions as F
 
 from tidemark.operators.forecast import annual_forecast
