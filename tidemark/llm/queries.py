@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, language, mixing, quality, secrets, simhash, substrings, toxicity, urls
+from tidemark.llm import (
+    chat,
+    decontaminate,
+    fill_middle,
+    language,
+    merkle,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    substrings,
+    toxicity,
+    urls,
+)
 from tidemark.llm.common import hex_digest
 from workloads.base import Register, table
 
@@ -237,3 +251,169 @@ def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preference pairs of every conversation against a copy that ends in a stale reply."""
     turns = chat.conversations(table(spark, sf_dir, "conversations"), "conv_id")
     return chat.format_preferences(*chat.stale_reply_pairs(turns)).withColumnRenamed("key", "conv_id")
+
+
+HASH_SQL = "sha256('1:' || coalesce(doc_id::VARCHAR, ''))"
+
+
+def draw_sql(i: int) -> str:
+    return f"('0x' || substr(digest, {8 * i + 1}, 8))::BIGINT AS h{i + 1}"
+
+
+@register.add(
+    "op11_fill_in_middle",
+    f"""
+    WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, {HASH_SQL} AS digest FROM documents),
+    counted AS (SELECT doc_id, t, length(t) AS n, {', '.join(draw_sql(i) for i in range(4))} FROM drawn),
+    cut AS (
+        SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+                    THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM counted
+    ), parts AS (
+        SELECT doc_id, t, n, a, b, form, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut
+    )
+    SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN a END AS prefix_chars,
+           CASE WHEN form != 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                  ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM parts
+    """,
+)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        hex_digest(F.col("output")).alias("output_sha256"),
+        hex_digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+#: The table of CRC-32, one entry per byte, and the checksum of a hexadecimal text with it.
+CRC_SQL = """
+    crc AS (
+        SELECT list(c ORDER BY b) AS bytes FROM (
+            SELECT b, list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384)
+                                                               ELSE x >> 1 END, b) AS c
+            FROM (SELECT unnest(range(256)) AS b)
+        )
+    )"""
+
+
+def crc_sql(text: str) -> str:
+    pairs = f"list_transform(regexp_extract_all(hex({text}), '..'), lambda p: ('0x' || p)::BIGINT)"
+    step = "lambda c, b: xor(c >> 8, bytes[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce({pairs}, {step}, 4294967295), 4294967295)"
+
+
+def shift_sql(turn: int, half: str) -> str:
+    return f"('0x' || substr(md5('42:{turn}:' || {half}), 1, {sharding.DIGITS}))::BIGINT"
+
+
+@register.add(
+    "op12_shards",
+    f"""
+    WITH RECURSIVE {CRC_SQL}, sized AS (
+        SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32,
+               row_number() OVER (ORDER BY md5(coalesce(doc_id::VARCHAR, '-') || ':' || coalesce(text, ''))) - 1 AS x
+        FROM documents, crc
+    ), sides AS (
+        SELECT n, wide, (n + wide - 1) // wide AS high
+        FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS wide FROM documents)
+    ), round0 AS (
+        SELECT x, x % wide AS l, x // wide AS r, n, wide, high
+        FROM (SELECT *, unnest(range(wide * high)) AS x FROM sides)
+    ), round1 AS (SELECT * REPLACE ((l + {shift_sql(0, 'r')}) % wide AS l) FROM round0
+    ), round2 AS (SELECT * REPLACE ((r + {shift_sql(1, 'l')}) % high AS r) FROM round1
+    ), round3 AS (SELECT * REPLACE ((l + {shift_sql(2, 'r')}) % wide AS l) FROM round2
+    ), round4 AS (SELECT * REPLACE ((r + {shift_sql(3, 'l')}) % high AS r) FROM round3
+    ), images AS (SELECT x, r * wide + l AS y, n FROM round4
+    ), walks AS (
+        SELECT x, y, n FROM images WHERE x < n
+        UNION ALL
+        SELECT w.x, i.y, w.n FROM walks w JOIN images i ON i.x = w.y WHERE w.y >= w.n
+    )
+    SELECT doc_id, size, text_crc32, 'rows' AS law, (y % 40)::INTEGER AS shard, y // 40 AS slot,
+           NULL::INTEGER AS grown_shard
+    FROM sized JOIN walks USING (x) WHERE y < n
+    """,
+)
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def leaf_sql(text: str) -> str:
+    values = [f"{c}::VARCHAR" for c in LEAF_FIELDS[:-1]] + [text]
+    packed = [f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END" for v in values]
+    return f"sha256({' || '.join(packed)})"
+
+
+@register.add(
+    "op13_merkle",
+    f"""
+    WITH RECURSIVE {CRC_SQL}, leaves AS (
+        SELECT doc_id, coalesce('=' || source, '-') AS tree, {leaf_sql('text')} AS leaf,
+               {leaf_sql(f"CASE WHEN {crc_sql('doc_id::VARCHAR')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}
+               AS tampered
+        FROM documents, crc
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, tampered) - 1 AS i FROM leaves
+    ), nodes AS (
+        SELECT tree, 0 AS level, i, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+        UNION ALL
+        SELECT tree, level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3
+        FROM nodes WHERE n > 1 GROUP BY tree, level, i // 3, n
+    ), subroots AS (
+        SELECT tree, digest AS subroot, level, row_number() OVER (ORDER BY encode(tree)) - 1 AS i FROM nodes WHERE n = 1
+    ), above AS (
+        SELECT 0 AS level, i, subroot AS digest, count(*) OVER () AS n FROM subroots
+        UNION ALL
+        SELECT level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (n + 2) // 3
+        FROM above WHERE n > 1 GROUP BY level, i // 3, n
+    ), every AS (
+        SELECT n.tree, n.level, n.i, n.digest, n.n FROM nodes n WHERE n.n > 1
+        UNION ALL
+        SELECT s.tree, s.level + a.level, a.i, a.digest, a.n FROM above a CROSS JOIN subroots s WHERE a.n > 1
+    ), sides AS (
+        SELECT a.tree, a.level, a.i,
+               coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+               coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+        FROM every a JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.i // 3 = b.i // 3
+        GROUP BY a.tree, a.level, a.i
+    ), tops AS (SELECT tree, level AS reach, i AS spot FROM subroots
+    ), folds AS (
+        SELECT p.doc_id, p.tree, p.i AS first, p.leaf, 0 AS level, CASE WHEN reach = 0 THEN spot ELSE p.i END AS i, '' AS proof,
+               p.tampered AS cur, reach, spot
+        FROM placed p JOIN tops USING (tree)
+        UNION ALL
+        SELECT f.doc_id, f.tree, f.first, f.leaf, f.level + 1,
+               CASE WHEN f.level + 1 = reach THEN spot ELSE f.i // 3 END, f.proof || s.l || s.r,
+               sha256(s.l || f.cur || s.r), reach, spot
+        FROM folds f JOIN sides s ON s.tree = f.tree AND s.level = f.level AND s.i = f.i
+    )
+    SELECT f.doc_id, f.leaf, s.subroot, root.digest AS root, sha256(f.proof) AS proof_sha256,
+           f.cur AS folded_root, f.cur = root.digest AS verified
+    FROM folds f JOIN subroots s USING (tree) CROSS JOIN (SELECT digest, level FROM above WHERE n = 1) root
+    WHERE f.level = f.reach + root.level
+    """,
+)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in LEAF_FIELDS]
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    text = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaf = merkle.leaf_digest(columns)
+    leaves = docs.select("doc_id", "source", leaf.alias("leaf"), merkle.leaf_digest([*columns[:-1], text]).alias("tampered"))
+    found = merkle.build_manifest(leaves, "source", "doc_id", "leaf", ["tampered"])
+    root = merkle.folded(F.col("tampered"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), root.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
