@@ -11,9 +11,9 @@ each pair of chunks is compared on its own, so no task holds a whole hot bucket;
 from a dense bucket only a spanning forest of its links is returned, which leaves
 the components unchanged.
 
-``drop_near_duplicates``: a prefix join on the sets themselves. A set is listed
+``drop_near_duplicates``: a prefix join on the sets themselves. A text is listed
 under the rarest of its shingles, so many that two sets of the similarity share
-one of them, and pairs that meet are compared shingle by shingle.
+one of them, and texts that meet are compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ SHORT_RUN = 128
 SEED = 42
 #: Rows that are sampled for common shingles, one in so many at most, and shingles kept.
 SAMPLE_ROWS, SAMPLE_SHARE, COMMON = 20_000, 16, 200_000
+#: Texts of a frequent shingle that are dealt to one part, and texts compared with one at a time.
+HEAVY, LEAVES = 20_000, 64
 
 
 def shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
@@ -315,10 +317,12 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(1, np.int64)
 
 
-def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts of a sample have, sorted, and their ranks by that number.
+def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample have, sorted, their ranks by that number, and into how
+    many parts the postings of one are dealt.
 
-    They only say which shingles are looked at last: any order gives the same pairs.
+    They only say which shingles are looked at last and which are expected to be frequent: any
+    order and any parts give the same pairs.
     """
     share = min(SAMPLE_SHARE, max(1, docs.count() // SAMPLE_ROWS))
 
@@ -333,8 +337,9 @@ def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray,
     rows = counted.orderBy(F.desc("n"), "key").limit(COMMON).collect()  # a bounded list
     keys = np.array([r["key"] for r in rows], np.int64)
     ranks = np.arange(len(rows), 0, -1)
+    parts = np.array([r["n"] * share // HEAVY for r in rows], np.int64)
     order = np.argsort(keys)
-    return keys[order], ranks[order]
+    return keys[order], ranks[order], parts[order]
 
 
 def rare_first(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -344,48 +349,53 @@ def rare_first(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.
     return hashes[np.lexsort((hashes, np.where(common[at] == hashes, ranks[at], 0)))]
 
 
-def shingle_rows(docs: DataFrame, text: str, id_column: str, size: int, similarity: float) -> DataFrame:
-    """``id``, ``mark``, ``cls`` (a hash of the shingle set), its size ``n`` and its ``prefix``.
+def postings(docs: DataFrame, text: str, size: int, similarity: float) -> DataFrame:
+    """``key``, ``part``, ``cls``, ``n``: the shingles under which a text is listed, its hash and its set's size.
 
     Sets of a similarity have that share of the larger set in common. So if a set
     leaves out less than that share of its shingles at the end of one common
-    order, both rests still meet: the prefix has the others.
+    order, both rests still meet: the others are its prefix. A task lists each
+    text once, so copies cost no more postings than there are tasks. A frequent
+    shingle's texts are dealt over several parts by their hash; part 0 is that of
+    all others.
     """
-    common, ranks = common_shingles(docs, text, size)
+    common, ranks, parts = common_shingles(docs, text, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            names, sizes, prefixes = [], [], []
-            for body in batch.column(2):
+            for mark, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if mark in seen:
+                    continue
+                seen.add(mark)
                 hashes = shingle_set(body.as_py(), size)
                 n = len(hashes)
-                names.append(signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)))
-                sizes.append(n)
-                prefixes.append(rare_first(hashes, common, ranks)[: n - math.ceil(similarity * n - 1e-9) + 1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["id", "mark", "cls", "n", "prefix"],
-            )
+                prefix = rare_first(hashes, common, ranks)[: n - math.ceil(similarity * n - 1e-9) + 1]
+                part = np.zeros(len(prefix), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, prefix), len(common) - 1)
+                    wide = np.where(common[at] == prefix, parts[at], 0)
+                    part = np.where(wide > 1, mark % np.maximum(wide, 1) + 1, 0)
+                columns = [prefix, part, np.full(len(prefix), mark), np.full(len(prefix), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "part", "cls", "n"])
 
     body = text_or_empty(text)
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("mark"), body.alias("body"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, mark long, cls long, n long, prefix array<long>")
+    return docs.select(F.xxhash64(body).alias("mark"), body.alias("body")).mapInArrow(
+        run, "key long, part long, cls long, n long"
+    )
 
 
-def shared_postings(classes: DataFrame) -> DataFrame:
-    """Prefix shingles that two or more classes have: ``key``, ``cls``, ``n``, and the key's first class
-    in ``cls0``, ``n0``."""
-    postings = classes.select(F.explode("prefix").alias("key"), "cls", "n")
+def shared_postings(listed: DataFrame) -> DataFrame:
+    """Postings under keys that two or more texts have: ``key``, ``cls``, ``n``, and the first text of the
+    key's part in ``cls0``, ``n0``. Keys of several parts are all taken to be shared."""
     names = ["key", "cls", "n", "cls0", "n0"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last row waits for the next batch, with the first row of its key and whether it is that row.
-        held, first, follows = np.empty((0, 3), np.int64), None, False
+        held, first, follows = np.empty((0, 4), np.int64), None, False
 
         def emit(rows: np.ndarray, firsts: np.ndarray, chosen: np.ndarray) -> pa.RecordBatch:
-            out = np.concatenate([rows, firsts[:, 1:]], axis=1)[chosen]
+            out = np.concatenate([rows[:, [0, 2, 3]], firsts[:, 2:]], axis=1)[chosen]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=names)
 
         for batch in batches:
@@ -393,23 +403,24 @@ def shared_postings(classes: DataFrame) -> DataFrame:
                 continue
             rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
             rows = np.concatenate([held, rows])
-            same = rows[1:, 0] == rows[:-1, 0]
+            rows = rows[np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]]
+            same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
             before = np.r_[follows, same]
             starts = np.maximum.accumulate(np.where(before, 0, np.arange(len(rows))))
             firsts = rows[starts]
             if follows:
                 firsts[starts == 0] = first
-            chosen = (before | np.r_[same, False])[:-1]
+            chosen = (before | np.r_[same, False] | (rows[:, 1] > 0))[:-1]
             if chosen.any():
                 yield emit(rows[:-1], firsts[:-1], chosen)
             held, first, follows = rows[-1:], firsts[-1], bool(before[-1])
-        if follows:
+        if follows or len(held) and held[0, 1] > 0:
             yield emit(held, first[None, :], np.array([True]))
 
-    partitions = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        postings.repartition(partitions, "key")
-        .sortWithinPartitions("key", "cls")
+        listed.repartition(partitions, "key", "part")
+        .sortWithinPartitions("key", "part", "cls")
         .mapInArrow(run, ", ".join(f"{c} long" for c in names))
     )
 
@@ -421,56 +432,83 @@ def may_reach(similarity: float, n_u: str, n_v: str, met: Column) -> Column:
     after its own.
     """
     rest = F.ceil(F.greatest(n_u, n_v) * similarity + 1e-9)
-    return (met + rest) * (1 + similarity) >= (F.col(n_u) + F.col(n_v)) * similarity - 1e-6
+    near = F.least(n_u, n_v) >= F.greatest(n_u, n_v) * similarity - 1e-6
+    return near & ((met + rest) * (1 + similarity) >= (F.col(n_u) + F.col(n_v)) * similarity - 1e-6)
+
 
+def similar_pairs(
+    pairs: DataFrame, least: DataFrame, docs: DataFrame, text: str, id_column: str, size: int, similarity: float
+) -> DataFrame:
+    """The pairs ``u``, ``v`` of texts whose shingle sets have the similarity, from the texts themselves.
 
-def similar_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, id_column: str, size: int, similarity: float) -> DataFrame:
-    """The pairs ``u``, ``v`` of classes whose shingle sets have the similarity, from the sets themselves."""
-    ends = pairs.select(F.col("u").alias("cls")).union(pairs.select(F.col("v").alias("cls"))).distinct()
-    # One row of each class is read again.
+    Texts travel, not sets, as they compress. The texts to be compared with one ``u`` go to
+    one place, ``LEAVES`` of them at a time, so ``u`` itself travels once for so many.
+    ``least`` names the row, ``id`` and ``mark``, where a text is read.
+    """
+    wide = keep_sized(
+        pairs.groupBy(F.col("u").alias("centre")).agg(F.count("*").alias("pairs")).filter(F.col("pairs") > LEAVES)
+    )
+    chunk = F.coalesce(F.pmod(F.xxhash64("v"), F.ceil(F.col("pairs") / LEAVES)), F.lit(0)).cast("int")
+    dealt = pairs.join(wide, F.col("u") == F.col("centre"), "left").select("u", chunk.alias("chunk"), "v")
+    heads = dealt.select("u", "chunk", F.lit(0).alias("role"), F.col("u").alias("wanted")).distinct()
+    wanted = heads.union(dealt.select("u", "chunk", F.lit(1).alias("role"), F.col("v").alias("wanted")))
     wanted = keep_sized(
-        classes.join(ends, "cls", "left_semi").select(F.col("least.id").alias("_id"), F.col("least.mark").alias("_mark"))
+        wanted.join(least.select(F.col("id").alias("_id"), F.col("mark").alias("_mark")), F.col("wanted") == F.col("_mark"))
+        .drop("wanted")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centre, last = None, None, None
         for batch in batches:
-            sets = [shingle_set(body.as_py(), size) for body in batch.column(0)]
-            names = [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "hashes"]
-            )
+            found = []
+            for i, (u, chunk, role, mark) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+                if (u, chunk, role, mark) == last:
+                    continue
+                last = (u, chunk, role, mark)
+                shingles = shingle_set(batch.column(4)[i].as_py(), size)
+                if role == 0:
+                    at, centre = (u, chunk), shingles
+                elif at == (u, chunk):
+                    both = len(np.intersect1d(centre, shingles, assume_unique=True))
+                    if both * (1 + similarity) >= (len(centre) + len(shingles)) * similarity - 1e-6:
+                        found.append((u, mark))
+            if found:
+                columns = [pa.array(c, pa.int64()) for c in zip(*found)]
+                yield pa.RecordBatch.from_arrays(columns, names=["u", "v"])
 
     body = text_or_empty(text)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("mark"), body.alias("body"))
-    chosen = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
-    sets = chosen.select("body").mapInArrow(run, "cls long, hashes array<long>")
-    sets = keep_table(sets.groupBy("cls").agg(F.first("hashes").alias("hashes")))
-    left, right = (sets.select(F.col("cls").alias(c), F.col("hashes").alias(f"of_{c}")) for c in "uv")
-    both = F.size(F.array_intersect("of_u", "of_v"))
-    enough = both * (1 + similarity) >= (F.size("of_u") + F.size("of_v")) * similarity - 1e-6
-    return pairs.join(left, "u").join(right, "v").filter(enough).select("u", "v")
+    read = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        read.select("u", "chunk", "role", "mark", "body")
+        .repartition(partitions, "u", "chunk")
+        .sortWithinPartitions("u", "chunk", "role", "mark")
+        .mapInArrow(run, "u long, v long")
+    )
 
 
-def similar_classes(classes: DataFrame, docs: DataFrame, text: str, id_column: str, size: int, similarity: float) -> DataFrame:
-    """``vertex`` and ``root`` of every class that is similar to another one, by links of exact similarity.
+def similar_texts(
+    listed: DataFrame, least: DataFrame, docs: DataFrame, text: str, id_column: str, size: int, similarity: float
+) -> DataFrame:
+    """``vertex`` and ``root`` of every text (by its hash) that is similar to another one, by links of exact similarity.
 
-    First classes are compared with the first class of their keys, which joins most
+    First texts are compared with the first text of their keys, which joins most
     of a group in as many comparisons as it has rows. Then all pairs that are not
     joined yet and share enough of their prefixes are compared.
     """
-    judge = lambda pairs: similar_pairs(pairs, classes, docs, text, id_column, size, similarity)
-    shared = keep_table(shared_postings(classes))
+    judge = lambda pairs: similar_pairs(pairs, least, docs, text, id_column, size, similarity)
+    shared = keep_table(shared_postings(listed))
     stars = shared.filter("cls != cls0").groupBy(F.col("cls0").alias("u"), F.col("cls").alias("v"), "n", "n0")
     stars = stars.agg(F.count("*").alias("met")).filter(may_reach(similarity, "n", "n0", F.col("met")))
     stars = keep_table(stars.select("u", "v"))
     found = keep_table(judge(stars))
     roots = keep_table(components(found))
-    placed = shared.join(roots, F.col("cls") == F.col("vertex"), "left").select(
+    placed = shared.join(keep_sized(roots), F.col("cls") == F.col("vertex"), "left").select(
         "key", "cls", "n", F.coalesce("root", "cls").alias("root")
     )
-    placed = keep_table(placed)
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
-    placed = placed.join(mixed, "key", "left_semi")
+    placed = keep_table(placed.join(mixed, "key", "left_semi"))
     left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "root")]) for s in "uv")
     meets = (
         (left["key"] == right["key"])
@@ -502,12 +540,12 @@ def drop_near_duplicates(
     least id of a group stays, of equal ids the one with the least text hash, of
     repeated rows one; rows with null ids come last. Texts without words are equal.
     """
-    rows = keep_table(shingle_rows(docs, text, id_column, shingle, similarity))
-    least = F.min(F.struct("id", "mark")).alias("least")
-    classes = keep_table(rows.groupBy("cls").agg(least, F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    roots = similar_classes(classes, docs, text, id_column, shingle, similarity)
-    judged = rows.join(roots, F.col("cls") == F.col("vertex"), "left").select(
-        "id", "mark", F.coalesce("root", "cls").alias("root")
+    rows = keep_table(docs.select(F.col(id_column).alias("id"), F.xxhash64(text_or_empty(text)).alias("mark")))
+    least = rows.groupBy("mark").agg(F.min("id").alias("id"))
+    listed = postings(docs, text, shingle, similarity)
+    roots = similar_texts(listed, least, docs, text, id_column, shingle, similarity)
+    judged = rows.join(roots, F.col("mark") == F.col("vertex"), "left").select(
+        "id", "mark", F.coalesce("root", "mark").alias("root")
     )
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
     per_row = judged.groupBy(F.col("root").alias("group"), "id", "mark").agg(F.count("*").alias("n"))
