@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import text_or_empty
 from tidemark.llm.numbering import number_rows
 from tidemark.llm.quality import bound_once
+from tidemark.session import keep_table
 
 ROUNDS = 4
 #: Hexadecimal digits of a digest that make a shift, 48 bits.
@@ -108,14 +109,17 @@ def assign_shards(
     result; other columns are not read.
     """
     body = text_or_empty(text)
-    facts = docs.select(
-        F.col(id_column).alias("id"),
-        (F.octet_length(body).cast("long") + OVERHEAD).alias("size"),
-        F.crc32(body).cast("long").alias("text_crc32"),
-        row_key(F.col(id_column), body).alias("key"),
+    # Texts are read once; sampling the key ranges and counting read the kept digests.
+    facts = keep_table(
+        docs.select(
+            F.col(id_column).alias("id"),
+            (F.octet_length(body).cast("long") + OVERHEAD).alias("size"),
+            F.crc32(body).cast("long").alias("text_crc32"),
+            row_key(F.col(id_column), body).alias("key"),
+        )
     )
     numbered = number_rows(facts, ["key"])
-    return _placed(numbered, numbered.count(), shards, seed).drop("key")
+    return _placed(numbered, facts.count(), shards, seed).drop("key")
 
 
 def write_shards(
