@@ -15,7 +15,7 @@ from tidemark.operators.forecast import fold_forecast, future_stub, recent_histo
 from tidemark.operators.importance import permutation_importance
 from tidemark.operators.linear import Candidate, LINEAR_CANDIDATES
 from tidemark.operators.preprocess import FeatureSet, apply_preprocessor, fit_preprocessor
-from tidemark.operators.trees import SMALL_TREE_CANDIDATES, TREE_CANDIDATES
+from tidemark.operators.families import TREE_CANDIDATES
 from tidemark.plans.forecasting import ForecastSpec, PanelForecast
 from tidemark.plans.reports import actual_and_forecast
 
@@ -40,7 +40,7 @@ def system():
 
 def test_ridge_solves_normal_equations(system):
     x, y = system
-    intercepts, weights = linear.solve(x, y, [Candidate("ridge", (("alpha", 2.0),))])
+    intercepts, weights, _ = linear.solve(x, y, [Candidate("ridge", (("alpha", 2.0),))])
     residual = y - intercepts[0] - x @ weights[0]
     centred = x - x.mean(axis=0)
     np.testing.assert_allclose(centred.T @ residual, 2.0 * weights[0], atol=1e-8)
@@ -68,7 +68,7 @@ def test_elastic_net_is_near_the_optimum(system, alpha, ratio):
     x, y = system
     xc, yc = x - x.mean(axis=0), y - y.mean()
     l1, l2 = alpha * ratio * len(y), alpha * (1 - ratio) * len(y)
-    _, weights = linear.solve(x, y, [Candidate("elasticnet", (("alpha", alpha), ("l1_ratio", ratio)))])
+    _, weights, _ = linear.solve(x, y, [Candidate("elasticnet", (("alpha", alpha), ("l1_ratio", ratio)))])
     best = objective(xc, yc, plain_descent(xc, yc, l1, l2, 3000), l1, l2)
     assert objective(xc, yc, weights[0], l1, l2) - best <= linear.TOLERANCE * (yc @ yc)
 
@@ -104,7 +104,7 @@ def panel(spark):
     return spark.createDataFrame(rows, schema)
 
 
-SPEC = ForecastSpec(series="s", date="date", target="y", end=None)
+SPEC = ForecastSpec(series="s", date="date", target="y", end=None, trees=())
 
 
 @pytest.fixture(scope="module")
@@ -199,7 +199,7 @@ def test_best_forecast_totals(run):
 
 
 def test_leaky_features_can_be_left_out(panel):
-    run = PanelForecast(panel, ForecastSpec(series="s", target="y", exclude_leaky=("x", "y_seasonal_diff")))
+    run = PanelForecast(panel, ForecastSpec(series="s", target="y", trees=(), exclude_leaky=("x", "y_seasonal_diff")))
     assert not {"x", "y_seasonal_diff"} & set(run.features.names)
 
 
@@ -231,6 +231,14 @@ def test_importance_against_brute_force(spark):
         assert 0 < got.importance_mean[s, "c"] < got.importance_mean[s, "u"]
 
 
+# A quick look at each family of trees.
+SMALL_TREE_CANDIDATES = [
+    Candidate("random_forest", (("n_estimators", 20), ("max_depth", 5))),
+    Candidate("gbr", (("n_estimators", 10), ("learning_rate", 0.1), ("max_depth", 3))),
+    Candidate("hgb", (("max_iter", 10), ("learning_rate", 0.1), ("max_depth", 3))),
+]
+
+
 def test_tree_models(panel):
     run = PanelForecast(
         panel, ForecastSpec(series="s", target="y", end=None, linear=(), trees=SMALL_TREE_CANDIDATES, min_train=20, valid=8, horizon=3)
@@ -265,62 +273,7 @@ def test_saved_tables(spark, panel, tmp_path):
     total = tables["monthly_forecast"].agg(F.sum("prediction")).first()[0]
     assert tables["annual_forecast"].agg(F.sum("forecast_students")).first()[0] == pytest.approx(total)
     assert tables["feature_importance"].count() == 2 * len(run.features.names)
-    # Importance of a pooled tree model, for a series as if it had won.
+    # Importance of a tree model, for a series as if it had won.
     chosen = spark.createDataFrame([("long", stump.label)], "s string, model_name string")
     scores = run.importance(chosen, repeats=2)
     assert {r.s for r in scores.collect()} == {"long"} and scores.agg(F.max("importance_mean")).first()[0] > 0
-
-
-def test_candidate_settings():
-    from tidemark.operators.trees import estimator
-
-    model = estimator(Candidate("hgb", (("max_iter", 100), ("learning_rate", 0.05), ("max_depth", 4))), "y")
-    assert (model.getMaxIter(), model.getStepSize(), model.getMaxDepth(), model.getMaxBins()) == (100, 0.05, 4, 255)
-    forest = estimator(Candidate("random_forest", (("n_estimators", 50), ("max_depth", None))), "y")
-    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy()) == (50, 30, "all")
-    with pytest.raises(ValueError):
-        estimator(Candidate("other"), "y")
-
-
-def test_pooled_folds_never_train_on_months_that_another_series_validates(spark, monkeypatch):
-    from tidemark.operators import trees
-
-    rows = [("old", dt.date(2010 + i // 12, i % 12 + 1, 1), float(i)) for i in range(36)]
-    rows += [("new", dt.date(2011 + i // 12, i % 12 + 1, 1), float(2 * i)) for i in range(36)]
-    df = spark.createDataFrame(rows, "s string, date date, y double").withColumn("x", F.col("y") * 2)
-    folds = expanding_folds(df, "s", "date", 24, 6)
-    seen = []
-    real = trees.fit_inputs
-
-    def spy(train, features):
-        seen.append(train.agg(F.max("date")).first()[0])
-        return real(train, features)
-
-    monkeypatch.setattr(trees, "fit_inputs", spy)
-    out = trees.cross_predict_pooled(folds, FeatureSet(["x"]), "s", "date", "y", SMALL_TREE_CANDIDATES[:1])
-    assert out.count() > 0
-    starts = folds.filter("role = 'valid'").groupBy("fold").agg(F.min("date").alias("d")).orderBy("fold").collect()
-    assert seen and all(a < r.d for a, r in zip(seen, starts))
-
-
-def test_a_category_with_many_values_fits(spark):
-    from tidemark.operators.trees import fit_pooled, predict_pooled
-
-    rows = [("s", f"c{i % 200}", float(i % 200)) for i in range(600)]
-    df = spark.createDataFrame(rows, "s string, c string, y double")
-    features = FeatureSet([], ["c"])
-    model = fit_pooled(df, SMALL_TREE_CANDIDATES[0], features, "s", "y")
-    assert predict_pooled(model, df, features, "s", "y").count() == 600
-
-
-def test_tree_inputs_are_filled_per_series(spark):
-    from tidemark.operators.trees import fill_gaps, learn_fills
-
-    rows = [("a", 1.0, "x"), ("a", 2.0, "x"), ("a", 4.0, None), ("a", 9.0, "y"), ("a", None, None), ("b", 5.0, None), ("b", None, None)]
-    df = spark.createDataFrame(rows, "s string, v double, c string")
-    features = FeatureSet(["v"], ["c"])
-    got = fill_gaps(df, learn_fills(df, features, "s"), features, "s").collect()
-    assert sorted((r.s, r.v, r.c) for r in got if r.s == "a") == [
-        ("a", 1.0, "x"), ("a", 2.0, "x"), ("a", 3.0, "x"), ("a", 4.0, "x"), ("a", 9.0, "y")
-    ]
-    assert [(r.v, r.c) for r in got if r.s == "b"] == [(5.0, None), (5.0, None)]

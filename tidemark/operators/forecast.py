@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import earliest, month_sequence, next_month_start
 from tidemark.operators.features import LAGS, ROLL_WINDOWS, calendar_features
+from tidemark.operators.families import model_prediction
 from tidemark.operators.linear import linear_prediction
 from tidemark.operators.preprocess import FeatureSet, feature_vector
 from tidemark.operators.selection import last_row
@@ -94,6 +95,7 @@ def fold_forecast(
     lag_terms: Mapping[str, tuple[Column, Column]],
     lags: Sequence[int] = LAGS,
     windows: Sequence[int] = ROLL_WINDOWS,
+    tree_slots: Mapping[str, tuple[int, Column, Column]] | None = None,
 ) -> DataFrame:
     """Run the recursion natively, one row per (series, model).
 
@@ -102,13 +104,32 @@ def fold_forecast(
     for each known lag feature; ``lag_terms`` gives (weight, fill). It is clipped
     at zero and appended to the history. When every lag is unknown the last known
     value is carried, and with none the month is left out.
+
+    With ``tree_slots``, the place, mean and scale of lag features, ``plans`` also has
+    ``trees`` and each step ``features``, and the prediction adds the values that the
+    features reach in the trees, known lags put in their places.
     """
+    slots = tree_slots or {}
+
+    def filled(item: Column, values: Mapping[str, Column]) -> Column:
+        def slot(x: Column, i: Column) -> Column:
+            chosen = x
+            for name, (place, mean, scale) in slots.items():
+                chosen = F.when(i == place, F.coalesce((values[name] - mean) / scale, x)).otherwise(chosen)
+            return chosen
+
+        return F.transform(item["features"], slot)
 
     def step(state: Column, item: Column) -> Column:
         values = lag_values(state["history"], target, lags, windows)
         total = item["base"]
         for name, (weight, fill) in lag_terms.items():
             total = total + F.coalesce(weight * (values[name] - fill), F.lit(0.0))
+        if tree_slots is not None:
+            grown = F.transform(
+                F.array(filled(item, values)), lambda x: model_prediction(x, F.lit(0.0), F.col("trees"))
+            )
+            total = total + F.get(grown, F.lit(0))
         any_known = F.coalesce(*values.values()).isNotNull()
         clipped = F.greatest(total, F.lit(0.0))
         prediction = F.when(any_known, clipped).otherwise(state["last_known"])
@@ -145,10 +166,10 @@ def recursive_forecast(
 ) -> DataFrame:
     """Forecast each (series, model) month by month, feeding predictions back.
 
-    ``models`` has intercept and weights per (series, model_name), ``parameters``
+    ``models`` has intercept, weights and trees per (series, model_name), ``parameters``
     the preprocessor row per series. The part of a prediction that does not
     depend on the lags is worked out per future row; the recursion runs over
-    arrays of at most ``horizon`` items inside one expression.
+    arrays of at most ``horizon`` items inside one expression, trees included.
     """
     names = list(lag_values(F.array().cast("array<double>"), target, lags, windows))
     position = {c: i for i, c in enumerate(features.numeric)}
@@ -159,18 +180,26 @@ def recursive_forecast(
 
     # With every lag unknown a prediction rests on the lags' medians; a step adds
     # what a known lag changes.
-    ready = stub.join(parameters, series).join(models, series)
+    keys = [series, "model_name"]
+    ready = stub.join(parameters, series).join(models.select(*keys, "intercept", "weights"), series)
     scored = ready.withColumn("features", feature_vector(features)).withColumn("_base", linear_prediction())
     lagged = [c for c in names if c in position]
     terms = [F.expr(f"struct(weights[{i}] / scales[{i}], medians[{i}])") for i in map(position.get, lagged)]
-    keys = [series, "model_name"]
-    steps = F.array_sort(F.collect_list(F.struct(F.col(date).alias("date"), F.col("_base").alias("base"))))
+    spreads = [F.expr(f"struct(means[{i}] AS col1, scales[{i}] AS col2)") for i in map(position.get, lagged)]
+    steps = F.array_sort(
+        F.collect_list(F.struct(F.col(date).alias("date"), F.col("_base").alias("base"), F.col("features")))
+    )
     plans = scored.groupBy(*keys).agg(
-        steps.alias("steps"), *[F.first(t).alias(f"_t{i}") for i, t in enumerate(terms)]
+        steps.alias("steps"),
+        *[F.first(t).alias(f"_t{i}") for i, t in enumerate(terms)],
+        *[F.first(t).alias(f"_s{i}") for i, t in enumerate(spreads)],
     )
+    # The trees join the one row of a model, not its steps.
+    plans = plans.join(models.select(*keys, "trees"), keys)
     history = recent_history(panel, series, date, target, max(*lags, *windows))
     lag_terms = {c: (F.col(f"_t{i}.col1"), F.col(f"_t{i}.col2")) for i, c in enumerate(lagged)}
-    out = fold_forecast(plans.join(history, series), keys, target, lag_terms, lags, windows)
+    slots = {c: (position[c], F.col(f"_s{i}.col1"), F.col(f"_s{i}.col2")) for i, c in enumerate(lagged)}
+    out = fold_forecast(plans.join(history, series), keys, target, lag_terms, lags, windows, slots)
     return with_year_month(out)
 
 

@@ -1,7 +1,8 @@
 """Ridge and elastic-net candidates, fitted per group of a panel.
 
 Spark builds the groups, the folds and the feature arrays; the grouped-map
-helper only solves one small system, all candidates of a group together.
+helpers of ``families`` call ``solve`` on one small system, all candidates of a
+group together.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ ELASTIC_NET_GRID = {"alpha": (0.01, 0.05, 0.1, 0.5), "l1_ratio": (0.1, 0.3, 0.5,
 MAX_SWEEPS = 10_000
 TOLERANCE = 1e-4
 BLOCK = 32
+#: Partitions of groups to be fitted, in units of the session's shuffle partitions.
+GROUP_SPREAD = 4
 
 
 @dataclass(frozen=True)
@@ -47,8 +49,6 @@ def grid(family: str, values: dict[str, Sequence]) -> list[Candidate]:
 
 
 LINEAR_CANDIDATES = [*grid("ridge", RIDGE_GRID), *grid("elasticnet", ELASTIC_NET_GRID)]
-# Library defaults, used when tuning is switched off.
-UNTUNED_LINEAR = [Candidate("ridge", (("alpha", 1.0),)), Candidate("elasticnet", (("alpha", 1.0), ("l1_ratio", 0.5)))]
 
 
 def ridge_weights(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> np.ndarray:
@@ -58,8 +58,11 @@ def ridge_weights(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> np.ndarra
     return np.stack([np.linalg.solve(gram + a * eye, moment) for a in alphas])
 
 
-def elastic_net_weights(gram: np.ndarray, moment: np.ndarray, energy: float, l1: float, l2: float) -> np.ndarray:
-    """Weights of min |y - xw|^2 / 2 + l1 |w|_1 + l2 |w|^2 / 2 from x'x, x'y and y'y.
+def elastic_net_weights(
+    gram: np.ndarray, moment: np.ndarray, energy: float, l1: float, l2: float
+) -> tuple[np.ndarray, bool]:
+    """Weights of min |y - xw|^2 / 2 + l1 |w|_1 + l2 |w|^2 / 2 from x'x, x'y and y'y, and whether
+    they came to rest within ``MAX_SWEEPS``.
 
     Cyclic coordinate descent from zero. It stops once the largest step is small
     against the largest weight and the duality gap is below the tolerance times
@@ -80,7 +83,7 @@ def elastic_net_weights(gram: np.ndarray, moment: np.ndarray, energy: float, l1:
                 weights[j] = new
         sweeps += 1
         if stops(before[None], weights[None], gram, moment, energy, l1, l2)[0]:
-            break
+            return weights, True
         signs = np.sign(weights)
         if not np.array_equal(signs, np.sign(before)):
             continue
@@ -94,7 +97,7 @@ def elastic_net_weights(gram: np.ndarray, moment: np.ndarray, energy: float, l1:
             stopped = ~turned & stops(starts, ahead, gram, moment, energy, l1, l2)
             event = np.flatnonzero(turned | stopped)
             if event.size and stopped[event[0]]:
-                return ahead[event[0]]
+                return ahead[event[0]], True
             good = event[0] if event.size else len(ahead)
             if good:
                 weights = ahead[good - 1].copy()
@@ -102,7 +105,7 @@ def elastic_net_weights(gram: np.ndarray, moment: np.ndarray, energy: float, l1:
             if event.size:
                 break
         fitted = gram @ weights
-    return weights
+    return weights, False
 
 
 def sweep_block(gram, moment, l1, curve, signs):
@@ -141,8 +144,10 @@ def stops(before, after, gram, moment, energy, l1, l2) -> np.ndarray:
     return small & (primal - dual < TOLERANCE * energy)
 
 
-def solve(x: np.ndarray, y: np.ndarray, candidates: Sequence[Candidate]) -> tuple[np.ndarray, np.ndarray]:
-    """Intercepts and weights of every candidate on one training set."""
+def solve(
+    x: np.ndarray, y: np.ndarray, candidates: Sequence[Candidate]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intercepts and weights of every candidate on one training set, and whether they converged."""
     centre, level = x.mean(axis=0), y.mean()
     xc, yc = x - centre, y - level
     weights = np.zeros((len(candidates), x.shape[1]))
@@ -152,10 +157,11 @@ def solve(x: np.ndarray, y: np.ndarray, candidates: Sequence[Candidate]) -> tupl
     if ridge:
         weights[ridge] = ridge_weights(xc, yc, np.array([params[i]["alpha"] for i in ridge]))
     gram, moment, energy = xc.T @ xc, xc.T @ yc, float(yc @ yc)
+    converged = np.ones(len(candidates), bool)
     for i in net:
         penalty, ratio = params[i]["alpha"] * len(y), params[i]["l1_ratio"]
-        weights[i] = elastic_net_weights(gram, moment, energy, penalty * ratio, penalty * (1 - ratio))
-    return level - weights @ centre, weights
+        weights[i], converged[i] = elastic_net_weights(gram, moment, energy, penalty * ratio, penalty * (1 - ratio))
+    return level - weights @ centre, weights, converged
 
 
 def spread_groups(rows: DataFrame, *keys: str) -> DataFrame:
@@ -165,89 +171,7 @@ def spread_groups(rows: DataFrame, *keys: str) -> DataFrame:
     adaptive execution would merge the small partitions into a few tasks.
     """
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(count, *keys)
-
-
-def _matrix(group: pd.DataFrame) -> np.ndarray:
-    return np.stack(group["features"].to_numpy())
-
-
-def cross_predict(
-    matrix: DataFrame, series: str, date: str, target: str, candidates: Sequence[Candidate] = LINEAR_CANDIDATES
-) -> DataFrame:
-    """Fit every candidate on each (series, fold)'s training rows and predict its
-    validation rows: (series, fold, date, model_name, actual, prediction)."""
-    labels = [c.label for c in candidates]
-    names = [series, "fold", date, "model_name", "actual", "prediction"]
-
-    def fit_group(group: pd.DataFrame) -> pd.DataFrame:
-        # A fixed row order makes retried tasks repeat their sums exactly.
-        group = group.sort_values(date, kind="stable")
-        train, valid = group[group["role"] == "train"], group[group["role"] == "valid"]
-        if train.empty or valid.empty:
-            return pd.DataFrame(columns=names)
-        intercepts, weights = solve(_matrix(train), train[target].to_numpy(float), candidates)
-        predictions = intercepts[:, None] + weights @ _matrix(valid).T
-        repeat = len(valid)
-        return pd.DataFrame(
-            {
-                series: group[series].iloc[0],
-                "fold": group["fold"].iloc[0],
-                date: np.tile(valid[date].to_numpy(), len(labels)),
-                "model_name": np.repeat(labels, repeat),
-                "actual": np.tile(valid[target].to_numpy(float), len(labels)),
-                "prediction": predictions.ravel(),
-            },
-            columns=names,
-        )
-
-    types = dict(matrix.dtypes)
-    schema = (
-        f"`{series}` {types[series]}, fold int, `{date}` {types[date]}, "
-        "model_name string, actual double, prediction double"
-    )
-    columns = [series, "fold", "role", date, target, "features"]
-    groups = spread_groups(matrix.select(*columns), series, "fold")
-    return groups.groupBy(series, "fold").applyInPandas(fit_group, schema)
-
-
-def fit_linear(
-    matrix: DataFrame,
-    series: str,
-    date: str,
-    target: str,
-    candidates: Sequence[Candidate] = LINEAR_CANDIDATES,
-    chosen: DataFrame | None = None,
-) -> DataFrame:
-    """Fit candidates on all rows of each series: intercept and weights.
-
-    With ``chosen`` (series, model_name) only the chosen ones of each series are
-    fitted, and series without one are left out.
-    """
-    by_label, some = {c.label: c for c in candidates}, chosen is not None
-
-    def fit_group(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(date, kind="stable")
-        wanted = by_label if not some else set(group["_wanted"].iloc[0])
-        labels = [label for label in by_label if label in wanted]
-        intercepts, weights = solve(_matrix(group), group[target].to_numpy(float), [by_label[label] for label in labels])
-        return pd.DataFrame(
-            {
-                series: group[series].iloc[0],
-                "model_name": labels,
-                "intercept": intercepts,
-                "weights": list(weights),
-            }
-        )
-
-    kind = dict(matrix.dtypes)[series]
-    schema = f"`{series}` {kind}, model_name string, intercept double, weights array<double>"
-    rows = matrix.select(series, date, target, "features")
-    if chosen is not None:
-        known = chosen.filter(F.col("model_name").isin(list(by_label)))
-        # At most one label per candidate and series.
-        rows = rows.join(known.groupBy(series).agg(F.collect_set("model_name").alias("_wanted")), series)
-    return spread_groups(rows, series).groupBy(series).applyInPandas(fit_group, schema)
+    return rows.repartition(GROUP_SPREAD * count, *keys)
 
 
 def linear_prediction() -> Column:

@@ -12,17 +12,16 @@ from tidemark.operators.features import feature_columns, panel_features, usable_
 from tidemark.operators.folds import MIN_TRAIN_MONTHS, VALID_MONTHS, expanding_folds, history_gate
 from tidemark.operators.forecast import HORIZON_MONTHS, annual_forecast, recursive_forecast
 from tidemark.operators.importance import permutation_importance
-from tidemark.operators.joins import stack_frames
-from tidemark.operators.linear import (
-    LINEAR_CANDIDATES,
-    Candidate,
+from tidemark.operators.families import (
+    TREE_CANDIDATES,
     cross_predict,
-    fit_linear,
-    linear_prediction,
+    fit_models,
+    model_prediction,
+    untuned_candidates,
 )
+from tidemark.operators.linear import LINEAR_CANDIDATES, Candidate, linear_prediction
 from tidemark.operators.preprocess import FeatureSet, apply_preprocessor, feature_vector, fit_preprocessor
 from tidemark.operators.selection import METRICS, best_models, fold_metrics, grid_place, mean_metrics, top_per_group
-from tidemark.operators.trees import cross_predict_pooled, fit_pooled, predict_pooled, recursive_forecast_pooled
 from tidemark.session import ensure_checkpoint_dir, keep_table
 from tidemark.sources.exports import require_columns
 from tidemark.sources.sinks import write_csv, write_per_series
@@ -30,7 +29,11 @@ from tidemark.sources.sinks import write_csv, write_per_series
 
 @dataclass(frozen=True)
 class ForecastSpec:
-    """Columns and settings of a forecasting run."""
+    """Columns and settings of a forecasting run.
+
+    The search goes over the linear candidates, the tree candidates and ``others`` of
+    registered families; without ``tuning`` over one candidate of every family.
+    """
 
     series: str = "combined_course"
     date: str = "date"
@@ -41,7 +44,13 @@ class ForecastSpec:
     end: str | None = None
     exclude_leaky: Sequence[str] = ()
     linear: Sequence[Candidate] = field(default_factory=lambda: tuple(LINEAR_CANDIDATES))
-    trees: Sequence[Candidate] = ()
+    trees: Sequence[Candidate] = field(default_factory=lambda: tuple(TREE_CANDIDATES))
+    others: Sequence[Candidate] = ()
+    tuning: bool = True
+
+    @property
+    def candidates(self) -> list[Candidate]:
+        return [*self.linear, *self.trees, *self.others] if self.tuning else untuned_candidates()
 
 
 class PanelForecast:
@@ -89,14 +98,7 @@ class PanelForecast:
 
     def cross_predictions(self) -> DataFrame:
         spec = self.spec
-        parts = []
-        if spec.linear:
-            parts.append(cross_predict(self.fold_matrix(), spec.series, spec.date, spec.target, spec.linear))
-        if spec.trees:
-            parts.append(
-                cross_predict_pooled(self.folds(), self.features, spec.series, spec.date, spec.target, spec.trees)
-            )
-        return stack_frames(parts)
+        return cross_predict(self.fold_matrix(), spec.series, spec.date, spec.target, spec.candidates)
 
     def results(self) -> DataFrame:
         """Mean fold metrics of every candidate and series."""
@@ -108,54 +110,38 @@ class PanelForecast:
 
     def grid(self) -> list[str]:
         """Candidate labels in the order of the search."""
-        return [c.label for c in (*self.spec.linear, *self.spec.trees)]
+        return [c.label for c in self.spec.candidates]
 
     def parameters(self) -> DataFrame:
         return fit_preprocessor(self.kept(), [self.spec.series], self.features)
 
     def refit(self, candidates: Sequence[Candidate] | None = None, chosen: DataFrame | None = None) -> DataFrame:
-        """Linear candidates fitted on all usable rows of every kept series, or the chosen ones of each."""
+        """Candidates fitted on all usable rows of every kept series, or the chosen ones of each."""
         spec = self.spec
         matrix = apply_preprocessor(
             self.kept(), self.parameters(), [spec.series], self.features, [spec.date, spec.target]
         )
-        return fit_linear(matrix, spec.series, spec.date, spec.target, candidates or spec.linear, chosen)
+        return fit_models(matrix, spec.series, spec.date, spec.target, candidates or spec.candidates, chosen)
 
     def forecast(self, chosen: DataFrame | None = None) -> DataFrame:
         """Monthly forecasts of the (series, model_name) pairs in ``chosen``.
 
-        Without it every candidate is forecast for every kept series. Tree models
-        are pooled fits, so each chosen one is trained once for all series it won.
+        Without it every candidate is forecast for every kept series.
         """
-        spec, keys = self.spec, [self.spec.series, "model_name"]
-        parts = []
-        if spec.linear:
-            models = self.refit(chosen=None if chosen is None else chosen.select(*keys))
-            parts.append(
-                recursive_forecast(
-                    self.panel,
-                    models,
-                    self.parameters(),
-                    self.features,
-                    spec.series,
-                    spec.date,
-                    spec.target,
-                    spec.horizon,
-                    spec.end,
-                )
-            )
-        for candidate in spec.trees:
-            won = None if chosen is None else chosen.filter(F.col("model_name") == candidate.label)
-            if won is not None and won.isEmpty():
-                continue
-            model = fit_pooled(self.kept(), candidate, self.features, spec.series, spec.target)
-            members = self.gate().filter("is_kept") if won is None else won
-            history = self.panel.join(members.select(spec.series), spec.series, "left_semi")
-            out = recursive_forecast_pooled(
-                history, model, self.features, spec.series, spec.date, spec.target, spec.horizon, spec.end
-            )
-            parts.append(out.withColumn("model_name", F.lit(candidate.label)))
-        return stack_frames(parts)
+        spec = self.spec
+        # Kept, as a series' future rows and its recursion both read the models.
+        models = keep_table(self.refit(chosen=None if chosen is None else chosen.select(spec.series, "model_name")))
+        return recursive_forecast(
+            self.panel,
+            models,
+            self.parameters(),
+            self.features,
+            spec.series,
+            spec.date,
+            spec.target,
+            spec.horizon,
+            spec.end,
+        )
 
     def best_forecast(self, results: DataFrame | None = None) -> DataFrame:
         """Forecast of each series by its best model."""
@@ -174,35 +160,20 @@ class PanelForecast:
     def importance(self, chosen: DataFrame, repeats: int = 10) -> DataFrame:
         """Permutation importance of one chosen (series, model_name) per series."""
         spec, keys = self.spec, [self.spec.series, "model_name"]
-        names = self.features.names
-        parts = []
-        if spec.linear:
-            # One row per series; kept, as two steps read it.
-            fitted = keep_table(self.refit(chosen=chosen.select(*keys)).drop("model_name"))
-            fitted = fitted.join(self.parameters(), spec.series)
-
-            def predict(rows: DataFrame) -> DataFrame:
-                scored = rows.join(fitted, spec.series).withColumn("features", feature_vector(self.features))
-                return scored.withColumn("prediction", linear_prediction())
-
-            rows = self.kept().join(fitted.select(spec.series), spec.series, "left_semi")
-            parts.append(
-                permutation_importance(rows, predict, names, spec.series, spec.date, spec.target, repeats)
+        # One row per series; kept, as two steps read it.
+        fitted = keep_table(self.refit(chosen=chosen.select(*keys)).drop("model_name", "converged"))
+        fitted = fitted.join(self.parameters(), spec.series)
+
+        def predict(rows: DataFrame) -> DataFrame:
+            scored = rows.join(fitted, spec.series).withColumn("features", feature_vector(self.features))
+            return scored.withColumn(
+                "prediction", model_prediction(F.col("features"), linear_prediction(), F.col("trees"))
             )
-        for candidate in spec.trees:
-            won = chosen.filter(F.col("model_name") == candidate.label)
-            if won.isEmpty():
-                continue
-            model = fit_pooled(self.kept(), candidate, self.features, spec.series, spec.target)
-
-            def predict_tree(rows: DataFrame, model=model) -> DataFrame:
-                return predict_pooled(model, rows, self.features, spec.series, spec.target)
-
-            rows = self.kept().join(won.select(spec.series), spec.series, "left_semi")
-            parts.append(
-                permutation_importance(rows, predict_tree, names, spec.series, spec.date, spec.target, repeats)
-            )
-        return stack_frames(parts)
+
+        rows = self.kept().join(fitted.select(spec.series), spec.series, "left_semi")
+        return permutation_importance(
+            rows, predict, self.features.names, spec.series, spec.date, spec.target, repeats
+        )
 
     def save(self, folder: str) -> None:
         """Write the candidate, best-model, monthly, annual and importance tables.

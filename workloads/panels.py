@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ from tidemark.operators.forecast import (
     with_year_month,
 )
 from tidemark.operators.importance import permutation_importance
-from tidemark.operators.linear import LINEAR_CANDIDATES, cross_predict, linear_prediction
+from tidemark.operators.families import TREE_CANDIDATES, TREE_TYPE, cross_predict
+from tidemark.operators.linear import LINEAR_CANDIDATES, linear_prediction
 from tidemark.operators.preprocess import FeatureSet, apply_preprocessor, fit_preprocessor
 from tidemark.operators.rollup import monthly_rollup
 from tidemark.operators.selection import (
@@ -33,7 +36,6 @@ from tidemark.operators.selection import (
     top_per_group,
 )
 from tidemark.operators.series import economic_features, pct_change, pivot_series, zscores
-from tidemark.operators.trees import TREE_CANDIDATES
 from tidemark.plans.enrichment import enrich_panel, with_date, with_event_flags
 from tidemark.plans.forecasting import ForecastSpec, PanelForecast
 from tidemark.plans.reports import actual_and_forecast
@@ -641,21 +643,26 @@ def fixed_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Forecasts ---------------------------------------------------------------------
 
-STUB_SQL = """
+LAST_MONTH = "2002-04-30"
+
+
+def stub_sql(end: str | None = None) -> str:
+    """The twelve months after each series' last one, up to ``end`` if there is one."""
+    stop = "CAST(last + INTERVAL 12 MONTH AS TIMESTAMP)"
+    stop = f"least({stop}, TIMESTAMP '{end}')" if end else stop
+    return f"""
     l AS (SELECT series, arg_max(total, date) AS total, arg_max(mean_price, date) AS mean_price, max(date) AS last
           FROM m GROUP BY series),
     st AS (SELECT series, total, mean_price, CAST(unnest(generate_series(
-               CAST(last + INTERVAL 1 MONTH AS TIMESTAMP),
-               least(CAST(last + INTERVAL 12 MONTH AS TIMESTAMP), TIMESTAMP '2002-04-30'), INTERVAL 1 MONTH)) AS DATE) AS date
+               CAST(last + INTERVAL 1 MONTH AS TIMESTAMP), {stop}, INTERVAL 1 MONTH)) AS DATE) AS date
            FROM l)
 """
-LAST_MONTH = "2002-04-30"
 
 
 @register.add(
     "future_stub",
     f"""
-    WITH {PANEL_SQL}, {STUB_SQL}
+    WITH {PANEL_SQL}, {stub_sql(LAST_MONTH)}
     SELECT series, date, NULL::BIGINT AS n_orders, {sql_fixed("total", 2)} AS total,
            {sql_fixed("mean_price")} AS mean_price, CAST(year(date) AS INTEGER) AS year,
            CAST(month(date) AS INTEGER) AS month, 0 AS covid_flag
@@ -692,15 +699,17 @@ FIXED_MODELS = {
 LAG_FEATURES = (*LAG_NAMES, *ROLL_NAMES)
 
 
-def fixed_forecast(spark: SparkSession, sf_dir: str, history_from: str | None = None) -> DataFrame:
-    """Recursive forecasts of the fixed models; no fitted part.
-
-    A month counts as unknown when its mean price is high, so some lags are null.
-    """
-    panel = month_panel(spark, sf_dir).withColumn(
+def gapped_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month counts as unknown when its mean price is high, so some lags are null."""
+    return month_panel(spark, sf_dir).withColumn(
         TARGET, F.when(F.col("mean_price") < 260000, F.col(TARGET).cast("double"))
     )
-    steps = future_stub(panel, SERIES, DATE, TARGET, end=LAST_MONTH).select(SERIES, DATE)
+
+
+def fixed_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive forecasts of the fixed models; no fitted part."""
+    panel = gapped_panel(spark, sf_dir)
+    steps = future_stub(panel, SERIES, DATE, TARGET).select(SERIES, DATE)
     models = [
         F.struct(
             F.lit(name).alias("model_name"),
@@ -730,14 +739,18 @@ def _mean_item(w: int) -> str:
 
 _ITEMS = {**{f"n_orders_lag_{k}": _lag_item(k) for k in (1, 2, 3, 12)}}
 _ITEMS |= {f"n_orders_roll_mean_{w}": _mean_item(w) for w in (3, 12)}
-_CASES = " ".join(
-    f"WHEN '{name}' THEN {base}::DOUBLE"
-    + "".join(f" + {w}::DOUBLE * (coalesce({_ITEMS[c]}, 40.0) - 40.0)" for c, w in weights.items())
+FIXED_CASES = {
+    name: f"{base}::DOUBLE" + "".join(f" + {w}::DOUBLE * (coalesce({_ITEMS[c]}, 40.0) - 40.0)" for c, w in weights.items())
     for name, (base, weights) in FIXED_MODELS.items()
-)
+}
 _ANY = " OR ".join(f"({item}) IS NOT NULL" for item in _ITEMS.values())
-FIXED_SQL = f"""
-    RECURSIVE {PANEL_SQL}, {STUB_SQL},
+
+
+def recursion_sql(cases: dict[str, str]) -> str:
+    """Twelve months of every model; ``cases`` gives a month's value from the history ``h``."""
+    chosen = " ".join(f"WHEN '{name}' THEN {value}" for name, value in cases.items())
+    return f"""
+    RECURSIVE {PANEL_SQL}, {stub_sql()},
     g AS (SELECT series, date, CASE WHEN mean_price < 260000 THEN CAST(n_orders AS DOUBLE) END AS y FROM m),
     hh AS (SELECT series, list(y ORDER BY date) AS h, arg_max(y, date) FILTER (y IS NOT NULL) AS lk
            FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY series ORDER BY date DESC) <= 12) GROUP BY series),
@@ -745,11 +758,11 @@ FIXED_SQL = f"""
     sn AS (SELECT series, date, row_number() OVER (PARTITION BY series ORDER BY date) AS i FROM st),
     r AS (
         SELECT hh.series, model_name, CAST(0 AS BIGINT) AS i, hh.h AS h, lkk.lk AS lk, CAST(NULL AS DOUBLE) AS p
-        FROM hh JOIN lkk USING (series) CROSS JOIN (SELECT unnest({list(FIXED_MODELS)!r}) AS model_name)
+        FROM hh JOIN lkk USING (series) CROSS JOIN (SELECT unnest({list(cases)!r}) AS model_name)
         UNION ALL
         SELECT series, model_name, i + 1, list_append(h, q), coalesce(q, lk), q
         FROM (SELECT series, model_name, i, h, lk,
-                     CASE WHEN {_ANY} THEN greatest(CASE model_name {_CASES} END, 0.0) ELSE lk END AS q
+                     CASE WHEN {_ANY} THEN greatest(CASE model_name {chosen} END, 0.0) ELSE lk END AS q
               FROM r WHERE i < 12)
     ),
     fc AS (SELECT r.series, model_name, sn.date, p AS prediction, CAST(year(sn.date) AS INTEGER) AS year,
@@ -758,6 +771,9 @@ FIXED_SQL = f"""
 """
 
 
+FIXED_SQL = recursion_sql(FIXED_CASES)
+
+
 @register.add(
     "recursive_forecast",
     f"WITH {FIXED_SQL} SELECT series, model_name, date, {sql_fixed('prediction')} AS prediction, year, month FROM fc",
@@ -778,6 +794,51 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_all(out, "forecast_students")
 
 
+# Two small trees over the lag features, nodes in arrays; the children of a node are one after the other.
+FIXED_TREES = (
+    {"feature": [0, -1, 3, -1, -1], "cut": [38.5, 0.0, 41.25, 0.0, 0.0], "child": [1, 0, 3, 0, 0],
+     "value": [0.0, 12.0, 0.0, -4.0, 8.5], "depth": 2},
+    {"feature": [5, 4, -1, -1, 1, -1, -1], "cut": [39.1, 36.3, 0.0, 0.0, 44.0, 0.0, 0.0],
+     "child": [1, 3, 0, 0, 5, 0, 0], "value": [0.0, 0.0, 3.25, 1.5, 0.0, 2.0, -1.0], "depth": 2},
+)
+
+
+def tree_sql(tree: dict, node: int = 0) -> str:
+    if tree["feature"][node] < 0:
+        return f"{tree['value'][node]}::DOUBLE"
+    item = f"CAST(CAST(coalesce({_ITEMS[LAG_FEATURES[tree['feature'][node]]]}, 40.0) AS FLOAT) AS DOUBLE)"
+    low, high = (tree_sql(tree, tree["child"][node] + side) for side in (0, 1))
+    return f"CASE WHEN {item} <= {tree['cut'][node]}::DOUBLE THEN {low} ELSE {high} END"
+
+
+TREE_CASE = f"22::DOUBLE + 0.5::DOUBLE * (coalesce({_ITEMS['n_orders_lag_1']}, 40.0) - 40.0)"
+
+
+@register.add(
+    "fixed_tree_forecast",
+    f"""
+    WITH {recursion_sql({"trees": " + ".join([TREE_CASE, *map(tree_sql, FIXED_TREES)])})}
+    SELECT series, model_name, date, {sql_fixed('prediction')} AS prediction, year, month FROM fc
+    """,
+)
+def fixed_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recursion of a model with a linear part and trees, in one expression."""
+    panel = gapped_panel(spark, sf_dir)
+    steps = future_stub(panel, SERIES, DATE, TARGET).select(SERIES, DATE)
+    item = F.struct(
+        F.col(DATE).alias("date"), F.lit(22.0).alias("base"),
+        F.array(*[F.lit(40.0)] * len(LAG_FEATURES)).alias("features"),
+    )
+    plans = steps.groupBy(SERIES).agg(F.array_sort(F.collect_list(item)).alias("steps"))
+    literal = F.from_json(F.lit(json.dumps(FIXED_TREES)), f"array<{TREE_TYPE}>")
+    plans = plans.withColumns({"model_name": F.lit("trees"), "trees": literal})
+    history = recent_history(panel, SERIES, DATE, TARGET, 12)
+    slots = {c: (i, F.lit(0.0), F.lit(1.0)) for i, c in enumerate(LAG_FEATURES)}
+    terms = {"n_orders_lag_1": (F.lit(0.5), F.lit(40.0))}
+    out = fold_forecast(plans.join(history, SERIES), [SERIES, "model_name"], TARGET, terms, tree_slots=slots)
+    return fixed_all(with_year_month(out), "prediction")
+
+
 # How the fixed models rank: by distance of their base from zero.
 @register.add(
     "actual_vs_forecast",
@@ -816,7 +877,7 @@ def model_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_forecast(spark: SparkSession, sf_dir: str, **settings) -> PanelForecast:
-    spec = ForecastSpec(series=SERIES, date=DATE, target=TARGET, end=LAST_MONTH, **settings)
+    spec = ForecastSpec(series=SERIES, date=DATE, target=TARGET, **settings)
     return PanelForecast(model_panel(spark, sf_dir), spec)
 
 
@@ -826,42 +887,49 @@ ELASTIC_NET = tuple(c for c in LINEAR_CANDIDATES if c.family == "elasticnet")
 
 @register.add("ridge_cv")
 def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_forecast(spark, sf_dir, linear=RIDGE).results()
+    return order_forecast(spark, sf_dir, linear=RIDGE, trees=()).results()
 
 
 @register.add("elasticnet_cv")
 def elasticnet_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_forecast(spark, sf_dir, linear=ELASTIC_NET).results()
+    return order_forecast(spark, sf_dir, linear=ELASTIC_NET, trees=()).results()
 
 
 @register.add("ridge_forecast")
 def ridge_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refit on all usable rows, then the native recursion over twelve months."""
-    return order_forecast(spark, sf_dir, linear=RIDGE).forecast()
+    return order_forecast(spark, sf_dir, linear=RIDGE, trees=()).forecast()
 
 
 @register.add("best_linear_forecast")
 def best_linear_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search all linear candidates, pick and forecast each series in one plan."""
-    return order_forecast(spark, sf_dir, exclude_leaky=("n_orders_seasonal_diff",)).best_forecast()
+    return order_forecast(spark, sf_dir, exclude_leaky=("n_orders_seasonal_diff",), trees=()).best_forecast()
 
 
 @register.add("permutation_importance")
 def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance of each series' best linear model."""
-    run = order_forecast(spark, sf_dir)
+    run = order_forecast(spark, sf_dir, trees=())
     return run.importance(keep_table(run.best().withColumnRenamed("best_model_name", "model_name")))
 
 
 @register.add("tree_cv")
 def tree_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tree candidates, pooled over all series."""
+    """All tree candidates on every series and fold."""
     return order_forecast(spark, sf_dir, linear=(), trees=TREE_CANDIDATES).results()
 
 
 @register.add("tree_forecast")
 def tree_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_forecast(spark, sf_dir, linear=(), trees=TREE_CANDIDATES).forecast()
+    """Each series' best of all tree candidates, refitted and run forward in one expression."""
+    return order_forecast(spark, sf_dir, linear=(), trees=TREE_CANDIDATES).best_forecast()
+
+
+@register.add("untuned_cv")
+def untuned_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One candidate of every family, as without a search."""
+    return order_forecast(spark, sf_dir, tuning=False).results()
 
 
 @register.add(
@@ -884,7 +952,7 @@ def optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
     The duality gap of each fit, worked out from its residuals, is within the
     solver's tolerance of the target's sum of squares.
     """
-    run = order_forecast(spark, sf_dir)
+    run = order_forecast(spark, sf_dir, trees=())
     matrix = apply_preprocessor(run.kept(), run.parameters(), [SERIES], run.features, [DATE, TARGET])
     models = run.refit()
     penalties = spark.createDataFrame(
