@@ -100,7 +100,9 @@ def test_masks_leave_a_seed_for_every_substitution():
 
 
 def accepted(a, b):
-    """Mask-free: whether some aligned run of tokens differs in few enough places."""
+    """Mask-free: whether some aligned run of tokens differs in few enough places; scant items are whole texts."""
+    if len(b) < d.LEAST:
+        return a == b
     run = min(len(b), d.OVERLAP)
     least = run - run * d.SUBSTITUTIONS // d.OVERLAP
     return run > 0 and any(
@@ -125,3 +127,32 @@ def test_every_accepted_overlap_is_found(spark):
     found = d.find_overlaps(make(spark, [(i, " ".join(w), None, None) for i, w in enumerate(docs)]), tests)
     want = {(i, n) for i, a in enumerate(docs) for n, b in items if accepted(a, b)}
     assert {(r.id, r.item) for r in found.collect()} == want and len(want) > 60
+
+
+def test_items_in_scripts_without_spaces(spark):
+    """Letters of such scripts are tokens, so an item is found inside a longer run of them; marks split no token."""
+    draw = random.Random(9)
+    run = "".join(chr(draw.randrange(0x4E00, 0x9F00)) for _ in range(48))
+    thai = "".join(chr(draw.randrange(0x0E01, 0x0E2E)) + "\u0e31" for _ in range(20))
+    marked = " ".join(f"a{i}e\u0301x" for i in range(14))
+    items = spark.createDataFrame([(1, run), (2, thai), (3, marked)], "item_id long, text string")
+    docs = [(10, "x" + run[:20] + "\u3042" * 9 + run + "\u4e00" * 30), (11, "y " + thai + "\u0e02"), (12, marked.upper() + " end"),
+            (13, run[:9] + " other"), (14, marked.replace("\u0301", " "))]
+    found = d.find_overlaps(make(spark, [(i, t, None, None) for i, t in docs]), items).collect()
+    assert sorted((r.id, r.item) for r in found) == [(10, 1), (11, 2), (12, 3)]
+
+
+def test_scant_items_match_whole_texts_only(spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, "not at all"), (3, "five words are enough here")], "item_id long, text string")
+    docs = [(10, "yes, but no"), (11, "YES!"), (12, "Not at all."), (13, "it is not at all so"),
+            (14, "see: five words are enough here, too"), (15, "not at some")]
+    found = d.find_overlaps(make(spark, [(i, t, None, None) for i, t in docs]), items).collect()
+    assert sorted((r.id, r.item) for r in found) == [(11, 1), (12, 2), (14, 3)]
+    kept = d.drop_contaminated(make(spark, [(i, t, None, None) for i, t in docs]), items)
+    assert sorted(r.doc_id for r in kept.collect()) == [10, 13, 15]
+
+
+def test_filter_is_not_in_the_plan(spark):
+    docs, items = corpus()
+    plan = d.find_overlaps(make(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert len(plan._jdf.queryExecution().toString()) < 400_000

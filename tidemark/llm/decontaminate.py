@@ -9,7 +9,7 @@ are chosen so that every choice of substituted tokens leaves a seed intact; item
 of fewer than ``SPAN`` tokens have masks of their own length.
 
 The test items are the bounded side. Their seeds fill a small bit filter that is
-part of the expression, so documents are read once, nothing of their text is
+sent with the tasks, so documents are read once, nothing of their text is
 shuffled, and only positions that pass leave the row, with the few token hashes
 around them that the verification needs. Items come in blocks, one pass over the
 documents each, so the filter stays bounded however many there are.
@@ -33,20 +33,28 @@ MASKS = ("001101111", "110111100", "111010011")
 SPAN = 9
 #: Tokens of a verified overlap, and how many of them may differ.
 OVERLAP, SUBSTITUTIONS = 13, 2
-TOKEN = r"[\p{L}\p{N}]+"
+# Blocks of scripts written without spaces (Thai, Lao, Myanmar, Khmer, Kana, Han), where
+# every letter is a token.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+PLAIN_TOKEN = r"[\p{L}\p{N}]+"
+TOKEN = rf"[\p{{L}}\p{{N}}\p{{M}}&&[^{UNSPACED}]]+|[{UNSPACED}&&[\p{{L}}\p{{N}}]]\p{{M}}*"
+#: Items of fewer tokens say too little to be looked for inside of a text.
+LEAST = 5
 #: Seeds of one pass over the documents, and bits of the filter for each.
-SEEDS_PER_PASS = 250_000
+SEEDS_PER_PASS = 1_000_000
 BITS_PER_SEED = 64
 
 
 def token_hashes(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Hashes of the tokens; a text without such letters and marks takes the cheaper of two equal patterns."""
+    plain, full = (F.regexp_extract_all(F.lower(text), F.lit(t), F.lit(0)) for t in (PLAIN_TOKEN, TOKEN))
+    words = F.when(text.rlike(rf"[{UNSPACED}\p{{M}}]"), full).otherwise(plain)
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def short_masks(length: int, overlap: int, substitutions: int) -> list[str]:
     """Masks over a whole item of ``length`` tokens; its substitutions leave one of them intact."""
-    allowed = length * substitutions // overlap
+    allowed = length * substitutions // overlap if length >= LEAST else 0
     ways = allowed + 2
     return ["".join("01"[i % ways not in gone] for i in range(length)) for gone in combinations(range(ways), allowed)]
 
@@ -101,18 +109,21 @@ def item_seeds(items: DataFrame, text: str, id_column: str, reach: int, masks: l
     return listed.select("item", "length", "s.*").distinct()
 
 
-def filter_bits(seeds: DataFrame, words: int) -> list[int]:
-    """The bit filter: three bits of one 64-bit word for every seed."""
+def filter_bits(seeds: DataFrame, words: int) -> Column:
+    """The bit filter: three bits of one 64-bit word for every seed, as an array.
+
+    It is a scalar subquery: a query works it out once and sends it with its tasks, and
+    neither the plan's text nor the driver's program holds it.
+    """
     x = F.col("seed")
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), part(x, k).cast("int"))
     mask = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
-    rows = seeds.select(x.bitwiseAND(words - 1).alias("word"), mask.alias("mask")).groupBy("word").agg(
-        F.bit_or("mask").alias("mask")
-    )
-    found = [0] * words
-    for row in rows.collect():  # one row per word of the bounded filter
-        found[row["word"]] = row["mask"]
-    return found
+    filled = seeds.select(x.bitwiseAND(words - 1).alias("word"), mask.alias("mask"))
+    every = seeds.sparkSession.range(words).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask"))
+    merged = filled.union(every).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    # One row per word of the bounded filter.
+    listed = keep_table(merged.agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("words")).select("words.mask"))
+    return listed.scalar()
 
 
 def part(value: Column, k: int) -> Column:
@@ -128,7 +139,10 @@ def passing(hashes: Column, bits: Column, words: int, reach: int, masks: list[st
 
     def of_mask(number: int) -> Column:
         span = len(masks[number])
-        seeds = F.transform(positions(hashes, span), lambda p: seed_hash(hashes, p, masks[number], number))
+        places = positions(hashes, span)
+        if span < LEAST:  # a scant item must be the whole text
+            places = F.when(F.size(hashes) == span, places).otherwise(F.array().cast("array<int>"))
+        seeds = F.transform(places, lambda p: seed_hash(hashes, p, masks[number], number))
         one = lambda x, p: F.struct(x.alias("seed"), p.alias("at"), (p + span).alias("until"))
         return F.array_compact(F.transform(seeds, lambda x, p: F.when(test(x), one(x, p))))
 
@@ -176,8 +190,10 @@ def find_overlaps(
 
     One row per document and item with a verified hit: the number of verified seed
     positions and the span of document tokens that they lie in. Tokens are runs of
-    letters and digits, lower-cased. Items of fewer than ``overlap`` tokens match as
-    a whole, with substitutions in proportion; null texts have no tokens; null ids are kept. Repeated
+    letters, digits and combining marks, lower-cased, and single letters of scripts
+    without spaces. Items of fewer than ``overlap`` tokens match as a whole, with
+    substitutions in proportion; of fewer than ``LEAST`` tokens only where they are all
+    of a text, without substitutions, as such words stand in many clean texts. Null texts have no tokens; null ids are kept. Repeated
     rows give one row; ``mark`` is a hash of the text that tells rows of one id
     apart. An empty table on either side gives an empty result; other columns are
     not read.
@@ -213,12 +229,14 @@ def _pass(
     words = 1
     while words * 64 < count * BITS_PER_SEED:
         words *= 2
-    filled = filter_bits(seeds, words)
-    bits = F.split(F.lit(",".join(map(str, filled))), ",").cast("array<bigint>")
     body = text_or_empty(text)
-    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("mark"), token_hashes(body).alias("hashes"))
+    rows = docs.select(
+        F.col(id_column).alias("id"), F.xxhash64(body).alias("mark"), token_hashes(body).alias("hashes"),
+        filter_bits(seeds, words).alias("bits"),
+    )
     near = rows.select(
-        "id", "mark", F.explode(bound_once(F.col("hashes"), lambda h: passing(h, bits, words, overlap, masks))).alias("s")
+        "id", "mark",
+        F.explode(bound_once(F.col("hashes"), lambda h: passing(h, F.col("bits"), words, overlap, masks))).alias("s"),
     ).select("id", "mark", "s.*")
     # The seeds of a pass are bounded; their size is measured before they are sent.
     joined = near.join(keep_sized(seeds), "seed")
