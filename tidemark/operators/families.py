@@ -19,7 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ensembles import Tree, boosted, forest, shown, staged_boosting, staged_forest
-from tidemark.operators.linear import LINEAR_CANDIDATES, Candidate, grid, solve, spread_groups
+from tidemark.operators.linear import (
+    LINEAR_CANDIDATES,
+    Candidate,
+    Moments,
+    grid,
+    moments_of,
+    solve_moments,
+    spread_groups,
+)
 from tidemark.session import ship_with_tasks
 
 ship_with_tasks(__name__)
@@ -57,13 +65,15 @@ class Model:
 @dataclass(frozen=True)
 class Family:
     """``fit(x, y, candidates)`` gives one model per candidate. ``predict(x, y, rows, candidates)``, if
-    given, gives their predictions for ``rows`` at less cost. ``untuned`` is the candidate for runs without
-    a search."""
+    given, gives their predictions for ``rows`` at less cost. ``from_moments(moments, candidates)``, if
+    given, fits from sums over the training rows, and the search then copies no rows. ``untuned`` is the
+    candidate for runs without a search."""
 
     name: str
     fit: Callable[[np.ndarray, np.ndarray, Sequence[Candidate]], list[Model]]
     predict: Callable[[np.ndarray, np.ndarray, np.ndarray, Sequence[Candidate]], np.ndarray] | None = None
     untuned: Candidate | None = None
+    from_moments: Callable[[Moments, Sequence[Candidate]], list[Model]] | None = None
 
     def predictions(self, x, y, rows, candidates: Sequence[Candidate]) -> np.ndarray:
         if self.predict is not None:
@@ -94,14 +104,13 @@ def untuned_candidates() -> list[Candidate]:
 # The families of the fixed grids ------------------------------------------------
 
 
-def _linear_fit(x: np.ndarray, y: np.ndarray, candidates: Sequence[Candidate]) -> list[Model]:
-    intercepts, weights, converged = solve(x, y, candidates)
+def _linear_from_moments(moments: Moments, candidates: Sequence[Candidate]) -> list[Model]:
+    intercepts, weights, converged = solve_moments(moments, candidates)
     return [Model(float(i), w, [], bool(c)) for i, w, c in zip(intercepts, weights, converged)]
 
 
-def _linear_predict(x, y, rows, candidates: Sequence[Candidate]) -> np.ndarray:
-    intercepts, weights, _ = solve(x, y, candidates)
-    return intercepts[:, None] + weights @ rows.T
+def _linear_fit(x: np.ndarray, y: np.ndarray, candidates: Sequence[Candidate]) -> list[Model]:
+    return _linear_from_moments(moments_of(x, y), candidates)
 
 
 def _scaled(tree: Tree, scale: float) -> Tree:
@@ -146,9 +155,14 @@ def _boosting(size: str, histogram: bool) -> tuple[Callable, Callable]:
 
 
 # The untuned candidates.
-register_family(Family("ridge", _linear_fit, _linear_predict, Candidate("ridge", (("alpha", 1.0),))))
 register_family(
-    Family("elasticnet", _linear_fit, _linear_predict, Candidate("elasticnet", (("alpha", 1.0), ("l1_ratio", 0.5))))
+    Family("ridge", _linear_fit, untuned=Candidate("ridge", (("alpha", 1.0),)), from_moments=_linear_from_moments)
+)
+register_family(
+    Family(
+        "elasticnet", _linear_fit, untuned=Candidate("elasticnet", (("alpha", 1.0), ("l1_ratio", 0.5))),
+        from_moments=_linear_from_moments,
+    )
 )
 register_family(
     Family(

@@ -97,8 +97,10 @@ def feature_columns(
     """
     skipped = {target, "year", "month", *exclude, *exclude_leaky}
     fields = [f for f in df.schema.fields if f.name not in skipped]
-    numeric = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
-    categorical = [f.name for f in fields if not isinstance(f.dataType, T.NumericType)]
+    # A flag is a number, 0 or 1.
+    plain = (T.NumericType, T.BooleanType)
+    numeric = [f.name for f in fields if isinstance(f.dataType, plain)]
+    categorical = [f.name for f in fields if not isinstance(f.dataType, plain)]
     return numeric, categorical
 
 

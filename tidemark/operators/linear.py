@@ -51,10 +51,9 @@ def grid(family: str, values: dict[str, Sequence]) -> list[Candidate]:
 LINEAR_CANDIDATES = [*grid("ridge", RIDGE_GRID), *grid("elasticnet", ELASTIC_NET_GRID)]
 
 
-def ridge_weights(x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> np.ndarray:
-    """Weights per alpha of min |y - xw|^2 + alpha |w|^2 on centred data."""
-    gram, moment = x.T @ x, x.T @ y
-    eye = np.eye(x.shape[1])
+def ridge_weights(gram: np.ndarray, moment: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """Weights per alpha of min |y - xw|^2 + alpha |w|^2 from x'x and x'y of centred data."""
+    eye = np.eye(len(moment))
     return np.stack([np.linalg.solve(gram + a * eye, moment) for a in alphas])
 
 
@@ -144,24 +143,46 @@ def stops(before, after, gram, moment, energy, l1, l2) -> np.ndarray:
     return small & (primal - dual < TOLERANCE * energy)
 
 
-def solve(
-    x: np.ndarray, y: np.ndarray, candidates: Sequence[Candidate]
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intercepts and weights of every candidate on one training set, and whether they converged."""
+@dataclass
+class Moments:
+    """What a linear fit needs of its training rows: their number, the features' means, products
+    around them (``gram``) and with the target (``moment``), and the target's ``level`` and squares
+    around it (``energy``)."""
+
+    rows: int
+    centre: np.ndarray
+    gram: np.ndarray
+    moment: np.ndarray
+    level: float
+    energy: float
+
+
+def moments_of(x: np.ndarray, y: np.ndarray) -> Moments:
     centre, level = x.mean(axis=0), y.mean()
     xc, yc = x - centre, y - level
-    weights = np.zeros((len(candidates), x.shape[1]))
+    return Moments(len(y), centre, xc.T @ xc, xc.T @ yc, float(level), float(yc @ yc))
+
+
+def solve_moments(m: Moments, candidates: Sequence[Candidate]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intercepts and weights of every candidate, and whether they converged."""
+    weights, converged = np.zeros((len(candidates), len(m.moment))), np.ones(len(candidates), bool)
     params = [dict(c.params) for c in candidates]
     ridge = [i for i, c in enumerate(candidates) if c.family == "ridge"]
-    net = [i for i, c in enumerate(candidates) if c.family == "elasticnet"]
     if ridge:
-        weights[ridge] = ridge_weights(xc, yc, np.array([params[i]["alpha"] for i in ridge]))
-    gram, moment, energy = xc.T @ xc, xc.T @ yc, float(yc @ yc)
-    converged = np.ones(len(candidates), bool)
-    for i in net:
-        penalty, ratio = params[i]["alpha"] * len(y), params[i]["l1_ratio"]
-        weights[i], converged[i] = elastic_net_weights(gram, moment, energy, penalty * ratio, penalty * (1 - ratio))
-    return level - weights @ centre, weights, converged
+        weights[ridge] = ridge_weights(m.gram, m.moment, np.array([params[i]["alpha"] for i in ridge]))
+    for i in (i for i, c in enumerate(candidates) if c.family == "elasticnet"):
+        penalty, ratio = params[i]["alpha"] * m.rows, params[i]["l1_ratio"]
+        weights[i], converged[i] = elastic_net_weights(
+            m.gram, m.moment, m.energy, penalty * ratio, penalty * (1 - ratio)
+        )
+    return m.level - weights @ m.centre, weights, converged
+
+
+def solve(
+    x: np.ndarray, y: np.ndarray, candidates: Sequence[Candidate]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intercepts and weights of every candidate on one training set, and whether they converged."""
+    return solve_moments(moments_of(x, y), candidates)
 
 
 def spread_groups(rows: DataFrame, *keys: str) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.expanding import cross_predict_expanding
 from tidemark.operators.features import feature_columns, panel_features, usable_rows
 from tidemark.operators.folds import MIN_TRAIN_MONTHS, VALID_MONTHS, expanding_folds, history_gate
 from tidemark.operators.forecast import HORIZON_MONTHS, annual_forecast, recursive_forecast
@@ -15,6 +16,7 @@ from tidemark.operators.importance import permutation_importance
 from tidemark.operators.families import (
     TREE_CANDIDATES,
     cross_predict,
+    families_of,
     fit_models,
     model_prediction,
     untuned_candidates,
@@ -97,8 +99,23 @@ class PanelForecast:
         return apply_preprocessor(folds, parameters, keys, self.features, [spec.date, "role", spec.target])
 
     def cross_predictions(self) -> DataFrame:
-        spec = self.spec
-        return cross_predict(self.fold_matrix(), spec.series, spec.date, spec.target, spec.candidates)
+        """Validation predictions of every candidate and fold.
+
+        Families that fit from moments read sums over growing prefixes of each series; the
+        others get the rows of every fold.
+        """
+        spec, parts = self.spec, []
+        additive = [c for c in spec.candidates if families_of([c])[c.family].from_moments is not None]
+        others = [c for c in spec.candidates if c not in additive]
+        if additive:
+            parts.append(
+                cross_predict_expanding(
+                    self.usable, spec.series, spec.date, spec.target, self.features, additive, spec.min_train, spec.valid
+                )
+            )
+        if others:
+            parts.append(cross_predict(self.fold_matrix(), spec.series, spec.date, spec.target, others))
+        return stack_frames(parts)
 
     def results(self) -> DataFrame:
         """Mean fold metrics of every candidate and series."""
