@@ -64,12 +64,16 @@ def lag_features(
     target: str,
     lags: Sequence[int] = LAGS,
     windows: Sequence[int] = ROLL_WINDOWS,
+    calendar: bool = False,
 ) -> DataFrame:
     """Lags, full-window rolling means of earlier rows and a seasonal difference.
 
     Lags count rows, not calendar months: a series that skips months reaches
-    further back. All columns share one exchange and one sort.
+    further back. With ``calendar`` they count months, see ``calendar_lag_features``.
+    All columns share one exchange and one sort.
     """
+    if calendar:
+        return calendar_lag_features(df, series, date, target, lags, windows)
     window = Window.partitionBy(series).orderBy(date)
     value = F.col(target)
     added = {f"{target}_lag_{k}": F.lag(value, k).over(window) for k in lags}
@@ -78,8 +82,46 @@ def lag_features(
     return df.withColumns(added)
 
 
-def panel_features(df: DataFrame, series: str, date: str, target: str) -> DataFrame:
-    return lag_features(calendar_features(df, date), series, date, target)
+def calendar_lag_features(
+    df: DataFrame,
+    series: str,
+    date: str,
+    target: str,
+    lags: Sequence[int] = LAGS,
+    windows: Sequence[int] = ROLL_WINDOWS,
+) -> DataFrame:
+    """The columns of ``lag_features`` by calendar month.
+
+    A lag is the value of the month so many months back, null where the series skips
+    it, and a rolling mean needs a value in every month of its window. Of several rows
+    in a month the mean counts, once. Rows without a date have no lags. Range frames on
+    the month's number share one exchange and one sort.
+    """
+    number, own, share = "_month_number", "_month_value", "_month_share"
+    month = Window.partitionBy(series, number)
+    placed = df.withColumn(number, F.year(date) * 12 + F.month(date))
+    placed = placed.withColumn(own, F.avg(target).over(month))
+    # A month's rows share its weight of one, so that it counts once in a window's sum.
+    placed = placed.withColumn(share, F.when(F.col(own).isNotNull(), 1 / F.count(F.lit(1)).over(month)))
+    window = Window.partitionBy(series).orderBy(number)
+    dated = F.col(number).isNotNull()
+
+    def back(k: int) -> Column:
+        return F.when(dated, F.avg(own).over(window.rangeBetween(-k, -k)))
+
+    def mean(w: int) -> Column:
+        frame = window.rangeBetween(-w, -1)
+        whole = F.round(F.sum(share).over(frame)) == w
+        return F.when(dated & whole, F.sum(F.col(own) * F.col(share)).over(frame) / w)
+
+    added = {f"{target}_lag_{k}": back(k) for k in lags}
+    added |= {f"{target}_roll_mean_{w}": mean(w) for w in windows}
+    added[f"{target}_seasonal_diff"] = F.col(target) - back(SEASON_LAG)
+    return placed.withColumns(added).drop(number, own, share)
+
+
+def panel_features(df: DataFrame, series: str, date: str, target: str, calendar: bool = False) -> DataFrame:
+    return lag_features(calendar_features(df, date), series, date, target, calendar=calendar)
 
 
 def lag_columns(columns: Sequence[str]) -> list[str]:

@@ -41,8 +41,8 @@ def with_order_chunks(
     Cut points are approximate quantiles of the whole order column (one pass,
     the driver sees only ``chunks`` numbers), so each chunk holds about 1/chunks
     of the rows. An order value so frequent that it fills a chunk of its own is
-    cut further by the first tie column. Where the cuts fall affects balance
-    only.
+    cut further by the first tie column, or without one, as its rows then have no
+    order, by a hash of the row. Where the cuts fall affects balance only.
     """
     spark = df.sparkSession
     count = max(2, chunks or int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -61,6 +61,11 @@ def with_order_chunks(
         part = _bucketed(tied, TIE_PLACE, "_part", finer)
         inside = F.when(F.col(PLACE).isin(heavy), F.col("_part")).otherwise(F.lit(0.0))
         out = part.withColumn(CHUNK, F.col(CHUNK) * (len(finer) + 2) + inside).drop(TIE_PLACE, "_part")
+    elif heavy:
+        # The row's place in its scan tells rows apart that agree in all columns.
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), *df.columns), F.lit(count))
+        inside = F.when(F.col(PLACE).isin(heavy), part).otherwise(0)
+        out = out.withColumn(CHUNK, F.col(CHUNK) * count + inside)
     return out.drop(PLACE)
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.operators.permute import permuted_rank
 
 
 def permutation_importance(
@@ -20,39 +23,53 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and population deviation of the R squared drop per (series, feature).
 
-    ``predict`` adds a ``prediction`` column to rows that have the feature
-    columns. Each feature is shuffled ``repeats`` times within its series, in
-    the order of a hash of (seed, feature, repeat, date), so a retried task
-    shuffles alike. A series' rows, one per month, are gathered once; the copies
-    made from them are scored and summed in the same stage, never shuffled.
+    ``predict`` adds a ``prediction`` column to rows that have the feature columns. Each
+    feature is shuffled ``repeats`` times within its series: a row's value goes to the row
+    at the place that a keyed permutation gives its rank, a join on (series, place). A value
+    travels alone, so the rows themselves are moved once, and no series is held in one
+    place, however long. The key names seed, feature and repeat, so reruns agree.
     """
     features = list(features)
-    columns = [F.col(date).alias("_date"), F.col(target).cast("double").alias("_y"), *[F.col(c) for c in features]]
-    gathered = rows.groupBy(series).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_rows"))
+    # Rows of one date are told apart by a digest of their values.
+    order = Window.partitionBy(series).orderBy(date, F.xxhash64(target, *features))
+    sizes = rows.groupBy(F.col(series).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = (
+        rows.select(
+            series, F.col(target).cast("double").alias("_y"), *[F.col(c) for c in features],
+            (F.row_number().over(order) - 1).cast("long").alias("_i"),
+        )
+        .join(sizes, F.col(series) == F.col("_of"))
+        .drop("_of")
+    )
 
-    # Copy -1 is the unshuffled table, scored along with the others.
-    which = F.concat(F.array(F.lit(-1)), F.sequence(F.lit(0), F.lit(len(features) - 1)))
-    trials = gathered.withColumn("_f", F.explode(which))
-    rounds = F.when(F.col("_f") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(repeats - 1)))
-    trials = trials.withColumn("_r", F.explode(rounds))
+    def is_number(c: str) -> bool:
+        return isinstance(rows.schema[c].dataType, (T.NumericType, T.BooleanType))
 
-    def place(row, i):
-        parts = [F.lit(str(seed)), F.col("_f").cast("string"), F.col("_r").cast("string"), row["_date"].cast("string")]
-        name = F.concat_ws("|", *parts)
-        return F.struct(F.md5(name).alias("h"), i.alias("i"))
+    def value(c: str) -> Column:
+        number = F.col(c).cast("double") if is_number(c) else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if is_number(c) else F.col(c).cast("string")
+        return F.struct(number.alias("number"), text.alias("text"))
 
-    donors = F.transform(F.array_sort(F.transform("_rows", place)), lambda p: p["i"])
+    values = F.array(*[F.struct(F.lit(k).alias("f"), value(c).alias("v")) for k, c in enumerate(features)])
+    single = ranked.select(series, "_i", "_n", F.explode(values).alias("_one")).select(
+        series, "_i", "_n", "_one.f", "_one.v", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r")
+    )
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("f").cast("string"), F.col("_r").cast("string"))
+    sent = single.select(
+        F.col(series).alias("_to"), permuted_rank(F.col("_i"), F.col("_n"), key).alias("_at"),
+        F.col("f").alias("_f"), "_r", F.col("v").alias("_v"),
+    )
+    met = ranked.join(sent, (F.col(series) == F.col("_to")) & (F.col("_i") == F.col("_at")))
 
-    def mixed(row, i):
-        donor = F.get("_rows", F.get("_donors", i))
-        values = [F.when(F.col("_f") == k, donor[c]).otherwise(row[c]).alias(c) for k, c in enumerate(features)]
-        return F.struct(row["_y"].alias("_y"), *values)
+    def mixed(k: int, c: str) -> Column:
+        kind = rows.schema[c].dataType
+        given = F.col("_v.number").cast(kind) if is_number(c) else F.col("_v.text").cast(kind)
+        return F.when(F.col("_f") == k, given).otherwise(F.col(c)).alias(c)
 
-    # Only the finished rows leave the array; the group's arrays stay behind.
-    copies = trials.withColumn("_donors", donors).select(
-        series, "_f", "_r", F.explode(F.transform("_rows", mixed)).alias("_p")
-    )
-    scored = predict(copies.select(series, "_f", "_r", "_p.*"))
+    copies = met.select(series, "_f", "_r", "_y", *[mixed(k, c) for k, c in enumerate(features)])
+    # Copy -1 is the unshuffled table, scored along with the others.
+    plain = ranked.select(series, F.lit(-1).alias("_f"), F.lit(0).alias("_r"), "_y", *features)
+    scored = predict(copies.union(plain))
 
     error = F.col("_y") - F.col("prediction")
     fits = scored.groupBy(series, "_f", "_r").agg(

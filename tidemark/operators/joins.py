@@ -49,6 +49,54 @@ def merge_on_keys(frames: Sequence[DataFrame], keys: Sequence[str], how: str = "
     return reduce(lambda a, b: merge_two(a, b, keys, how), frames)
 
 
+def heavy_keys(df: DataFrame, keys: Sequence[str], share: float, most: int = 256) -> list[int]:
+    """Hashes of the keys that hold more than ``share`` of the rows, found by a sketch of frequent items.
+
+    At most ``1 / share`` keys can; the sketch may name a few that hold a little less.
+    """
+    hashed = df.select(F.xxhash64(*keys).alias("k"))
+    top = F.call_function("approx_top_k", F.col("k"), F.lit(min(most, int(1 / share) + 1)), F.lit(16 * most))
+    found = hashed.agg(F.count("*").alias("n"), top.alias("top")).first()
+    return sorted(row["item"] for row in found["top"] or [] if row["count"] > share * found["n"])
+
+
+def merge_heavy(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "outer", share: float = 0.01, salts: int = 32
+) -> DataFrame:
+    """``merge_two`` where a key, null included, may hold a large share of the rows.
+
+    Adaptive execution does not split a full join's keys. So the keys that hold more than
+    ``share`` of either side are merged apart: those that both sides have match in all rows,
+    so an inner join does, the left rows dealt over ``salts`` parts and the right ones copied
+    to each; those of one side alone need no join. All other keys are merged as ever.
+    """
+    hot = sorted({*heavy_keys(left, keys, share), *heavy_keys(right, keys, share)})
+    if not hot:
+        return merge_two(left, right, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)
+    cold = merge_two(left.filter(~is_hot), right.filter(~is_hot), keys, how)
+    (l, r) = (side.filter(is_hot) for side in (left, right))
+    # As many rows as hot keys, 2 / share at most.
+    listed = [F.broadcast(side.select(*keys).distinct()) for side in (l, r)]
+
+    def matched(rows: DataFrame, other: DataFrame, kind: str) -> DataFrame:
+        named = other.select(*[F.col(k).alias(f"_of_{k}") for k in keys])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+        return rows.join(named, same, kind)
+
+    both_l, both_r = matched(l, listed[1], "left_semi"), matched(r, listed[0], "left_semi")
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    salted = merge_two(both_l.withColumn("_salt", deal), both_r.withColumn("_salt", parts), [*keys, "_salt"], "inner")
+    frames = [cold, salted.drop("_salt")]
+    # With an empty other side a merge only names and adds the columns.
+    if how in ("outer", "left"):
+        frames.append(merge_two(matched(l, listed[1], "left_anti"), r.limit(0), keys, "left"))
+    if how in ("outer", "right"):
+        frames.append(merge_two(l.limit(0), matched(r, listed[0], "left_anti"), keys, "right"))
+    return stack_frames(frames)
+
+
 def attach_dimension(facts: DataFrame, dimension: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Left join of dimension columns.
 

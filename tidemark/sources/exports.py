@@ -123,10 +123,16 @@ def read_export_folder(
     return rows.select(*[F.col(f"`{c}`") for c in wanted], "source_file", place.alias("source_row"))
 
 
-def read_table_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """One CSV file with a header; types are inferred only when no schema is given."""
+def read_table_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """One CSV file with a header; types are inferred only when no schema is given.
+
+    ``multi_line`` keeps quoted line breaks whole, which takes one task per file; turn it
+    off for a file without any, which then is read by as many tasks as it has splits.
+    """
     return spark.read.csv(
-        path, schema=schema, header=True, inferSchema=schema is None, escape='"', multiLine=True
+        path, schema=schema, header=True, inferSchema=schema is None, escape='"', multiLine=multi_line
     )
 
 

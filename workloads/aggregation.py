@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.distributions import density, histogram
-from tidemark.operators.joins import keep_top_groups, merge_on_keys, stack_frames, top_groups
+from tidemark.operators.distributions import binned_density, density, histogram
+from tidemark.operators.joins import keep_top_groups, merge_heavy, merge_on_keys, stack_frames, top_groups
 from tidemark.operators.quantiles import group_median, group_quantiles, trimmed_mean
 from tidemark.operators.rollup import (
     aggregate_to_month,
@@ -20,6 +20,7 @@ from tidemark.operators.rollup import (
     with_month_parts,
 )
 from tidemark.operators.selection import last_row, top_per_group
+from tidemark.operators.sketches import merged_sketches, month_sketches
 from tidemark.plans.reports import (
     home_price_points,
     monthly_prices,
@@ -28,6 +29,7 @@ from tidemark.plans.reports import (
     price_range,
     yearly_trends,
 )
+from tidemark.session import keep_table
 from workloads.base import Register, fixed, fixed_all, sql_fixed, table
 
 register = Register()
@@ -437,3 +439,76 @@ def top_monthly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         priced_parts(spark, sf_dir), "l_shipdate", ["p_name"], means={"price": "l_extendedprice"}
     )
     return fixed_all(monthly_prices(panel.drop("year_month"), "p_name", "price"), "price", digits=4)
+
+
+@register.add(
+    "binned_density",
+    f"""
+    WITH r AS (SELECT l_returnflag AS g, l_extendedprice AS v FROM lineitem),
+    b AS (SELECT g, count(*) AS n, min(v) AS lo, (max(v) - min(v)) / 199 AS step, max(v) - min(v) AS span,
+                 pow(count(*), -0.2) * stddev_samp(v) AS h FROM r GROUP BY g HAVING stddev_samp(v) > 0),
+    d AS (SELECT *, span / ceil(span / (h * sqrt(8 * 1e-6::DOUBLE))) AS cell FROM b),
+    s AS (SELECT g, CAST(floor((v - lo) / cell) AS BIGINT) AS at_, (v - lo) / cell - floor((v - lo) / cell) AS part
+          FROM r JOIN d USING (g)),
+    c AS (SELECT g, at_, sum(w) AS w FROM (SELECT g, at_, 1 - part AS w FROM s UNION ALL SELECT g, at_ + 1, part FROM s)
+          WHERE w > 0 GROUP BY ALL),
+    p AS (SELECT CAST(unnest(generate_series(0, 199)) AS INTEGER) AS point)
+    SELECT g AS l_returnflag, point, {sql_fixed("lo + point * step")} AS x,
+           {sql_fixed("sum(w * exp(-pow((lo + point * step - lo - at_ * cell) / h, 2) / 2)) / (n * h * sqrt(2 * pi())) * 1e4")}
+               AS density
+    FROM c JOIN d USING (g) CROSS JOIN p GROUP BY g, point, lo, step, n, h
+    """,
+)
+def price_curve_of_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The density of all line prices from counts on a grid, ten thousand times."""
+    out = binned_density(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice")
+    return out.withColumns({"x": fixed(F.col("x")), "density": fixed(F.col("density") * 1e4)})
+
+
+@register.add(
+    "sketch_ranges",
+    f"""
+    SELECT o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS year, count(o_totalprice) AS n,
+           {sql_fixed("sum(o_totalprice)", 2)} AS total, {sql_fixed("min(o_totalprice)", 2)} AS least,
+           {sql_fixed("max(o_totalprice)", 2)} AS most, count(DISTINCT o_custkey) AS distinct,
+           {sql_fixed("quantile_disc(o_totalprice, 0.5)", 2)} AS middle,
+           {sql_fixed("quantile_disc(o_totalprice, 0.95)", 2)} AS high
+    FROM orders GROUP BY ALL
+    """,
+)
+def sketch_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years from stored sketches of months; groups of up to 4096 values are exact, larger ones within 0.13 %."""
+    stored = keep_table(
+        month_sketches(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice", "o_custkey")
+    )
+    by_year = stored.withColumn("year", F.year("month"))
+    out = merged_sketches(by_year, ["o_orderpriority", "year"], {"middle": 0.5, "high": 0.95})
+    return fixed_all(out, "total", "least", "most", "middle", "high", digits=2)
+
+
+HEAVY_KEY = "CASE WHEN l_linenumber <= 2 THEN NULL WHEN l_linenumber = 3 THEN -1 ELSE l_suppkey END"
+
+
+@register.add(
+    "merge_heavy_keys",
+    f"""
+    WITH a AS (SELECT {HEAVY_KEY} AS k, l_orderkey, l_linenumber, l_partkey FROM lineitem),
+    b AS (SELECT s_suppkey + 5 AS k, s_name FROM supplier UNION ALL SELECT NULL, 'none ' || n_name FROM nation
+          UNION ALL SELECT -2, r_name FROM region)
+    SELECT a.k IS NULL AND b.k IS NULL AS no_key, coalesce(a.k, b.k) AS k, s_name, count(l_orderkey) AS n,
+           CAST(sum(l_partkey) AS BIGINT) AS parts
+    FROM a FULL JOIN b ON a.k IS NOT DISTINCT FROM b.k GROUP BY ALL
+    """,
+)
+def heavy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full merge in which a null key, and one that only one side has, hold a large share of the rows."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.expr(HEAVY_KEY).alias("k"), "l_orderkey", "l_linenumber", "l_partkey"
+    )
+    none = table(spark, sf_dir, "nation").select(F.lit(None).cast("long").alias("k"), F.concat(F.lit("none "), "n_name").alias("s_name"))
+    alone = table(spark, sf_dir, "region").select(F.lit(-2).cast("long").alias("k"), F.col("r_name").alias("s_name"))
+    names = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 5).alias("k"), "s_name")
+    merged = merge_heavy(lines, names.union(none).union(alone), ["k"], "outer")
+    return merged.groupBy("k", "s_name").agg(
+        F.count("l_orderkey").alias("n"), F.sum("l_partkey").alias("parts")
+    ).select(F.col("k").isNull().alias("no_key"), "k", "s_name", "n", "parts")

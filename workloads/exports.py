@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import KeyRule
@@ -17,9 +17,9 @@ from tidemark.plans.panel import (
     students_by_month,
     clean_students,
 )
-from tidemark.session import shared_folder
-from tidemark.sources.exports import read_export_folder
-from tidemark.sources.sinks import write_csv
+from tidemark.session import keep_table, shared_folder
+from tidemark.sources.exports import read_export_folder, read_table_csv
+from tidemark.sources.sinks import write_csv, write_per_series
 from workloads.base import Register, fixed, sql_fixed, table
 
 register = Register()
@@ -134,3 +134,61 @@ def folder_scan_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = students_by_month(clean_students(read_export_folder(spark, found, STUDENT_COLUMNS), OPTIONS))
     out = enrolled.drop("course").join(counted, ["month", "year", "combined_course"])
     return out.withColumn("student_price", fixed(F.col("student_price"), 4))
+
+
+@register.add(
+    "unread_counts",
+    """
+    SELECT 'courses' AS source, count(*) AS rows, count(*) FILTER (l_linenumber = 7) AS unread_dates,
+           count(*) FILTER (l_quantity > 40) AS unread_enrolled, count(*) FILTER (l_linenumber = 6) AS unread_student_price
+    FROM lineitem
+    UNION ALL
+    SELECT 'students', count(*), count(*) FILTER (l_linenumber = 5), NULL, NULL FROM lineitem WHERE l_linenumber < 7
+    """,
+)
+def unread_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What could not be read while a panel was built, with planted dates and prices that no layout fits."""
+    key = table(spark, sf_dir, "lineitem")
+    day, price = F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_extendedprice").cast("string")
+    courses = key.select(
+        F.concat(F.lit("part "), (F.col("l_partkey") % 20).cast("string")).alias("Course Type Name"),
+        F.when(F.col("l_linenumber") == 7, "soon").otherwise(day).alias("Start Date"),
+        F.when(F.col("l_quantity") <= 40, F.col("l_quantity").cast("string")).otherwise("many").alias("Enrolled"),
+        F.when(F.col("l_linenumber") == 6, "on request").when(F.col("l_linenumber") == 5, " ").otherwise(price).alias("Student Price"),
+        F.lit("Main St, United States").alias("Location"),
+    )
+    students = key.select(
+        F.when(F.col("l_linenumber") < 7, F.col("l_orderkey").cast("string")).alias("ID"),
+        F.concat(F.lit("part "), (F.col("l_partkey") % 20).cast("string")).alias("Course Type Name"),
+        F.when(F.col("l_linenumber") == 5, "1 Smarch").otherwise(day).alias("Course Start Date"),
+    )
+    seen = {"courses": Observation("courses"), "students": Observation("students")}
+    panel = build_panel(
+        courses, students, OPTIONS, first_year=1990, course_counts=seen["courses"], student_counts=seen["students"]
+    )
+    keep_table(panel)
+    names = ["rows", "unread_dates", "unread_enrolled", "unread_student_price"]
+    rows = [(source, *[seen[source].get.get(n) for n in names]) for source in seen]
+    return spark.createDataFrame(rows, "source string, " + ", ".join(f"{n} long" for n in names))
+
+
+@register.add("csv_round_trip", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV and read back by as many tasks as its files have splits."""
+    folder = f"{shared_folder(spark, 'csv')}/customer"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    write_csv(rows, folder)
+    return read_table_csv(spark, folder, rows.schema, multi_line=False)
+
+
+@register.add(
+    "per_series_files",
+    "SELECT n_name AS series, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey",
+)
+def per_series_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of files for every series, read back."""
+    folder = f"{shared_folder(spark, 'csv')}/series"
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("series"))
+    rows = table(spark, sf_dir, "customer").join(names, "c_nationkey").select("series", "c_custkey", "c_acctbal")
+    write_per_series(rows, folder, "series")
+    return read_table_csv(spark, folder, "c_custkey long, c_acctbal double, series string").select(*rows.columns)

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.expanding import block_rows, cross_predict_expanding, expanding_fills, fold_fills
 from tidemark.operators.features import (
     calendar_features,
     feature_columns,
@@ -24,8 +25,10 @@ from tidemark.operators.forecast import (
     with_year_month,
 )
 from tidemark.operators.importance import permutation_importance
+from tidemark.operators.joins import stack_frames
 from tidemark.operators.families import TREE_CANDIDATES, TREE_TYPE, cross_predict
 from tidemark.operators.linear import LINEAR_CANDIDATES, linear_prediction
+from tidemark.operators.permute import DIGITS
 from tidemark.operators.preprocess import FeatureSet, apply_preprocessor, fit_preprocessor
 from tidemark.operators.rollup import monthly_rollup
 from tidemark.operators.selection import (
@@ -39,7 +42,8 @@ from tidemark.operators.series import economic_features, pct_change, pivot_serie
 from tidemark.plans.enrichment import enrich_panel, with_date, with_event_flags
 from tidemark.plans.forecasting import ForecastSpec, PanelForecast
 from tidemark.plans.reports import actual_and_forecast
-from tidemark.session import keep_table
+from tidemark.session import keep_table, shared_folder
+from tidemark.sources.exports import read_table_csv
 from tidemark.sources.observations import name_series
 from workloads.base import Register, fixed, fixed_all, sql_fixed, table
 
@@ -315,6 +319,41 @@ def lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_all(lag_features(panel, SERIES, DATE, TARGET), *ROLL_NAMES)
 
 
+# Months that a series skips, and months with two rows.
+SKIPPED_SQL = f"""
+    {PANEL_SQL},
+    k AS (SELECT series, date, n_orders, CAST(year(date) * 12 + month(date) AS INTEGER) AS t FROM m
+          WHERE (year(date) * 12 + month(date)) % 11 <> 4),
+    g AS (SELECT * FROM k UNION ALL SELECT series, CAST(date + INTERVAL 9 DAY AS DATE), n_orders + 5, t FROM k WHERE t % 13 = 0),
+    a AS (SELECT series, t, avg(n_orders) AS v FROM g GROUP BY ALL)
+"""
+
+
+@register.add(
+    "calendar_lags",
+    f"""
+    WITH {SKIPPED_SQL}
+    SELECT g.series, g.date, g.n_orders,
+           {", ".join(f"{sql_fixed(f'max(a.v) FILTER (a.t = g.t - {k})')} AS n_orders_lag_{k}" for k in (1, 2, 3, 12))},
+           {", ".join(
+               f"CASE WHEN count(a.v) FILTER (a.t >= g.t - {w}) = {w} THEN "
+               + sql_fixed(f"avg(a.v) FILTER (a.t >= g.t - {w})") + f" END AS n_orders_roll_mean_{w}"
+               for w in (3, 12)
+           )},
+           {sql_fixed("g.n_orders - max(a.v) FILTER (a.t = g.t - 12)")} AS n_orders_seasonal_diff
+    FROM g LEFT JOIN a ON a.series = g.series AND a.t BETWEEN g.t - 12 AND g.t - 1
+    GROUP BY g.series, g.date, g.n_orders, g.t
+    """,
+)
+def calendar_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lags by calendar month of series that skip months and have months with two rows."""
+    t = F.year(DATE) * 12 + F.month(DATE)
+    panel = month_panel(spark, sf_dir).select(SERIES, DATE, TARGET).filter(t % 11 != 4)
+    twice = panel.filter(t % 13 == 0).select(SERIES, F.date_add(DATE, 9).alias(DATE), (F.col(TARGET) + 5).alias(TARGET))
+    out = lag_features(panel.union(twice), SERIES, DATE, TARGET, calendar=True)
+    return fixed_all(out, *LAG_NAMES, *ROLL_NAMES, "n_orders_seasonal_diff")
+
+
 @register.add(
     "usable_rows",
     f"""
@@ -369,16 +408,19 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 SMALL_SET = FeatureSet(["n_orders_lag_1", "n_orders_lag_12", "mean_price"], ["quarter_name"])
 
 
-def small_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds whose price is unknown in March and whose label is unknown in June."""
+def small_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose price is unknown in March and whose label is unknown in June."""
     month = F.month(DATE)
-    panel = usable_panel(spark, sf_dir).withColumns(
+    return usable_panel(spark, sf_dir).withColumns(
         {
             "mean_price": F.when(month != 3, F.col("mean_price")),
             "quarter_name": F.when(month != 6, F.concat(F.lit("Q"), F.quarter(DATE))),
         }
     )
-    return expanding_folds(panel, SERIES, DATE)
+
+
+def small_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expanding_folds(small_panel(spark, sf_dir), SERIES, DATE)
 
 
 SMALL_SQL = f"""
@@ -425,6 +467,32 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register.add(
+    "expanding_fills",
+    f"""
+    WITH {FOLDS_SQL},
+    z AS (SELECT series, fold, CAST(n_orders_lag_1 AS DOUBLE) AS a, CASE WHEN month(date) <> 3 THEN mean_price END AS c,
+                 CASE WHEN month(date) <> 6 THEN 'Q' || quarter(date) END AS q FROM x WHERE role = 'train'),
+    k AS (SELECT series, fold, quantile_cont(a, 0.5) AS ma, quantile_cont(c, 0.5) AS mc FROM z GROUP BY ALL),
+    q AS (SELECT series, fold, arg_min(q, (-n, q)) AS mode, array_to_string(list_sort(list(q)), ',') AS categories
+          FROM (SELECT series, fold, q, count(*) AS n FROM z WHERE q IS NOT NULL GROUP BY ALL) GROUP BY ALL)
+    SELECT series, fold, {sql_fixed("ma")} AS median_a, {sql_fixed("mc")} AS median_c, mode, categories
+    FROM k JOIN q USING (series, fold)
+    """,
+)
+def growing_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians and modes of all folds from one pass over each series."""
+    blocks = block_rows(small_panel(spark, sf_dir), SERIES, DATE, TARGET, SMALL_SET)
+    return fold_fills(expanding_fills(blocks, SMALL_SET), SERIES).select(
+        SERIES,
+        "fold",
+        fixed(F.col("medians")[0]).alias("median_a"),
+        fixed(F.col("medians")[2]).alias("median_c"),
+        F.col("modes")[0].alias("mode"),
+        F.array_join(F.col("categories")[0], ",").alias("categories"),
+    )
+
+
 @register.add(
     "standardised_rows",
     f"""
@@ -524,6 +592,29 @@ def winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_all(best_models(naive_results(spark, sf_dir), SERIES), "best_rmse", "best_mae", "best_mape")
 
 
+GRID = tuple(f"{n}_{side}" for n in ("roll_mean_12", "lag_12", "lag_1", "roll_mean_3") for side in ("second", "first"))
+
+
+@register.add(
+    "tied_grid",
+    f"""
+    WITH {NAIVE_SQL},
+    t AS (SELECT series, model_name || '_' || side AS model_name, rmse_mean, mae_mean, mape_mean,
+                 list_position({list(GRID)!r}, model_name || '_' || side) AS place
+          FROM mm, (SELECT unnest(['first', 'second']) AS side))
+    SELECT series, model_name AS best_model_name, {sql_fixed("rmse_mean")} AS best_rmse,
+           {sql_fixed("mae_mean")} AS best_mae, {sql_fixed("mape_mean")} AS best_mape
+    FROM t QUALIFY row_number() OVER (PARTITION BY series ORDER BY rmse_mean, mae_mean, mape_mean, place) = 1
+    """,
+)
+def tied_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate twice with equal scores: the first one of the grid wins."""
+    sides = F.explode(F.array(F.lit("first"), F.lit("second"))).alias("side")
+    twice = naive_results(spark, sf_dir).select("*", sides)
+    twice = twice.withColumn("model_name", F.concat_ws("_", "model_name", "side")).drop("side")
+    return fixed_all(best_models(twice, SERIES, GRID), "best_rmse", "best_mae", "best_mape")
+
+
 # One standardised feature has closed-form ridge and elastic-net weights.
 ONE_FEATURE = FeatureSet(["n_orders_lag_12"])
 
@@ -557,10 +648,8 @@ ONE_FEATURE = FeatureSet(["n_orders_lag_12"])
 )
 def one_feature_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 24 linear candidates on one feature, checked against closed forms."""
-    folds, keys = expanding_folds(usable_panel(spark, sf_dir), SERIES, DATE), [SERIES, "fold"]
-    fitted = fit_preprocessor(folds.filter(F.col("role") == "train"), keys, ONE_FEATURE)
-    matrix = apply_preprocessor(folds, fitted, keys, ONE_FEATURE, [DATE, "role", TARGET])
-    scored_rows = cross_predict(matrix, SERIES, DATE, TARGET)
+    rows = usable_panel(spark, sf_dir)
+    scored_rows = cross_predict_expanding(rows, SERIES, DATE, TARGET, ONE_FEATURE, LINEAR_CANDIDATES)
     by = [SERIES, "model_name"]
     return fixed_all(mean_metrics(fold_metrics(scored_rows, by), by), *METRIC_COLUMNS)
 
@@ -604,21 +693,36 @@ def two_feature_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_all(mean_metrics(fold_metrics(scored_rows, by), by), *METRIC_COLUMNS)
 
 
+def rank_shift_sql(turn: int, half: str) -> str:
+    return f"('0x' || substr(md5(key || '|{turn}|' || {half}), 1, {DIGITS}))::BIGINT"
+
+
 @register.add(
     "importance_fixed_model",
     f"""
-    WITH {FEATURES_SQL},
+    WITH RECURSIVE {FEATURES_SQL},
     u AS (SELECT series, date, CAST(n_orders AS DOUBLE) AS y, CAST(n_orders_lag_1 AS DOUBLE) AS a,
                  CAST(n_orders_lag_12 AS DOUBLE) AS b
           FROM f WHERE n_orders_lag_12 IS NOT NULL AND n_orders_roll_mean_12 IS NOT NULL),
     rows_ AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS i FROM u),
-    trials AS (SELECT f, r FROM (SELECT unnest([0, 1]) AS f), (SELECT unnest(range(0, 5)) AS r)),
-    places AS (SELECT series, f, r, i, row_number() OVER (PARTITION BY series, f, r
-                   ORDER BY md5('42|' || f || '|' || r || '|' || CAST(date AS VARCHAR)), i) AS at
-               FROM rows_, trials),
+    sizes AS (SELECT series, n, CAST(ceil(sqrt(n)) AS BIGINT) AS wide, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS high
+              FROM (SELECT series, count(*) AS n FROM rows_ GROUP BY series)),
+    trials AS (SELECT *, '42|' || f || '|' || r AS key
+               FROM sizes, (SELECT unnest([0, 1]) AS f), (SELECT unnest(range(0, 5)) AS r)),
+    s0 AS (SELECT *, x % wide AS p, x // wide AS q FROM (SELECT *, unnest(range(wide * high)) AS x FROM trials)),
+    s1 AS (SELECT * REPLACE ((p + {rank_shift_sql(0, "q")}) % wide AS p) FROM s0),
+    s2 AS (SELECT * REPLACE ((q + {rank_shift_sql(1, "p")}) % high AS q) FROM s1),
+    s3 AS (SELECT * REPLACE ((p + {rank_shift_sql(2, "q")}) % wide AS p) FROM s2),
+    s4 AS (SELECT * REPLACE ((q + {rank_shift_sql(3, "p")}) % high AS q) FROM s3),
+    images AS (SELECT series, f, r, n, x, q * wide + p AS y FROM s4),
+    walks AS (SELECT * FROM images WHERE x < n
+              UNION ALL
+              SELECT w.series, w.f, w.r, w.n, w.x, i.y
+              FROM walks w JOIN images i ON i.series = w.series AND i.f = w.f AND i.r = w.r AND i.x = w.y WHERE w.y >= w.n),
+    places AS (SELECT series, f, r, x + 1 AS i, y + 1 AS at_ FROM walks WHERE y < n),
     mixed AS (SELECT o.series, p.f, p.r, o.y, CASE WHEN p.f = 0 THEN d.a ELSE o.a END AS a,
                      CASE WHEN p.f = 1 THEN d.b ELSE o.b END AS b
-              FROM places p JOIN rows_ o ON o.series = p.series AND o.i = p.at
+              FROM places p JOIN rows_ o ON o.series = p.series AND o.i = p.at_
                             JOIN rows_ d ON d.series = p.series AND d.i = p.i),
     scores AS (SELECT series, f, r, 1 - sum((y - 3 - 0.4 * a - 0.55 * b) ** 2) / (var_pop(y) * count(*)) AS s
                FROM mixed GROUP BY ALL),
@@ -926,6 +1030,33 @@ def tree_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_forecast(spark, sf_dir, linear=(), trees=TREE_CANDIDATES).best_forecast()
 
 
+@register.add(
+    "saved_tables",
+    f"""
+    WITH {FEATURES_SQL},
+    u AS (SELECT series, count(*) AS n FROM f
+          WHERE n_orders_lag_12 IS NOT NULL AND n_orders_roll_mean_12 IS NOT NULL GROUP BY series HAVING count(*) >= 27),
+    e AS (SELECT series, max(date) AS last FROM m GROUP BY series),
+    y AS (SELECT DISTINCT series, year(last + INTERVAL (k) MONTH) AS year
+          FROM e JOIN u USING (series), (SELECT unnest(range(1, 13)) AS k))
+    SELECT 'model_results' AS name, series, CAST(4 AS BIGINT) AS rows FROM u
+    UNION ALL SELECT 'best_models', series, 1 FROM u
+    UNION ALL SELECT 'monthly_forecast', series, 12 FROM u
+    UNION ALL SELECT 'annual_forecast', series, count(*) FROM y GROUP BY series
+    """,
+)
+def saved_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables that a run writes, read back: their rows per series."""
+    folder = shared_folder(spark, "run")
+    order_forecast(spark, sf_dir, linear=RIDGE, trees=()).save(folder)
+    names = ("model_results", "best_models", "monthly_forecast", "annual_forecast")
+    parts = [
+        read_table_csv(spark, f"{folder}/{n}").groupBy(SERIES).agg(F.count("*").alias("rows")).withColumn("name", F.lit(n))
+        for n in names
+    ]
+    return stack_frames(parts).select("name", SERIES, "rows")
+
+
 @register.add("untuned_cv")
 def untuned_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate of every family, as without a search."""
