@@ -50,6 +50,7 @@ STRONG = (
     # Runs are taken whole, so asking for the length in the pattern drops the same ones.
     Kind("hex", r"[0-9a-f]{24,}", 0, 24, "secret"),
 )
+SCHEME = r"(?<![A-Za-z0-9+.-])[a-z][a-z0-9+.-]++://"
 WEAK = (
     Kind(
         "ident",
@@ -59,15 +60,19 @@ WEAK = (
         3,
         "ident",
     ),
-    # A letter and a digit must stand among the first characters.
+    # A run with a letter and a digit, wherever in it they stand; each run is looked at once, at its start.
     Kind(
         "opaque",
-        r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[0-9+/_=-]{0,40}[A-Za-z])[A-Za-z0-9+/_=-]{16,}",
+        r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}",
         0,
         16,
         "secret",
     ),
-    Kind("endpoint", r"\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D\"'<>]+", 0, 8, "endpoint"),
+    Kind("endpoint", SCHEME + r"[^\x20\x09-\x0D\"'<>]+", 0, 8, "endpoint"),
+    # Name, secret and endpoint in one: the parts complete each other, so it is always reported.
+    Kind(
+        "login", SCHEME + r"[^\x20\x09-\x0D\"'<>:/@]+:[^\x20\x09-\x0D\"'<>/@]+@[^\x20\x09-\x0D\"'<>]+", 0, 8, "login"
+    ),
 )
 KINDS = STRONG + WEAK
 ROLES = ("ident", "secret", "endpoint")
@@ -126,16 +131,17 @@ def matches(text: Column, kind: Kind, rank: int) -> Column:
 
 
 def strong_spans(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` and the sorted arrays ``base`` (strong spans) and ``weak`` (free weak parts)."""
+    """``docs`` and sorted arrays: ``base`` (strong spans), ``weak`` (free weak parts), ``touched``
+    (endpoints that a strong span overlaps, evidence for their neighbours) and ``logins``."""
     for rank, kind in enumerate(KINDS):
         docs = docs.withColumn(f"_{kind.name}", matches(text, kind, rank))
     base = F.sort_array(F.concat(*[F.col(f"_{k.name}") for k in STRONG]))
-    loose = F.sort_array(F.concat(*[F.col(f"_{k.name}") for k in WEAK]))
-    docs = docs.withColumn("base", base).withColumn("loose", loose)
-    free = F.when(F.size("loose") == 0, F.col("loose")).otherwise(
-        F.filter("loose", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    )
-    return docs.withColumn("weak", free).drop("loose", *[f"_{k.name}" for k in KINDS])
+    loose = F.sort_array(F.concat(*[F.col(f"_{k.name}") for k in WEAK if k.role in ROLES]))
+    docs = docs.withColumn("base", base).withColumn("loose", loose).withColumn("logins", F.col("_login"))
+    meets = lambda w: F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    free = F.when(F.size("loose") == 0, F.col("loose")).otherwise(F.filter("loose", lambda w: ~meets(w)))
+    docs = docs.withColumns({"weak": free, "touched": F.filter("_endpoint", meets)})
+    return docs.drop("loose", *[f"_{k.name}" for k in KINDS])
 
 
 def role_of(rank: Column) -> Column:
@@ -148,8 +154,10 @@ def linked_parts(found: DataFrame, keys: list[str], scope: int) -> DataFrame:
 
     Rows of equal keys hold the same text, so their parts count once.
     """
-    parts = found.filter(F.size("weak") > 0).select(*keys, F.explode(F.concat("base", "weak")).alias("part"))
-    parts = parts.select(*keys, "part.*").withColumn("role", role_of(F.col("rank")))
+    told = [("base", False), ("weak", True), ("touched", False)]
+    every = F.concat(*[F.arrays_zip(F.col(c).alias("part"), F.array_repeat(F.lit(o), F.size(c)).alias("own")) for c, o in told])
+    parts = found.filter(F.size("weak") > 0).select(*keys, F.explode(every).alias("at"))
+    parts = parts.select(*keys, "at.part.*", "at.own").withColumn("role", role_of(F.col("rank")))
     cell = lambda at: F.floor(at / scope)
     posts = parts.select(
         *keys, "role", F.explode(F.array(
@@ -164,7 +172,7 @@ def linked_parts(found: DataFrame, keys: list[str], scope: int) -> DataFrame:
     ]
     cells = posts.groupBy(*keys, "cell").agg(*bounds)
 
-    weak = parts.filter(F.col("rank") >= len(STRONG))
+    weak = parts.filter("own")
     reach = F.array(
         F.struct(cell(F.col("start")).alias("cell"), F.lit(0).alias("side")),
         F.struct((cell(F.col("start")) - 1).alias("cell"), F.lit(1).alias("side")),
@@ -218,7 +226,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
     )
     joined = found.join(links, F.col("id").eqNullSafe(F.col("link_id")) & (F.col("mark") == F.col("link_mark")), "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    every = F.sort_array(F.concat("base", F.coalesce("linked", none)))
+    every = F.sort_array(F.concat("base", F.coalesce("linked", none), "logins"))
     return joined.select("id", "mark", "base", every.alias("spans"))
 
 
