@@ -75,3 +75,13 @@ def test_no_labels_and_empty_table(spark, empty):
     model = toxicity.fit(toxicity.labelled_rows(df, marks, "text", "doc_id", "toxic", 100))
     assert model.weights == {} and {r.predicted for r in toxicity.score_toxicity(df, model).collect()} == {0}
     assert toxicity.score_toxicity(empty, model).count() == 0
+
+
+def test_repeated_ids_do_not_multiply(spark):
+    """Many texts of one id are one text of the sample, not pairs of all of them."""
+    rows = [(1, f"text {i} of one id", None, None) for i in range(300)] + [(i, f"own text {i}", None, None) for i in range(2, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    sample = toxicity.labelled_rows(make(spark, rows), labels, "text", "doc_id", "toxic", 1000)
+    assert sample.count() == 39 and sorted(sample.columns) == ["body", "id", "toxic"]
+    again = toxicity.labelled_rows(make(spark, rows[::-1]), labels, "text", "doc_id", "toxic", 1000)
+    assert {r.body for r in again.collect()} == {r.body for r in sample.collect()}

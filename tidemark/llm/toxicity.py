@@ -31,12 +31,11 @@ ship_with_tasks(__name__)
 BEGINNINGS = (4, 5, 6)
 #: Weight of the Dirichlet prior of a token, split as the classes' totals are.
 PRIOR = 1.0
-#: Least evidence and log-odds of a token that counts as toxic, and the most tokens
-#: kept. The evidence is a log-likelihood ratio; chance gives 16 to one token in
-#: nine million.
+#: Least evidence and log-odds of a token that counts as toxic. The evidence is a
+#: log-likelihood ratio; chance gives 16 to one token in nine million, so the tokens kept
+#: are no more than the bounded sample of labelled texts bears out.
 LEAST_EVIDENCE = 16.0
 LEAST_ODDS = 2.0
-MODEL_TOKENS = 100_000
 #: Score of a token outside the model.
 OTHER = -0.5
 LETTERS = r"[\p{L}\p{N}]+"
@@ -107,7 +106,6 @@ def learn_tokens(labelled: DataFrame) -> dict[str, float]:
     weights: dict[str, float] = {}
     for each in tables:
         found = weighed(each, *totals).filter((F.col("evidence") >= LEAST_EVIDENCE) & (F.col("odds") >= LEAST_ODDS))
-        found = found.orderBy(F.col("evidence").desc(), "token").limit(MODEL_TOKENS)
         weights.update({r["token"]: r["odds"] for r in found.collect()})
     return weights
 
@@ -253,7 +251,9 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(labelled: DataFrame) -> Model:
     """A model from rows of ``id``, ``body`` and ``toxic`` (0 or 1), already bounded in number."""
-    labelled = keep_table(labelled.filter("toxic is not null"))
+    # Each row has a number of its own, as ids may repeat.
+    labelled = labelled.filter("toxic is not null").select("body", "toxic")
+    labelled = keep_table(labelled.withColumn("id", F.monotonically_increasing_id()))
     weights = learn_tokens(labelled)
     if not weights:
         return Model()
@@ -280,7 +280,8 @@ def labelled_rows(
     """A bounded sample of labelled texts: the ``fit_rows`` labels with the least hash of their id.
 
     Rows of labels with a null id or label are left out; of several labels of one
-    id the greatest holds.
+    id the greatest holds, of several texts the one with the least hash, so there are no
+    more texts than labels.
     """
     chosen = (
         labels.filter(F.col(id_column).isNotNull() & F.col(label).isNotNull())
@@ -291,7 +292,8 @@ def labelled_rows(
     )
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text).alias("body"))
     # At most fit_rows pairs of numbers are sent to every task.
-    return rows.join(F.broadcast(keep_table(chosen)), "id")
+    met = rows.join(F.broadcast(keep_table(chosen)), "id")
+    return met.groupBy("id", "toxic").agg(F.min_by("body", F.struct(F.xxhash64("body"), "body")).alias("body"))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", id_column: str = "doc_id") -> DataFrame:
