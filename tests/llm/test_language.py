@@ -67,3 +67,20 @@ def test_a_text_without_letters_has_no_language():
     for text in ("½ ² ① 123 _", "", "...", "\u0301"):
         assert encoders.judge(text)[:2] == ("und", 0.0)
     assert encoders.judge("½ kano")[0] == "xx"
+
+
+def test_a_scarce_language_costs_the_others_nothing(spark):
+    rows = corpus(300, 4)
+    rare = [(9000, "zwak qorv blyx " * 4 + "tumpf", "rare", None)]
+    alone, joined = (language.fit_dictionaries(make(spark, r)) for r in (rows, rows + rare))
+    assert sorted(joined) == ["rare", "xx", "yy", "zz"] and len(joined["rare"]) < 100
+    assert {len(joined[n]) for n in ("xx", "yy", "zz")} == {len(alone[n]) for n in ("xx", "yy", "zz")}
+    truth = corpus(200, 5)
+    judged = {r.id: r.lang_pred for r in language.identify_language(make(spark, truth), joined).collect()}
+    assert sum(judged[d] == l for d, _, l, _ in truth) / len(truth) > 0.97
+
+
+def test_rows_that_share_one_id_are_sampled(spark):
+    rows = [(7 if lang == "xx" else None if lang == "yy" else d, t, lang, s) for d, t, lang, s in corpus(300, 6)]
+    found = language.fit_dictionaries(make(spark, rows), rows_per_language=20)
+    assert sorted(found) == ["xx", "yy", "zz"] and min(map(len, found.values())) > 1000

@@ -6,8 +6,9 @@ with every dictionary; the language with the fewest bytes in sum wins. Blocks an
 distinct words keep a long or repetitive text from becoming its own dictionary. A
 text whose margin to the runner-up is narrow is rejected.
 
-All dictionaries have one length and one set of compression parameters, since
-sizes are compared between them. Sample pieces that the other half of the sample
+Dictionaries have one length and one set of compression parameters, since sizes are
+compared between them; a language with little sample text keeps its shorter one and
+costs the others nothing. Sample pieces that the other half of the sample
 takes for another language, such as quoted passages, are left out.
 """
 
@@ -30,8 +31,10 @@ ship_with_tasks(__name__)
 UNKNOWN = "und"
 #: Words of a block that is encoded at once.
 BLOCK = 512
-#: Fewest bytes of a dictionary, and times that the sample is cleaned.
-LEAST_DICTIONARY = 64
+#: Fewest bytes of a dictionary (the format's), and times that the sample is cleaned.
+LEAST_DICTIONARY = 8
+#: Dictionaries of at least this share of the longest one are cut to one length.
+COMPARABLE = 0.5
 CLEANINGS = 2
 #: Bytes of difference that make a language e times less likely.
 SCALE = 4.0
@@ -81,8 +84,8 @@ def fit_dictionaries(
 ) -> dict[str, bytes]:
     """A dictionary per language from a bounded sample of labelled rows.
 
-    The sample takes the ``rows_per_language`` rows with the least hash of their id
-    and from each ``chars_per_row`` characters around its middle. Rows with a null
+    The sample takes the ``rows_per_language`` rows with the least hash of their id and
+    text, and from each ``chars_per_row`` characters around its middle. Rows with a null
     language or text teach nothing; equal pieces count once. What reaches the driver
     is at most the number of languages times both bounds.
     """
@@ -90,7 +93,7 @@ def fit_dictionaries(
     start = F.greatest(F.lit(1), ((F.length(F.col(text)) - chars_per_row) / 2).cast("int"))
     drawn = usable.select(
         F.col(lang).alias("lang"),
-        F.xxhash64(F.col(id_column), F.lit("sample")).alias("draw"),
+        F.xxhash64(F.col(id_column), F.col(text), F.lit("sample")).alias("draw"),
         F.substring(F.col(text), start, F.lit(chars_per_row)).alias("piece"),
     )
     # Draws are evenly spread, so a language's least ones lie below a line that follows
@@ -112,8 +115,14 @@ def fit_dictionaries(
     for _ in range(CLEANINGS):
         kept = cleaned(pieces, kept)
     joined = {name: " ".join(pieces[name][i] for i in kept[name]).encode("utf-8", "surrogatepass") for name in kept}
-    usable_size = [len(c) for c in joined.values() if len(c) >= LEAST_DICTIONARY]
-    return {name: c[: min(usable_size)] for name, c in sorted(joined.items()) if len(c) >= LEAST_DICTIONARY}
+    return levelled({name: c for name, c in sorted(joined.items()) if len(c) >= LEAST_DICTIONARY})
+
+
+def levelled(contents: dict[str, bytes]) -> dict[str, bytes]:
+    """Contents of comparable length cut to the shortest of them; scarce ones as they are."""
+    most = max(map(len, contents.values()), default=0)
+    cut = min((len(c) for c in contents.values() if len(c) >= COMPARABLE * most), default=0)
+    return {name: c[:cut] for name, c in contents.items()}
 
 
 def cleaned(pieces: dict[str, list[str]], kept: dict[str, list[int]]) -> dict[str, list[int]]:
@@ -125,8 +134,7 @@ def cleaned(pieces: dict[str, list[str]], kept: dict[str, list[int]]) -> dict[st
             for name in pieces
         }
         content = {name: c for name, c in content.items() if len(c) >= LEAST_DICTIONARY}
-        cut = min(map(len, content.values()), default=0)
-        encoders = Encoders({name: c[:cut] for name, c in content.items()})
+        encoders = Encoders(levelled(content))
         for name in pieces:
             for i in range(1 - half, len(pieces[name]), 2):
                 if name not in content or encoders.judge(pieces[name][i])[0] == name:
