@@ -36,13 +36,38 @@ def test_measures_match_brute_force(spark, prose):
 
 def test_order_follows_rejection_per_second(spark, monkeypatch):
     rules = [quality.Rule(n, lambda t, s=s: F.length(t) < s) for n, s in (("none", 0), ("some", 3), ("all", 99))]
-    clock = iter(range(100))
-    monkeypatch.setattr(quality.time, "perf_counter", lambda: next(clock))
     df = spark.createDataFrame([("a",), ("abcd",), ("abcde",)], "text string")
-    scored = quality.estimate(df, rules, "text")
-    assert [round(s, 3) for _, _, s in scored] == [0.0, 0.333, 1.0]
-    monkeypatch.setattr(quality, "estimate", lambda *a: scored)
-    assert [r.name for r in quality.ordered_rules(df, rules)] == ["all", "some", "none"]
+    scored = quality.estimate(df, rules, F.col("text"))
+    assert [round(s, 3) for _, _, s in scored] == [0.0, 0.333, 1.0] and all(c > 0 for _, c, _ in scored)
+    # Costs of the idle pass, then of each rule; "all" costs 60 times what "some" does.
+    passes = iter([(5.0, 0.0), (6.0, 0.0), (5.1, 0.333), (11.0, 1.0)])
+    monkeypatch.setattr(quality, "timed", lambda *a: next(passes))
+    costs = quality.estimate(df, rules, F.col("text"))
+    assert [round(c * 3, 6) for _, c, _ in costs] == [1.0, 0.1, 6.0]
+    monkeypatch.setattr(quality, "estimate", lambda *a: costs)
+    assert [r.name for r in quality.ordered_rules(df, rules, share=1.0)] == ["some", "all", "none"]
+
+
+def test_a_costly_rule_is_worked_out_for_survivors_only(spark):
+    """The last rule fails the job on any row that an earlier one has rejected."""
+    short = quality.Rule("short", lambda t: F.length(t) < 3)
+    marked = quality.Rule("marked", lambda t: F.contains(t, F.lit("#")))
+    costly = quality.Rule(
+        "costly", lambda t: F.when(short.rejects(t) | marked.rejects(t), F.raise_error(F.lit("asked")).cast("boolean")).otherwise(F.length(t) > 8)
+    )
+    texts = ["a", "", "abc", "abc#", "abcdefghij", "abcdef", "#"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rules = [short, marked, costly]
+    judged = df.select(quality.cascade(rules, F.col("text")).alias("verdict"))
+    asked = {r.rule: (r.asked, r.rejected) for r in quality.asked_rows(judged, rules).collect()}
+    assert asked == {"short": (7, 3), "marked": (4, 1), "costly": (3, 1)}
+
+
+def test_few_trigrams(spark):
+    texts = ["a b c " * 40, "one two", "", "a b c d e f g h", "x " * 30, " ".join(f"w{i}" for i in range(60))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in df.select(quality.few_trigrams(F.col("text"))).collect()]
+    assert got == [True, False, False, False, True, False]
 
 
 def test_any_order_keeps_the_same_rows(spark, prose):
