@@ -221,3 +221,24 @@ def test_no_pair_at_the_similarity_is_missed(spark):
     assert 0.8 <= jaccard(rows[0][1], rows[1][1]) < 0.81
     df = spark.createDataFrame([(d, t, "e") for d, t in rows], SCHEMA)
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [2 * i for i in range(400)]
+
+
+def test_parity_fingerprints_never_differ_more_than_their_sets():
+    draw = np.random.default_rng(4)
+    for n, m, lanes in ((5, 4, 1), (60, 66, 1), (900, 1000, 8), (1, 1, 8)):
+        pool = draw.integers(-(2**62), 2**62, n + m)
+        left, right = np.unique(pool[:n]), np.unique(pool[n // 2 : n // 2 + m])
+        apart = len(np.setxor1d(left, right))
+        prints = [simhash.parity(s, lanes)[None, :] for s in (left, right)]
+        assert simhash.differing(*prints)[0] <= apart
+        assert simhash.differing(prints[0], prints[0])[0] == 0
+    sizes = np.array([10, 10, 9, 8, 7])
+    # Of 10 and 8 shingles similar sets may differ in 2, of 10 and 10 in 2 of 20 by the bound of 2.2.
+    assert simhash.near_sets(sizes, np.full(5, 10), np.array([2, 3, 2, 2, 0]), 0.8).tolist() == [True, False, True, True, False]
+
+
+def test_a_crowded_key_is_compared_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 5)
+    rows = similar_rows(25)
+    df = spark.createDataFrame([(d, t, "e") for d, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == brute_kept(rows)

@@ -13,7 +13,9 @@ the components unchanged.
 
 ``drop_near_duplicates``: a prefix join on the sets themselves. A text is listed
 under the rarest of its shingles, so many that two sets of the similarity share
-one of them, and texts that meet are compared shingle by shingle.
+one of them. Texts that meet are told apart by the Hamming distance of parity
+fingerprints, which is never more than the number of shingles in one set alone, and what
+is left is compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ SEED = 42
 SAMPLE_ROWS, SAMPLE_SHARE, COMMON = 20_000, 16, 200_000
 #: Texts of a frequent shingle that are dealt to one part, and texts compared with one at a time.
 HEAVY, LEAVES = 20_000, 64
+#: Words of 64 bits of a parity fingerprint, and the largest set whose postings carry one word of it.
+PARITY_LANES, PARITY_SET = 8, 96
 
 
 def shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
@@ -317,6 +321,22 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(1, np.int64)
 
 
+def parity(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """A bit is 1 if an odd number of the shingles falls on it.
+
+    A shingle that only one of two sets has flips one bit, so fingerprints differ in no more
+    bits than the sets differ in shingles.
+    """
+    bits = np.bincount((hashes.view(np.uint64) >> np.uint64(7)).astype(np.int64) % (LANE * lanes), minlength=LANE * lanes)
+    return np.packbits((bits & 1).astype(bool), bitorder="little").view(np.int64)
+
+
+def near_sets(n_u: np.ndarray, n_v: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes that differ in ``apart`` shingles or more can have the similarity."""
+    sizes = np.minimum(n_u, n_v) >= np.maximum(n_u, n_v) * similarity - 1e-6
+    return sizes & (apart * (1 + similarity) <= (n_u + n_v) * (1 - similarity) + 1e-6)
+
+
 def common_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles that many texts of a sample have, sorted, their ranks by that number, and into how
     many parts the postings of one are dealt.
@@ -350,7 +370,8 @@ def rare_first(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.
 
 
 def postings(docs: DataFrame, text: str, size: int, similarity: float) -> DataFrame:
-    """``key``, ``part``, ``cls``, ``n``: the shingles under which a text is listed, its hash and its set's size.
+    """``key``, ``part``, ``cls``, ``n``, ``p``: the shingles under which a text is listed, its hash, its set's size
+    and, of a small set, a parity fingerprint.
 
     Sets of a similarity have that share of the larger set in common. So if a set
     leaves out less than that share of its shingles at the end of one common
@@ -376,26 +397,32 @@ def postings(docs: DataFrame, text: str, size: int, similarity: float) -> DataFr
                     at = np.minimum(np.searchsorted(common, prefix), len(common) - 1)
                     wide = np.where(common[at] == prefix, parts[at], 0)
                     part = np.where(wide > 1, mark % np.maximum(wide, 1) + 1, 0)
-                columns = [prefix, part, np.full(len(prefix), mark), np.full(len(prefix), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "part", "cls", "n"])
+                short = int(parity(hashes, 1)[0]) if n <= PARITY_SET else 0
+                columns = [prefix, part, *(np.full(len(prefix), v) for v in (mark, n, short))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "part", "cls", "n", "p"])
 
     body = text_or_empty(text)
     return docs.select(F.xxhash64(body).alias("mark"), body.alias("body")).mapInArrow(
-        run, "key long, part long, cls long, n long"
+        run, "key long, part long, cls long, n long, p long"
     )
 
 
-def shared_postings(listed: DataFrame) -> DataFrame:
-    """Postings under keys that two or more texts have: ``key``, ``cls``, ``n``, and the first text of the
-    key's part in ``cls0``, ``n0``. Keys of several parts are all taken to be shared."""
-    names = ["key", "cls", "n", "cls0", "n0"]
+def shared_postings(listed: DataFrame, similarity: float) -> DataFrame:
+    """Postings under keys that two or more texts have: ``key``, ``cls``, ``n``, the first text of the key's
+    part in ``cls0``, ``n0``, and in ``near`` (0 or 1) whether it may be similar. Keys of several parts are
+    all taken to be shared."""
+    names = ["key", "cls", "n", "cls0", "n0", "near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The last row waits for the next batch, with the first row of its key and whether it is that row.
-        held, first, follows = np.empty((0, 4), np.int64), None, False
+        held, first, follows = np.empty((0, 5), np.int64), None, False
 
         def emit(rows: np.ndarray, firsts: np.ndarray, chosen: np.ndarray) -> pa.RecordBatch:
-            out = np.concatenate([rows[:, [0, 2, 3]], firsts[:, 2:]], axis=1)[chosen]
+            rows, firsts = rows[chosen], firsts[chosen]
+            small = (rows[:, 3] <= PARITY_SET) & (firsts[:, 3] <= PARITY_SET)
+            apart = np.where(small, differing(rows[:, 4:], firsts[:, 4:]), 0)
+            near = near_sets(rows[:, 3], firsts[:, 3], apart, similarity).astype(np.int64)
+            out = np.concatenate([rows[:, [0, 2, 3]], firsts[:, 2:4], near[:, None]], axis=1)
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], names=names)
 
         for batch in batches:
@@ -495,11 +522,11 @@ def similar_texts(
 
     First texts are compared with the first text of their keys, which joins most
     of a group in as many comparisons as it has rows. Then all pairs that are not
-    joined yet and share enough of their prefixes are compared.
+    joined yet, share enough of their prefixes and have near fingerprints are compared.
     """
     judge = lambda pairs: similar_pairs(pairs, least, docs, text, id_column, size, similarity)
-    shared = keep_table(shared_postings(listed))
-    stars = shared.filter("cls != cls0").groupBy(F.col("cls0").alias("u"), F.col("cls").alias("v"), "n", "n0")
+    shared = keep_table(shared_postings(listed, similarity))
+    stars = shared.filter("near = 1 and cls != cls0").groupBy(F.col("cls0").alias("u"), F.col("cls").alias("v"), "n", "n0")
     stars = stars.agg(F.count("*").alias("met")).filter(may_reach(similarity, "n", "n0", F.col("met")))
     stars = keep_table(stars.select("u", "v"))
     found = keep_table(judge(stars))
@@ -509,22 +536,107 @@ def similar_texts(
     )
     mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
     placed = keep_table(placed.join(mixed, "key", "left_semi"))
-    left, right = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "root")]) for s in "uv")
-    meets = (
-        (left["key"] == right["key"])
-        & (F.col("cls_u") < F.col("cls_v"))
-        & (F.col("root_u") != F.col("root_v"))
-        & (F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * similarity - 1e-6)
-    )
-    # All keys that such a pair shares are among them, so they can be counted.
-    pairs = left.join(right, meets).groupBy(F.col("cls_u").alias("u"), F.col("cls_v").alias("v"), "n_u", "n_v")
-    pairs = pairs.agg(F.count("*").alias("met")).filter(may_reach(similarity, "n_u", "n_v", F.col("met")))
-    pairs = keep_table(pairs.select("u", "v").join(stars, ["u", "v"], "left_anti"))
+    prints = parities(placed.select("cls").distinct(), least, docs, text, id_column, size)
+    pairs = meeting_pairs(placed, prints, similarity)
+    pairs = pairs.filter(may_reach(similarity, "n_u", "n_v", F.col("met"))).select("u", "v")
+    pairs = keep_table(pairs.join(stars, ["u", "v"], "left_anti"))
     if pairs.isEmpty():
         return roots
     return components(found.union(judge(pairs)))
 
 
+def parities(
+    wanted: DataFrame, least: DataFrame, docs: DataFrame, text: str, id_column: str, size: int
+) -> DataFrame:
+    """``of`` and the words ``p0``.. of the parity fingerprint of every wanted text."""
+    chosen = least.join(wanted, F.col("mark") == F.col("cls"), "left_semi")
+    chosen = keep_sized(chosen.select(F.col("id").alias("_id"), F.col("mark").alias("_mark")))
+    names = [f"p{i}" for i in range(PARITY_LANES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.empty((batch.num_rows, PARITY_LANES), np.int64)
+            for i, body in enumerate(batch.column(1)):
+                prints[i] = parity(shingle_set(body.as_py(), size), PARITY_LANES)
+            columns = [batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in prints.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["of", *names])
+
+    body = text_or_empty(text)
+    rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(body).alias("of"), body.alias("body"))
+    met = rows.join(chosen, F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_mark")), "left_semi")
+    found = met.select("of", "body").mapInArrow(run, "of long, " + ", ".join(f"{c} long" for c in names))
+    return keep_table(found.dropDuplicates(["of"]))
+
+
+def meeting_pairs(placed: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``u``, ``v`` of texts of different roots under one key whose fingerprints may be those of similar
+    sets, with ``n_u``, ``n_v`` and the number ``met`` of keys that they share.
+
+    The texts of a key meet in a sorted stream and are compared there, so pairs of unlike
+    texts are never rows. A key of more than ``BUCKET`` texts is cut into chunks that are
+    compared two by two.
+    """
+    names = ["u", "n_u", "v", "n_v"]
+    lanes = [c for c in prints.columns if c != "of"]
+    crowded = keep_sized(
+        placed.groupBy(F.col("key").alias("of_key")).agg(F.count("*").alias("rows")).filter(F.col("rows") > BUCKET)
+        .select("of_key", F.ceil(F.col("rows") / BUCKET).cast("int").alias("chunks"))
+    )
+    chunk = F.pmod(F.xxhash64("cls", F.lit("chunk")), F.col("chunks")).cast("int")
+    others = F.sequence(F.lit(0), F.coalesce(F.col("chunks") - 1, F.lit(0)))
+    dealt = (
+        placed.join(crowded, F.col("key") == F.col("of_key"), "left")
+        .withColumn("chunk", F.coalesce(chunk, F.lit(0)))
+        .withColumn("other", F.explode(others))
+        .select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "cls", "n", "root")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            if not len(table):
+                continue
+            held = table if held is None else np.concatenate([held, table])
+            differs = (held[::-1, :3] != held[-1, :3]).any(axis=1)
+            if not differs.any():
+                continue
+            last = len(held) - np.argmax(differs)
+            yield from emit(held[:last])
+            held = held[last:]
+        if held is not None:
+            yield from emit(held)
+
+    def emit(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Row against row, one step further apart at a time, as long as some key goes on."""
+        starts = np.flatnonzero(np.r_[True, (table[1:, :3] != table[:-1, :3]).any(axis=1)])
+        ends = np.repeat(np.r_[starts[1:], len(table)], np.diff(np.r_[starts, len(table)]))
+        rows, step = np.arange(len(table)), 1
+        while len(rows := rows[rows + step < ends[rows]]):
+            one, two = table[rows], table[rows + step]
+            met = (one[:, 5] != two[:, 5]) & (one[:, 3] != two[:, 3])
+            met[met] = near_sets(one[met, 4], two[met, 4], differing(one[met, 6:], two[met, 6:]), similarity)
+            if met.any():
+                one, two = one[met], two[met]
+                swap = (one[:, 3] > two[:, 3])[:, None]
+                pairs = np.concatenate(
+                    [np.where(swap, two[:, 3:5], one[:, 3:5]), np.where(swap, one[:, 3:5], two[:, 3:5])], axis=1
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=names)
+            step += 1
+
+    partitions = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = (
+        dealt.join(prints, F.col("cls") == F.col("of")).select("key", "a", "b", "cls", "n", "root", *lanes)
+        .repartition(partitions, "key", "a", "b")
+        .sortWithinPartitions("key", "a", "b")
+        .mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    )
+    # Two chunks hold the pairs within one of them as often as there are chunks; more is only
+    # counted as met in more keys, which lets a pair through to the comparison.
+    return found.groupBy(*names).agg(F.count("*").alias("met"))
+
+
 def drop_near_duplicates(
     docs: DataFrame,
     text: str = "text",
