@@ -520,15 +520,16 @@ def similar_texts(
 ) -> DataFrame:
     """``vertex`` and ``root`` of every text (by its hash) that is similar to another one, by links of exact similarity.
 
-    First texts are compared with the first text of their keys, which joins most
-    of a group in as many comparisons as it has rows. Then all pairs that are not
+    First each text is compared with one that is the first of most of its keys, which
+    joins most of a group in as many comparisons as it has texts. Then all pairs that are not
     joined yet, share enough of their prefixes and have near fingerprints are compared.
     """
     judge = lambda pairs: similar_pairs(pairs, least, docs, text, id_column, size, similarity)
     shared = keep_table(shared_postings(listed, similarity))
     stars = shared.filter("near = 1 and cls != cls0").groupBy(F.col("cls0").alias("u"), F.col("cls").alias("v"), "n", "n0")
     stars = stars.agg(F.count("*").alias("met")).filter(may_reach(similarity, "n", "n0", F.col("met")))
-    stars = keep_table(stars.select("u", "v"))
+    # The one that shares most: as many comparisons as texts, however many firsts a large group has.
+    stars = keep_table(stars.groupBy("v").agg(F.max_by("u", F.struct("met", "u")).alias("u")).select("u", "v"))
     found = keep_table(judge(stars))
     roots = keep_table(components(found))
     placed = shared.join(keep_sized(roots), F.col("cls") == F.col("vertex"), "left").select(
