@@ -176,13 +176,15 @@ def ordered_rules(
     text: str = "text",
     share: float = 0.01,
     seed: int = 7,
+    prepare: Callable[[DataFrame], DataFrame] = lambda sample: sample,
 ) -> list[Rule]:
     """Rules by rejected share per second on a sample, the best first.
 
     The sample takes ``share`` of the rows at random, by Spark's seeded Bernoulli
-    sampling; it is written once, with all its columns, and read for each rule.
+    sampling; ``prepare`` adds what the rules read (``text`` among it). It is written
+    once and read for each rule.
     """
-    sample = keep_table(docs.sample(share, seed))
+    sample = keep_table(prepare(docs.sample(share, seed)))
     scored = estimate(sample, rules, text_or_empty(text))
     return [r for r, cost, rejected in sorted(scored, key=lambda x: -x[2] / x[1])]
 

@@ -135,7 +135,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     Costs are timed on a sample of measured rows, as the query meets them: a condition on a
     measure costs next to nothing there, the rule on runs of words reads the text again.
     """
-    measured = quality.measure(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    measured = quality.measure(docs)
     c = F.col
     conditions = {
         "few_words": c("n_words") < 20,
@@ -148,7 +149,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [
         quality.Rule(r.name, lambda _, e=conditions[r.name]: e) if r.name in conditions else r for r in quality.RULES
     ]
-    rules = quality.ordered_rules(measured, rules, "body")
+    rules = quality.ordered_rules(docs, rules, "body", prepare=quality.measure)
     base = [r for r in rules if r.name in ("few_words", "repeated_windows")]
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
