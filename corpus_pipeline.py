@@ -23,7 +23,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group: five-word shingles, similarity 0.8."""
+    """Keeps one document of each near-duplicate group: five-word shingles, similarity 0.8, by
+    SimHash links that are checked on the sets and a prefix join for similar sets that they leave apart."""
     return simhash.drop_near_duplicates(docs)
 
 

@@ -242,3 +242,46 @@ def test_a_crowded_key_is_compared_in_chunks(spark, monkeypatch):
     rows = similar_rows(25)
     df = spark.createDataFrame([(d, t, "e") for d, t in rows], SCHEMA)
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == brute_kept(rows)
+
+
+def test_drop_compares_texts_with_linked_fingerprints(spark, monkeypatch):
+    """The SimHash step by itself: without the prefix join near copies go by their fingerprints, after the exact check."""
+    listed = simhash.postings
+    monkeypatch.setattr(simhash, "postings", lambda *a: listed(*a).limit(0))
+    draw = random.Random(31)
+    rows = []
+    for i in range(30):
+        words = [f"v{i}x{k}" for k in range(400)]
+        other = list(words)
+        other[draw.randrange(400)] = "changed"
+        # A line that is repeated decides the fingerprints of these two, but their sets are unlike.
+        line = [f"r{i}x{k}" for k in range(5)]
+        few, many = [words[0]] + line * 60, [words[1]] + line * 60 + [f"s{i}x{k}" for k in range(8)]
+        rows += [" ".join(w) for w in (words, other, few, many)]
+    rows = list(enumerate(rows))
+    prints = [brute_print(t, 5) for _, t in rows]
+    links = {(i, j) for j in range(len(rows)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 4}
+    similar = {p for p in links if jaccard(rows[p[0]][1], rows[p[1]][1]) >= 0.8}
+    assert len(similar) > 20 and len(links - similar) > 5
+    df = spark.createDataFrame([(d, t, "e") for d, t in rows], SCHEMA)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    assert kept == {i for i, _ in rows} - {j for _, j in similar}
+
+
+def test_fingerprint_pairs_are_links_of_every_linked_text(spark):
+    rows = corpus(seed=9) + [(900, "p q r"), (901, "P q  r")]
+    df = spark.createDataFrame([(d, t, "e") for d, t in rows], SCHEMA)
+    prints = simhash.fingerprints(df, "text", "doc_id", 5, 64)
+    of = {r.mark: r.l0 & (2**64 - 1) for r in prints.collect()}
+    linked = {m for m in of if any(m != o and (of[m] ^ of[o]).bit_count() <= 4 for o in of)}
+    pairs = [tuple(r) for r in simhash.fingerprint_pairs(prints, ["l0"], 4).collect()]
+    assert len(pairs) == len(set(pairs)) and all(u < v and (of[u] ^ of[v]).bit_count() <= 4 for u, v in pairs)
+    assert {m for p in pairs for m in p} == linked and len(linked) > 20
+    assert len(pairs) <= 2 * len(of)
+
+
+@pytest.mark.parametrize("distance", [0, 4])
+def test_fingerprints_change_the_work_and_not_the_rows(spark, distance):
+    rows = similar_rows(20)
+    df = spark.createDataFrame([(d, t, "e") for d, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df, distance=distance).collect()) == brute_kept(rows)

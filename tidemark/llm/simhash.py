@@ -11,11 +11,13 @@ each pair of chunks is compared on its own, so no task holds a whole hot bucket;
 from a dense bucket only a spanning forest of its links is returned, which leaves
 the components unchanged.
 
-``drop_near_duplicates``: a prefix join on the sets themselves. A text is listed
-under the rarest of its shingles, so many that two sets of the similarity share
-one of them. Texts that meet are told apart by the Hamming distance of parity
-fingerprints, which is never more than the number of shingles in one set alone, and what
-is left is compared shingle by shingle.
+``drop_near_duplicates``: the same fingerprints, block keys and Hamming verification find
+near texts, which are then compared shingle by shingle. Similar sets may have
+fingerprints that lie further apart, so a prefix join on the sets finds the rest: a text
+is listed under the rarest of its shingles, so many that two sets of the similarity share
+one of them. Texts that meet and are not joined yet are told apart by the Hamming distance of
+parity fingerprints, which is never more than the number of shingles in one set alone, and
+what is left is compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -267,6 +269,11 @@ def links(classes: DataFrame, lanes: list[str], masks: list[tuple[int, ...]], di
     )
 
 
+def class_links(classes: DataFrame, lanes: list[str], distance: int) -> DataFrame:
+    """Links between distinct fingerprints by block keys that suit their number."""
+    return links(classes, lanes, pigeonhole_masks(LANE * len(lanes), distance, classes.count()), distance)
+
+
 def hex_of(lanes: list[str], prefix: str = "") -> Column:
     """The fingerprint as hex digits, the highest lane first."""
     return F.concat(*[F.lower(F.lpad(F.hex(F.col(c)), LANE // 4, "0")) for c in reversed(lanes)])
@@ -293,9 +300,7 @@ def near_duplicates(
     lanes = lane_names(bits)
     prints = keep_table(fingerprints(docs, text, id_column, shingle, bits))
     classes = keep_table(prints.groupBy(*lanes).agg(F.min("id").alias("least")))
-    count = classes.count()
-    masks = pigeonhole_masks(bits, distance, count)
-    found = links(classes, lanes, masks, distance)
+    found = class_links(classes, lanes, distance)
     ends = [[f"{side}{i}" for i in range(len(lanes))] for side in "uv"]
     roots = components(found.select(hex_of(ends[0]).alias("u"), hex_of(ends[1]).alias("v")))
     named = classes.select(hex_of(lanes).alias("fingerprint"), "least").join(
@@ -315,6 +320,27 @@ def near_duplicates(
     )
 
 
+def fingerprint_pairs(prints: DataFrame, lanes: list[str], distance: int) -> DataFrame:
+    """Pairs ``u``, ``v`` of texts (by their hash, the lesser first) whose fingerprints are equal or linked.
+
+    A text is paired with the first one of its fingerprint. The first one itself is paired with the
+    nearest lesser and the nearest greater one among its links, so there are at most two pairs a text.
+    """
+    texts = keep_table(prints.select("mark", *lanes).distinct())
+    classes = keep_table(texts.groupBy(*lanes).agg(F.min("mark").alias("first")))
+    equal = texts.join(classes, lanes).filter("mark != first").select(F.col("first").alias("u"), F.col("mark").alias("v"))
+    found = class_links(classes, lanes, distance)
+    for side in "uv":
+        ends = [f"{side}{i}" for i in range(len(lanes))]
+        named = classes.select(*[F.col(c).alias(e) for c, e in zip(lanes, ends)], F.col("first").alias(side))
+        found = found.join(named, ends)
+    apart = sum((F.bit_count(F.col(f"u{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(len(lanes))), F.lit(0))
+    found = keep_table(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), apart.alias("apart")))
+    lesser = found.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select("u", "v")
+    greater = found.groupBy("u").agg(F.min_by("v", F.struct("apart", "v")).alias("v"))
+    return equal.union(lesser.union(greater).distinct())
+
+
 def shingle_set(text: str, size: int) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted; one 0 for a text without words."""
     parts = list(shingle_hashes(text, size))
@@ -515,22 +541,43 @@ def similar_pairs(
     )
 
 
+def unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs ``u``, ``v`` of texts that are not in one component yet."""
+    roots = keep_sized(roots)
+    for side in "uv":
+        known = roots.select(F.col("vertex").alias(f"vertex_{side}"), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(known, F.col(side) == F.col(f"vertex_{side}"), "left")
+    return pairs.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+
 def similar_texts(
-    listed: DataFrame, least: DataFrame, docs: DataFrame, text: str, id_column: str, size: int, similarity: float
+    near: DataFrame,
+    listed: DataFrame,
+    least: DataFrame,
+    docs: DataFrame,
+    text: str,
+    id_column: str,
+    size: int,
+    similarity: float,
 ) -> DataFrame:
     """``vertex`` and ``root`` of every text (by its hash) that is similar to another one, by links of exact similarity.
 
-    First each text is compared with one that is the first of most of its keys, which
+    First the pairs ``near`` by their SimHash fingerprints are compared. Of what they leave apart
+    each text is compared with one that is the first of most of its keys, which
     joins most of a group in as many comparisons as it has texts. Then all pairs that are not
-    joined yet, share enough of their prefixes and have near fingerprints are compared.
+    joined yet, share enough of their prefixes and have near parity fingerprints are compared.
     """
     judge = lambda pairs: similar_pairs(pairs, least, docs, text, id_column, size, similarity)
+    near = keep_table(near)
+    close = keep_table(judge(near))
     shared = keep_table(shared_postings(listed, similarity))
     stars = shared.filter("near = 1 and cls != cls0").groupBy(F.col("cls0").alias("u"), F.col("cls").alias("v"), "n", "n0")
     stars = stars.agg(F.count("*").alias("met")).filter(may_reach(similarity, "n", "n0", F.col("met")))
     # The one that shares most: as many comparisons as texts, however many firsts a large group has.
-    stars = keep_table(stars.groupBy("v").agg(F.max_by("u", F.struct("met", "u")).alias("u")).select("u", "v"))
-    found = keep_table(judge(stars))
+    stars = stars.groupBy("v").agg(F.max_by("u", F.struct("met", "u")).alias("u")).select("u", "v")
+    stars = unjoined(stars, keep_table(components(close)))
+    stars = keep_table(stars.join(near, ["u", "v"], "left_anti"))
+    found = keep_table(close.union(judge(stars)))
     roots = keep_table(components(found))
     placed = shared.join(keep_sized(roots), F.col("cls") == F.col("vertex"), "left").select(
         "key", "cls", "n", F.coalesce("root", "cls").alias("root")
@@ -540,7 +587,7 @@ def similar_texts(
     prints = parities(placed.select("cls").distinct(), least, docs, text, id_column, size)
     pairs = meeting_pairs(placed, prints, similarity)
     pairs = pairs.filter(may_reach(similarity, "n_u", "n_v", F.col("met"))).select("u", "v")
-    pairs = keep_table(pairs.join(stars, ["u", "v"], "left_anti"))
+    pairs = keep_table(pairs.join(near.union(stars), ["u", "v"], "left_anti"))
     if pairs.isEmpty():
         return roots
     return components(found.union(judge(pairs)))
@@ -644,19 +691,25 @@ def drop_near_duplicates(
     id_column: str = "doc_id",
     shingle: int = 5,
     similarity: float = 0.8,
+    bits: int = 64,
+    distance: int = 4,
 ) -> DataFrame:
     """One row of each near-duplicate group, with all columns.
 
     Texts are near duplicates if the sets of their word shingles have a Jaccard
     similarity of ``similarity`` or more; groups are the components of such links.
-    No pair is missed and every link is verified on the sets. The row with the
+    SimHash fingerprints of ``bits`` bits at ``distance`` or fewer differing ones find near
+    texts first, a prefix join the similar ones further apart, so the two options change
+    the work and not the rows. No pair is missed and every link is verified on the sets. The row with the
     least id of a group stays, of equal ids the one with the least text hash, of
     repeated rows one; rows with null ids come last. Texts without words are equal.
     """
-    rows = keep_table(docs.select(F.col(id_column).alias("id"), F.xxhash64(text_or_empty(text)).alias("mark")))
+    prints = keep_table(fingerprints(docs, text, id_column, shingle, bits))
+    rows = prints.select("id", "mark")
     least = rows.groupBy("mark").agg(F.min("id").alias("id"))
+    near = fingerprint_pairs(prints, lane_names(bits), distance)
     listed = postings(docs, text, shingle, similarity)
-    roots = similar_texts(listed, least, docs, text, id_column, shingle, similarity)
+    roots = similar_texts(near, listed, least, docs, text, id_column, shingle, similarity)
     judged = rows.join(roots, F.col("mark") == F.col("vertex"), "left").select(
         "id", "mark", F.coalesce("root", "mark").alias("root")
     )
